@@ -1,6 +1,234 @@
-def queries():
-    return {}
+"""Queries over records, evidence units, graphs and audits, with the SQL each equals."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalise as N
+from ..functions.scores import confidence, split_target, token_budget
+from ..functions.text import canonical, evidence_ids, file_name, jaccard, label_parts, short_phrase, snake, text_or_null, token_set, truncated, without_markup
+from ..operators import audit, contracts, dataset, extract, graph, rerank, segment
+from ..session import table
+from . import sqltext as S
+
+
+def nodes(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as typed nodes of their order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    kinds = F.array(*map(F.lit, ("Precondition", "Entry", "VulnType", "Behavior", "Impact")))
+    ev = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("E"), F.col("l_suppkey") % 12 + 1), F.concat(F.lit("E"), F.col("l_partkey") % 12 + 1))))
+    return table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("input_id"), F.concat(F.lit("N"), F.row_number().over(w)).alias("node_id"), F.element_at(kinds, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("type"),
+        F.concat_ws(" ", F.lit("flag"), "l_returnflag", "l_linestatus", F.concat(F.lit("part"), F.col("l_partkey") % 7)).alias("text"), ev.alias("evidence_ids"), F.round(F.col("l_discount") * 10, 6).alias("confidence"),
+    )
+
+
+def edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.layer_edges(nodes(s, d))
+
+
+def units(s: SparkSession, d: str, **how) -> DataFrame:
+    return segment.segment(table(s, d, "documents").withColumnRenamed("doc_id", "input_id"), "input_id", "text", **how)
+
+
+def based(s: SparkSession, d: str, name: str) -> DataFrame:
+    return table(s, d, name).withColumn("base", N.base_id(F.col("input_id"))).where("base is not null")
+
+
+def rows(s: SparkSession, d: str) -> DataFrame:
+    r = table(s, d, "source_rows")
+    base = F.coalesce(N.base_id(F.col("base_input_id")), N.base_id(F.col("source_id")))
+    return r.withColumn("base", base).withColumn("augmentation", dataset.augmentation_index(F.col("source_id"))).where("base is not null")
+
+
+def reviews(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audit_reviews")
+    read = lambda c: F.when(audit.clean_enum(F.col(c)).isin(*audit.DECISIONS), audit.clean_enum(F.col(c)))
+    return a.select("form_id", "sample_id", N.base_id(F.col("cve_id")).alias("input_id"), "technique_id", "round_no", read("reviewer_1_decision").alias("d1"), read("reviewer_2_decision").alias("d2"), read("adjudicated_decision").alias("d3"))
+
+
+def final_decisions(s: SparkSession, d: str) -> DataFrame:
+    """The last round's resolved decision per pair of record and technique."""
+    r = audit.resolved(reviews(s, d)).where("final_decision is not null and input_id is not null")
+    return r.groupBy("input_id", "technique_id").agg(F.max_by("final_decision", F.struct("round_no", "form_id")).alias("decision"))
+
+
+def gold(s: SparkSession, d: str) -> DataFrame:
+    from .ranking import gold as g
+
+    return g(s, d)
+
+
+def ranked_candidates(s: SparkSession, d: str) -> DataFrame:
+    from .ranking import rankings
+
+    r = rankings(s, d).where("method = 'text' and run = 1")
+    return r.select("input_id", "technique_id", "rank", F.col("score").alias("text_score"))
+
+
+def rerank_result(s: SparkSession, d: str) -> DataFrame:
+    from .ranking import rankings
+
+    top = rerank.top_candidates(ranked_candidates(s, d), 5)
+    sc = ranked_candidates(s, d).select("input_id", "technique_id", F.round(F.least(F.lit(1.0), F.coalesce("text_score", F.lit(0.0)) / 30), 6).alias("retrieval_score"))
+    llm = rankings(s, d).where("method = 'llm' and run = 1").select("input_id", "technique_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)) / 100)), 6).alias("llm_score"))
+    return rerank.merge_scores(top.join(sc, ["input_id", "technique_id"]), llm, 0.4, 8)
+
+
+def queries() -> dict:
+    def weighted(s, d):
+        p = gold(s, d)
+        return audit.stratified_sample(p, 8, 20260805)
+
+    def rates(s, d, *by):
+        w = weighted(s, d).join(final_decisions(s, d), ["input_id", "technique_id"])
+        x = audit.decision_rates(w, "decision", "analysis_weight", *by)
+        return x.withColumn("raw_rate", F.round("raw_rate", 6)).withColumn("weighted_rate", F.round("weighted_rate", 6))
+
+    def pairs(s, d):
+        return audit.confusion(reviews(s, d).where("d1 is not null and d2 is not null"), "d1", "d2")
+
+    def kappa(s, d):
+        return audit.kappa(pairs(s, d)).select("n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+    def doc(s, d):
+        return table(s, d, "documents")
+
+    def iterative(s, d):
+        m = dataset.merge_sources(based(s, d, "records")).select("base", "labels").orderBy("base").collect()  # one labelled evaluation set
+        small = dataset.stratified_split([(r.base, list(r.labels)) for r in m], max(1, len(m) // 5), 20260805)
+        return s.createDataFrame([(r.base, "development" if r.base in small else "test") for r in m], "base string, split string")
+
+    def subset_labels(s, d):
+        return audit.label_subsets(gold(s, d), final_decisions(s, d))
+
+    return {
+        "canonical_text": lambda s, d: doc(s, d).select("doc_id", canonical(F.col("text")).alias("canonical")),
+        "clean_markup": lambda s, d: doc(s, d).select("doc_id", without_markup(F.col("text")).alias("cleaned"), truncated(F.coalesce("text", F.lit("")), 80).alias("head")),
+        "id_normalise": lambda s, d: table(s, d, "source_rows").select("row_id", N.input_id(F.col("source_id")).alias("input_id"), N.base_id(F.col("source_id")).alias("base_id"), dataset.augmentation_index(F.col("source_id")).alias("augmentation")),
+        "name_normalise": lambda s, d: table(s, d, "techniques").select("technique_id", snake(F.col("name")).alias("snake"), file_name(F.col("name")).alias("file_name"), short_phrase(F.col("text")).alias("phrase"), text_or_null(F.col("description")).alias("description"), F.col("technique_id").alias("t")).drop("t"),
+        "evidence_id_lists": lambda s, d: nodes(s, d).select("input_id", "node_id", evidence_ids(F.array(F.array_join("evidence_ids", " ; "), F.lit("e11, x3 E2"))).alias("ids")),
+        "confidence_clamp": lambda s, d: table(s, d, "rerank").select(N.base_id(F.col("input_id")).alias("input_id"), "technique_id", confidence(F.col("score_text")).alias("confidence")),
+        "label_splitter": lambda s, d: table(s, d, "records").select("record_id", label_parts(F.array_join("labels", ", ")).alias("parts")),
+        "token_budget": lambda s, d: based(s, d, "rerank").groupBy("base").agg(F.count("*").alias("n")).select("base", token_budget(F.lit(1800), F.col("n"), F.lit(1)).alias("budget")),
+        "collapse_rows": lambda s, d: dataset.collapse_rows(rows(s, d)),
+        "merge_sources": lambda s, d: dataset.merge_sources(based(s, d, "records")),
+        "split_targets": lambda s, d: gold(s, d).groupBy("technique_id").agg(F.count("*").alias("support")).select("technique_id", "support", split_target(F.col("support"), 1, 5).alias("target")),
+        "split_overlap": lambda s, d: dataset.overlap(rows(s, d).where(N.split_name(F.col("split")) == "train"), rows(s, d).where(N.split_name(F.col("split")) == "test"), "base"),
+        "id_alignment": lambda s, d: dataset.id_alignment(based(s, d, "records"), based(s, d, "rerank"), "base"),
+        "duplicate_keys": lambda s, d: dataset.duplicate_keys(based(s, d, "records"), "base", "source_name"),
+        "remaining_ids": lambda s, d: dataset.remaining(rows(s, d), based(s, d, "records"), "base").select("row_id", "base"),
+        "label_resolution": lambda s, d: dataset.resolve_labels(table(s, d, "records").select(F.explode("labels").alias("label")).unionByName(table(s, d, "techniques").select(F.lower("name").alias("label"))), table(s, d, "techniques")),
+        "onehot_to_long": lambda s, d: dataset.onehot_to_long(table(s, d, "techniques").select("technique_id", F.col("is_subtechnique").cast("int").alias("sub"), F.col("revoked").cast("int").alias("revoked"), F.col("deprecated").cast("int").alias("deprecated")), "technique_id", ["sub", "revoked", "deprecated"]),
+        "source_counts": lambda s, d: dataset.merge_sources(based(s, d, "records")).select(F.explode("source_membership").alias("source_name")).groupBy("source_name").agg(F.count("*").alias("n")),
+        "iterative_split": iterative,
+        "segment_documents": units,
+        "segment_clauses": lambda s, d: units(s, d, aggressive=True),
+        "evidence_spans": lambda s, d: segment.spans(units(s, d), "input_id"),
+        "evidence_count_distribution": lambda s, d: units(s, d).groupBy("input_id").agg(F.count("*").alias("units")).groupBy("units").agg(F.count("*").alias("records")),
+        "layer_edges": lambda s, d: edges(s, d).select("input_id", "src", "dst", "type", F.array_sort("shared_evidence_ids").alias("shared"), F.round("evidence_jaccard", 6).alias("evidence_jaccard"), F.round("lexical_jaccard", 6).alias("lexical_jaccard"), F.round("structural_score", 5).alias("structural_score")),
+        "graph_stats": lambda s, d: graph.stats(nodes(s, d)),
+        "support_map": lambda s, d: graph.support_map(nodes(s, d)),
+        "dedupe_edges": lambda s, d: graph.dedupe_edges(edges(s, d).select("input_id", F.substring("src", 1, 2).alias("src"), F.substring("dst", 1, 2).alias("dst"), "type", F.round("structural_score", 5).alias("score")), F.desc("score")),
+        "dangling_edges": lambda s, d: graph.dangling_edges(edges(s, d).select("input_id", F.concat("src", F.when(F.col("input_id") % 7 == 0, "x").otherwise("")).alias("src"), "dst", "type"), nodes(s, d)),
+        "simple_paths": lambda s, d: graph.simple_paths(nodes(s, d), edges(s, d)).select("input_id", F.array_join("path", ">").alias("path"), F.round("score_sum", 5).alias("score_sum"), "shared_sum", "continuous"),
+        "best_path": lambda s, d: graph.best_path(graph.simple_paths(nodes(s, d), edges(s, d))),
+        "evidence_cover": lambda s, d: graph.evidence_cover(nodes(s, d)),
+        "rule_nodes": lambda s, d: extract.nodes(units(s, d)),
+        "rule_graph_edges": lambda s, d: graph.layer_edges(extract.nodes(units(s, d))),
+        "explicit_impacts": lambda s, d: extract.explicit_impacts(table(s, d, "documents").select(F.col("doc_id").alias("input_id"), F.lit(1).alias("ord"), F.lit("E1").alias("evidence_id"), "text")).select("input_id", "impact", "evidence_ids"),
+        "impact_keywords": lambda s, d: doc(s, d).select("doc_id", F.array_sort(extract.impact_types(F.col("text"))).alias("impacts"), extract.primary_impact(F.col("text")).alias("impact")),
+        "vulnerability_types": lambda s, d: table(s, d, "techniques").select("technique_id", extract.vulnerability_type(F.col("text"), F.col("name")).alias("v")).select("technique_id", "v.type", "v.subtype"),
+        "stratified_sample": lambda s, d: weighted(s, d).select("sample_id", "input_id", "technique_id", "stratum_size", "sampled", F.round("selection_probability", 6).alias("selection_probability"), F.round("analysis_weight", 6).alias("analysis_weight")),
+        "reviewer_order": lambda s, d: audit.display_order(weighted(s, d).select("sample_id"), "reviewer_1", 7),
+        "confusion": pairs,
+        "kappa": kappa,
+        "decision_rates": rates,
+        "decision_rates_by_technique": lambda s, d: rates(s, d, "technique_id"),
+        "resolved_decisions": lambda s, d: audit.resolved(reviews(s, d)).groupBy("resolution", "final_decision").agg(F.count("*").alias("n")),
+        "label_subsets": subset_labels,
+        "contract_sentences": lambda s, d: contracts.counts(contracts.sentences(table(s, d, "sentences").dropDuplicates(["input_id"]))),
+        "contract_labels": lambda s, d: contracts.counts(contracts.labels(table(s, d, "records").withColumn("input_id", F.col("record_id").cast("string")))),
+        "contract_nodes": lambda s, d: contracts.counts(contracts.graph_nodes(nodes(s, d))),
+        "contract_edges": lambda s, d: contracts.counts(contracts.graph_edges(edges(s, d), nodes(s, d).where("node_id <> 'N3'"))),
+        "rerank_topk": lambda s, d: rerank.top_candidates(ranked_candidates(s, d), 3, exact=True),
+        "rerank_merge": lambda s, d: rerank_result(s, d),
+        "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
+        "token_jaccard": lambda s, d: table(s, d, "techniques").select("technique_id", F.round(jaccard(token_set(F.col("name")), token_set(F.col("text"))), 6).alias("overlap")),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    ws = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    nid = "regexp_replace(regexp_replace(upper({0}), '[^\\p{{L}}\\p{{Nd}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    nd = """nd as (select l_orderkey input_id, 'N' || row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) node_id,
+        (['Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'])[l_linenumber % 5 + 1] as type, 'flag ' || l_returnflag || ' ' || l_linestatus || ' part' || (l_partkey % 7) as text,
+        list_sort(list_distinct(['E' || (l_suppkey % 12 + 1), 'E' || (l_partkey % 12 + 1)])) ev, round(l_discount * 10, 6) conf from lineitem)"""
+    toks = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1))"
+    jac = "coalesce(len(list_intersect({0}, {1}))::double / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
+    rules = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in graph.LAYER_RULES)
+    ed = f"""ed as (select a.input_id, a.node_id src, b.node_id dst, r.t as type, list_sort(list_intersect(a.ev, b.ev)) shared, {jac.format('a.ev', 'b.ev')} ej, {jac.format(toks.format('a.text'), toks.format('b.text'))} lj,
+        round(0.55 * {jac.format('a.ev', 'b.ev')} + 0.25 * {jac.format(toks.format('a.text'), toks.format('b.text'))} + 0.20 * (a.conf + b.conf) / 2, 6) score
+        from nd a join (values {rules}) r(x, y, t) on a.type = r.x join nd b on a.input_id = b.input_id and b.type = r.y)"""
+    paths = f"""with {nd}, {ed}, e2 as (select input_id, src, dst, max(score) score, max(len(shared)) shared from ed group by 1, 2, 3),
+        p1 as (select input_id, [node_id] path, [type] types, 0::double score_sum, 0 shared_sum, 0 continuous, conf conf_sum, node_id last from nd),
+        """ + ", ".join(f"p{k + 1} as (select p.input_id, list_append(path, dst) path, list_append(types, n.type) types, score_sum + score score_sum, shared_sum + shared shared_sum, continuous + cast(shared > 0 as int) continuous, conf_sum + n.conf conf_sum, dst as last from p{k} p join e2 e on e.input_id = p.input_id and e.src = p.last and not list_contains(path, dst) join nd n on n.input_id = e.input_id and n.node_id = dst)" for k in (1, 2, 3)) + ", pa as (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)"
+    pos = {t: f"coalesce(list_position(types, '{t}'), 0)" for t in ("Entry", "Behavior", "Impact")}
+    en, be, im = pos["Entry"], pos["Behavior"], pos["Impact"]
+    rank_path = paths + f""", pk as (select *, types[1] = 'Entry' and types[-1] = 'Impact' and list_contains(types, 'Behavior') complete,
+        case when {en} > 0 and {be} > {en} and {im} > {be} then 3 when ({en} > 0 and {be} > {en}) or ({en} > 0 and {im} > {en} and {be} = 0) or ({en} = 0 and {be} > 0 and {im} > {be}) then 2 when {en} > 0 or {be} > 0 or {im} > 0 then 1 else 0 end core, greatest(len(path) - 1, 1) hops from pa),
+        po as (select *, round(score_sum / hops, 9) mean_score, row_number() over (partition by input_id order by complete desc, core desc, round(continuous::double / hops, 9) desc, round(shared_sum::double / hops, 9) desc, len(path), round(score_sum / hops, 9) desc, round(conf_sum / len(path), 9) desc, path) n from pk)"""
+    lab = "(select base, list_sort(list(distinct l)) labels from (select base, unnest(labels) l from {0}) where l is not null group by 1)"
+    rec = f"rc as (select *, {S.base('input_id')} base from records where {S.base('input_id')} is not null)"
+    srw = f"sr as (select *, coalesce({S.base('base_input_id')}, {S.base('source_id')}) base, try_cast(nullif(regexp_extract({nid.format('source_id')}, '_AUGU?MENTED_(\\d+)$', 1), '') as int) aug from source_rows), sq as (select * from sr where base is not null)"
+    enum = "case when translate(lower(trim({0})), '- ', '__') in ('directly_supported', 'inferential_or_plausible', 'insufficient_text', 'unsupported') then translate(lower(trim({0})), '- ', '__') end"
+    rev = f"rv as (select form_id, sample_id, {S.base('cve_id')} input_id, technique_id, round_no, {enum.format('reviewer_1_decision')} d1, {enum.format('reviewer_2_decision')} d2, {enum.format('adjudicated_decision')} d3 from audit_reviews)"
+    fin = f"""{rev}, fd as (select *, case when d1 = d2 then d1 else d3 end f from rv), de as (select input_id, technique_id, first(f order by round_no desc, form_id desc) decision from fd where f is not null and input_id is not null group by 1, 2)"""
+    go = f"gold as (select distinct {S.base('input_id')} input_id, upper(trim(l)) technique_id from (select input_id, unnest(labels) l from records) where {S.base('input_id')} is not null and upper(trim(l)) in (select technique_id from techniques))"
+    smp = f"""{go}, hs as (select *, sha256('20260805' || chr(31) || input_id || chr(31) || technique_id) h from gold), hk as (select *, row_number() over (partition by technique_id order by h, input_id) k, count(*) over (partition by technique_id) stratum_size from hs),
+        sa as (select 'LSA-' || upper(substr(h, 1, 12)) sample_id, input_id, technique_id, stratum_size, least(stratum_size, 8) sampled from hk where k <= 8)"""
+    rate = "select {0} decision, n, round(n::double / sum(n) over ({1}), 6) as raw_rate, round(w / sum(w) over ({1}), 6) as weighted_rate from (select {0} decision, count(*) n, sum(stratum_size::double / sampled) w from sa join de using (input_id, technique_id) group by {0} decision)"
+    imp = " ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{'|'.join(w)}') then '{k}' end," for k, w in extract.IMPACT_WORDS.items()).rstrip(",")
+    return {
+        "canonical_text": f"select doc_id, trim(regexp_replace(coalesce(text, ''), '{ws}', ' ', 'g')) as canonical from documents",
+        "id_normalise": f"select row_id, {nid.format('source_id')} as input_id, {S.base('source_id')} as base_id, try_cast(nullif(regexp_extract({nid.format('source_id')}, '_AUGU?MENTED_(\\d+)$', 1), '') as int) as augmentation from source_rows",
+        "evidence_id_lists": f"with {nd} select input_id, node_id, list_transform(list_sort(list_transform(list_distinct(list_concat(ev, ['E11', 'E2'])), lambda e: cast(substr(e, 2) as int))), lambda i: 'E' || i) as ids from nd",
+        "confidence_clamp": f"select {S.base('input_id')} as input_id, technique_id, case when score_text is not null and not isnan(score_text) then round(least(1, greatest(0, score_text)), 6) end as confidence from rerank",
+        "token_budget": f"select {S.base('input_id')} as base, least(6000, cast(ceil(greatest(1800, 1000 + 70 * count(*)) * 1.25) as int)) as budget from rerank group by 1",
+        "collapse_rows": f"""with {srw}, tx as (select base, first(text order by coalesce(aug, -1), source_row, source_id, row_id) as text from sq where text is not null group by 1)
+            select base, count(*) as n_rows, count(aug) as n_augmented, any_value(tx.text) as text, coalesce(any_value(lb.labels), []) as labels from sq left join tx using (base) left join {lab.format('sq')} lb using (base) group by 1""",
+        "merge_sources": f"""with {rec}, tx as (select base, first(raw_text order by -length(raw_text), source_position, source_record_order, record_sha256) as raw_text, first(record_sha256 order by -length(raw_text), source_position, source_record_order, record_sha256) as record_sha256 from rc where raw_text is not null group by 1)
+            select base, list_sort(list(distinct source_name)) as source_membership, any_value(tx.raw_text) as raw_text, any_value(tx.record_sha256) as record_sha256, coalesce(any_value(lb.labels), []) as labels from rc left join tx using (base) left join {lab.format('rc')} lb using (base) group by 1""",
+        "split_targets": f"with {go} select technique_id, count(*) as support, case when count(*) >= 2 then cast(greatest(1, least(count(*) - 1, round_even(count(*)::double / 5, 0))) as int) else 0 end as target from gold group by 1",
+        "split_overlap": f"with {srw} select distinct base from sq where lower(trim(split)) in ('train', 'training') and base in (select base from sq where lower(trim(split)) = 'test')",
+        "id_alignment": f"with {rec}, rr as (select distinct {S.base('input_id')} base from rerank) select distinct base, 'left' as side from rc where base not in (select base from rr) union all select base, 'right' from rr where base not in (select base from rc)",
+        "duplicate_keys": f"with {rec} select base, source_name, count(*) as n from rc group by 1, 2 having count(*) > 1",
+        "remaining_ids": f"with {srw}, {rec} select row_id, base from sq where base not in (select base from rc)",
+        "onehot_to_long": "select technique_id, 'sub' as label from techniques where is_subtechnique union all select technique_id, 'revoked' from techniques where revoked union all select technique_id, 'deprecated' from techniques where deprecated",
+        "source_counts": f"with {rec} select source_name, count(distinct base) as n from rc group by 1",
+        "layer_edges": f"with {nd}, {ed} select input_id, src, dst, type, shared, round(ej, 6) as evidence_jaccard, round(lj, 6) as lexical_jaccard, round(score, 5) as structural_score from ed",
+        "graph_stats": f"with {nd} select input_id, count(*) as n_nodes, {', '.join(f'''cast(count(*) filter (where type = '{t}') as bigint) as n_{t.lower()}''' for t in ('Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'))}, count(*) filter (where type = 'Entry') > 0 and count(*) filter (where type = 'Behavior') > 0 and count(*) filter (where type = 'Impact') > 0 as complete_core from nd group by 1",
+        "support_map": f"with {nd} select input_id, evidence_id, list_sort(list(distinct node_id)) as node_ids from (select input_id, node_id, unnest(ev) evidence_id from nd) group by 1, 2",
+        "dedupe_edges": f"with {nd}, {ed} select input_id, substr(src, 1, 2) as src, substr(dst, 1, 2) as dst, type, max(round(score, 5)) as score from ed group by 1, 2, 3, 4",
+        "dangling_edges": f"with {nd}, {ed} select input_id, src || 'x' as src, dst, type, 'src' as missing from ed where input_id % 7 = 0",
+        "simple_paths": paths + " select input_id, array_to_string(path, '>') as path, round(score_sum, 5) as score_sum, cast(shared_sum as int) as shared_sum, cast(continuous as int) as continuous from pa",
+        "best_path": rank_path + " select input_id, array_to_string(path, '>') as path, array_to_string(types, '>') as types, core as core_coverage, mean_score, case when complete then 'complete' when core > 0 then 'partial' else 'empty' end as status from po where n = 1",
+        "impact_keywords": f"select doc_id, list_sort(list_filter([{imp}], lambda x: x is not null)) as impacts, coalesce(list_filter([{imp}], lambda x: x is not null)[1], 'unspecified') as impact from documents",
+        "explicit_impacts": "with e as (select doc_id input_id, text, case when regexp_matches(text, '(?i)" + extract.UNKNOWN_IMPACT + "') then 1 else 0 end v from documents where text is not null) " + " union all ".join(f"select input_id, '{k}' as impact, ['E1'] as evidence_ids from e where v = 0 and regexp_matches(text, '(?i){p}')" for k, p in extract.EXPLICIT_IMPACTS),
+        "stratified_sample": f"with {smp} select sample_id, input_id, technique_id, stratum_size, cast(sampled as bigint) as sampled, round(sampled::double / stratum_size, 6) as selection_probability, round(stratum_size::double / sampled, 6) as analysis_weight from sa",
+        "reviewer_order": f"with {smp} select sample_id, cast(row_number() over (order by sha256('7' || chr(31) || 'reviewer_1' || chr(31) || sample_id), sample_id) as int) as display_order from sa",
+        "confusion": f"with {rev} select d1 as first, d2 as second, count(*) as n from rv where d1 is not null and d2 is not null group by 1, 2",
+        "kappa": f"""with {rev}, p as (select d1, d2 from rv where d1 is not null and d2 is not null), po as (select count(*) n, avg(cast(d1 = d2 as double)) o from p),
+            pe as (select sum(a.n * b.n)::double e from (select d1 c, count(*) n from p group by 1) a join (select d2 c, count(*) n from p group by 1) b using (c))
+            select n, round(o, 6) as observed, round(e / (n::double * n), 6) as expected, round((o - e / (n::double * n)) / (1 - e / (n::double * n)), 6) as kappa from po, pe""",
+        "decision_rates": f"with {smp}, {fin} " + rate.format("", ""),
+        "decision_rates_by_technique": f"with {smp}, {fin} " + rate.format("technique_id,", "partition by technique_id"),
+        "resolved_decisions": f"with {rev} select case when d1 = d2 then 'agreement' when d3 is not null then 'adjudicated' else 'open' end as resolution, case when d1 = d2 then d1 else d3 end as final_decision, count(*) as n from rv group by 1, 2",
+        "label_subsets": f"""with {go}, {fin}, j as (select g.*, decision from gold g left join de using (input_id, technique_id)),
+            u as (select 'original' subset, * from j union all select 'direct_only', * from j where decision = 'directly_supported' union all select 'direct_or_inferential', * from j where decision in ('directly_supported', 'inferential_or_plausible'))
+            select subset, input_id, list_sort(list(distinct technique_id)) as labels from u group by 1, 2""",
+        "token_jaccard": f"select technique_id, round({jac.format(toks.format('name'), toks.format('''coalesce(text, '')'''))}, 6) as overlap from techniques",
+    }
