@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..functions.scores import confidence, split_target, token_budget
 from ..functions.text import canonical, evidence_ids, file_name, jaccard, label_parts, short_phrase, snake, text_or_null, token_set, truncated, without_markup
-from ..operators import audit, contracts, dataset, extract, graph, rerank, segment
+from ..operators import audit, contracts, dataset, explanation, extract, graph, rerank, segment
+from ..streaming.resume import windowed_counts
 from ..session import table
 from . import sqltext as S
 
@@ -157,6 +158,11 @@ def queries() -> dict:
         "rerank_topk": lambda s, d: rerank.top_candidates(ranked_candidates(s, d), 3, exact=True),
         "rerank_merge": lambda s, d: rerank_result(s, d),
         "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
+        "explanations": lambda s, d: explanation.explanations(nodes(s, d), edges(s, d)).select("input_id", "status", "chain", "chain_types", "evidence_ids", "minimum_evidence", "compact_text"),
+        "explanation_queries": lambda s, d: explanation.query_text(explanation.explanations(nodes(s, d), edges(s, d)), edges(s, d)),
+        "rerank_prompts": lambda s, d: rerank.prompts(rerank.top_candidates(ranked_candidates(s, d), 5), segment.segment(based(s, d, "records").groupBy("base").agg(F.max("raw_text").alias("t")).withColumnRenamed("base", "input_id"), "input_id", "t"), table(s, d, "techniques")),
+        "event_windows": lambda s, d: windowed_counts(table(s, d, "events"), "ts", "event_type").select("window_start", "event_type", "n", F.round("total", 4).alias("total")),
+        "event_props": lambda s, d: table(s, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys")),
         "token_jaccard": lambda s, d: table(s, d, "techniques").select("technique_id", F.round(jaccard(token_set(F.col("name")), token_set(F.col("text"))), 6).alias("overlap")),
     }
 
@@ -167,6 +173,7 @@ def oracle_sql() -> dict[str, str]:
     nd = """nd as (select l_orderkey input_id, 'N' || row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) node_id,
         (['Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'])[l_linenumber % 5 + 1] as type, 'flag ' || l_returnflag || ' ' || l_linestatus || ' part' || (l_partkey % 7) as text,
         list_sort(list_distinct(['E' || (l_suppkey % 12 + 1), 'E' || (l_partkey % 12 + 1)])) ev, round(l_discount * 10, 6) conf from lineitem)"""
+    ranked = f"rk as (select input_id, technique_id, row_number() over (partition by input_id order by score desc nulls last, technique_id) rank from (select {S.base('input_id')} input_id, technique_id, max(case when not isnan(score_text) and abs(score_text) < 1e6 and abs(score_text) <> 999 and score_text <> -1 then score_text end) score from rerank group by 1, 2))"
     toks = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1))"
     jac = "coalesce(len(list_intersect({0}, {1}))::double / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
     rules = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in graph.LAYER_RULES)
@@ -230,5 +237,17 @@ def oracle_sql() -> dict[str, str]:
         "label_subsets": f"""with {go}, {fin}, j as (select g.*, decision from gold g left join de using (input_id, technique_id)),
             u as (select 'original' subset, * from j union all select 'direct_only', * from j where decision = 'directly_supported' union all select 'direct_or_inferential', * from j where decision in ('directly_supported', 'inferential_or_plausible'))
             select subset, input_id, list_sort(list(distinct technique_id)) as labels from u group by 1, 2""",
+        "clean_markup": "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\(Citation:[^)]*\\)', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as cleaned, case when length(coalesce(text, '')) > 80 then rtrim(substr(text, 1, 77), ' ') || '...' else coalesce(text, '') end as head from documents",
+        "label_splitter": "select record_id, list_filter(regexp_split_to_array(array_to_string(labels, ', '), '[,;\\s]+'), lambda x: x <> '') as parts from records",
+        "rerank_topk": f"with {ranked} select input_id, technique_id, cast(rank as int) as retrieval_rank from rk where rank <= 3 and input_id in (select input_id from rk where rank = 3)",
+        "citation_caps": f"""with x as (select {S.base('input_id')} base, technique_id, mode, score_text / 20 s, coalesce(retrieval_rank % 2 = 0, null) e, retrieval_rank % 4 = 0 p from rerank),
+            y as (select *, case when not e and s > 0.25 then 0.25 else s end f from x), z as (select *, case when mode = 'generic' then s when e and not p and f >= 0.55 then 0.55 - 0.01 else f end c from y)
+            select base, technique_id, round(c, 6) as capped from z where c is not null and not isnan(c)""",
+        "contract_labels": """with x as (select 'no labels' problem, record_id from records where coalesce(len(labels), 0) <= 0 union all select 'invalid label', record_id from records where len(list_filter(labels, lambda x: not regexp_full_match(coalesce(x, ''), 'T[0-9]{4}(\\.[0-9]{3})?'))) > 0
+            union all select 'not sorted and distinct', record_id from records where labels is not null and labels <> list_sort(list_distinct(labels))) select problem, count(*) as n, count(distinct record_id) as inputs from x group by 1""",
+        "contract_edges": f"""with {nd}, {ed}, n2 as (select * from nd where node_id <> 'N3'), x as (select ed.input_id, case when src = 'N3' then 'dangling source' end a, case when dst = 'N3' then 'dangling target' end b from ed), y as (select input_id, a problem from x where a is not null union all select input_id, b from x where b is not null)
+            select problem, count(*) as n, count(distinct input_id) as inputs from y group by 1""",
+        "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+        "event_props": "select event_id, cast(len(json_keys(props)) as int) as n_keys from events",
         "token_jaccard": f"select technique_id, round({jac.format(toks.format('name'), toks.format('''coalesce(text, '')'''))}, 6) as overlap from techniques",
     }
