@@ -41,12 +41,12 @@ def confusion(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def kappa(matrix: DataFrame) -> DataFrame:
     """Cohen's kappa of a confusion matrix: one row; null where chance agreement is complete."""
-    total = matrix.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("first") == F.col("second"), F.col("n")).otherwise(0)).alias("same"))
+    total = matrix.groupBy().agg(F.sum("n").alias("n"), F.sum(F.when(F.col("first") == F.col("second"), F.col("n")).otherwise(0)).alias("same"))
     rows = matrix.groupBy(F.col("first").alias("c")).agg(F.sum("n").alias("r"))
     cols = matrix.groupBy(F.col("second").alias("c")).agg(F.sum("n").alias("s"))
     by_chance = rows.join(cols, "c").agg(F.coalesce(F.sum(F.col("r") * F.col("s")), F.lit(0)).alias("rs"))
     po, pe = F.col("same") / F.col("n"), F.col("rs") / (F.col("n") * F.col("n"))
-    return total.crossJoin(by_chance).select("n", po.alias("observed"), pe.alias("expected"), F.when(1 - pe >= 1e-15, (po - pe) / (1 - pe)).alias("kappa"))  # one row each
+    return total.withColumn("rs", by_chance.scalar()).select("n", po.alias("observed"), pe.alias("expected"), F.when(1 - pe >= 1e-15, (po - pe) / (1 - pe)).alias("kappa"))
 
 
 def resolved(df: DataFrame) -> DataFrame:

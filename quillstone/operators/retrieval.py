@@ -19,9 +19,9 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def idf(items: DataFrame, key: str = "technique_id", text: str = "text") -> DataFrame:
     """(token, df, idf) over the catalogue: ln((N+1)/(df+1)) + 1."""
-    n = items.agg(F.count("*").alias("n_items"))
+    n = items.agg(F.count("*").alias("n_items")).scalar()
     per = term_counts(items, key, text).groupBy("token").agg(F.count("*").alias("df"))
-    return per.crossJoin(F.broadcast(n)).select("token", "df", (F.log((F.col("n_items") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n: one row
+    return per.select("token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def weights(df: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:

@@ -53,7 +53,7 @@ def holm(df: DataFrame, p: str = "p_value", *tie_break: str) -> DataFrame:
     """Holm-adjusted p-values over all rows of one report (its rows are pairs and metrics, not data)."""
     w = Window.orderBy(p, *tie_break)
     n = df.where(F.col(p).isNotNull()).agg(F.count("*").alias("_m"))
-    ranked = df.where(F.col(p).isNotNull()).crossJoin(F.broadcast(n)).withColumn("_r", F.row_number().over(w))
+    ranked = df.where(F.col(p).isNotNull()).withColumn("_m", n.scalar()).withColumn("_r", F.row_number().over(w))
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))).drop("_m", "_r")
 
 
