@@ -7,7 +7,7 @@ pair of least rank in each row and compacts the rows. Rows that have no pair lef
 pair made by a merge always ranks after it; so a very long piece costs rounds by distinct pairs, not by length.
 
 Defined cases: null and empty texts give an empty list; names of special tokens are plain text; a text of any length is
-encoded whole. The vocabulary is read from a path by every Python worker once.
+encoded whole; a column that already has the result's name is replaced. The vocabulary is read from a path by every Python worker once.
 """
 
 from __future__ import annotations
@@ -207,9 +207,7 @@ def _slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Itera
 def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with an array<int> column of token ids in place of ``text``; all other columns stay as they are."""
     where = path or default_vocabulary()
-    kept = [c for c in df.columns if c != text]
-    if ids in kept:
-        raise ValueError(f"the table already has a column {ids}")
+    kept = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(where)
@@ -226,9 +224,7 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str
 def count_tokens(df: DataFrame, text: str = "text", n: str = "n_tokens", path: str | None = None) -> DataFrame:
     """``df`` with a bigint column of token counts in place of ``text``; the ids stay in the worker."""
     where = path or default_vocabulary()
-    kept = [c for c in df.columns if c != text]
-    if n in kept:
-        raise ValueError(f"the table already has a column {n}")
+    kept = [c for c in df.columns if c not in (text, n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(where)

@@ -12,7 +12,8 @@ by a third of the corpus (empty texts) is numbered in slices of the hash.
 
 Defined cases: null and empty texts have no tokens, count as documents of length 0 and are never repeated; documents with
 a null source or one not among the targets are not used, but those with any source count in the total; a source without
-documents gets a row with zeros; target shares are taken as given.
+documents gets a row with zeros; a null share or cap is 0; of targets with one name the first counts; target shares are
+taken as given.
 """
 
 from __future__ import annotations
@@ -85,12 +86,13 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     hist = sized.where("source is not null").groupBy("source", "n_tokens").agg(F.count("*").alias("docs"))
     total = hist.agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("total"))
     goal = targets.select(N.key_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
-    joined = goal.join(hist, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("total", F.lit(0)).alias("total"))
+    joined = goal.join(hist, "source", "left").withColumn("total", total.scalar()).select("source", "target_share", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("total", F.lit(0)).alias("total"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens").reset_index(drop=True)
         lengths, counts = pdf["n_tokens"].to_numpy(np.int64), pdf["docs"].to_numpy(np.int64)
-        share, cap = float(pdf["target_share"].iloc[0] or 0.0), int(pdf["max_repeats"].iloc[0] or 0)
+        share, cap = (0 if pd.isna(pdf[c].iloc[0]) else pdf[c].iloc[0] for c in ("target_share", "max_repeats"))
+        share, cap = float(share), int(cap)
         own = int((lengths * counts).sum())
         wanted = share * int(pdf["total"].iloc[0])
         budget = int(np.floor(wanted + 1e-9))
@@ -133,7 +135,7 @@ def report(documents: DataFrame, targets: DataFrame, path: str | None = None) ->
     )
     total = per.agg(F.sum("used_tokens").alias("all_used"))
     names = targets.select(F.col("source").alias("name"), N.key_name(F.col("source")).alias("source"))
-    r = per.join(names, "source").crossJoin(F.broadcast(total))
+    r = per.join(names, "source").withColumn("all_used", total.scalar())
     short = F.col("own_tokens") * F.col("max_repeats") < F.col("budget_tokens")
     return r.select(F.col("name").alias("source"), "docs", "own_tokens", "max_repeats", "budget_tokens", "used_tokens", "target_share", (F.col("used_tokens") / F.col("all_used")).alias("actual_share"), short.alias("short"))
 

@@ -19,6 +19,7 @@ code points of the text as stored; repeated rows give the same units; a text is
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ END = re.compile(r"[.!?…‥‼-‽⁇-⁉。．！？｡।॥؟۔።፧។៕
 HARD = set("。！？｡．។៕။။")
 PAIRS = {"(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "（": "）", "【": "】", "［": "］", "〈": "〉", "《": "》", "«": "»", "‹": "›", "„": "“", "“": "”", "‚": "‘"}
 CLOSERS = set(PAIRS.values()) | {'"', "'", "’"}
+OPENED_BY = {c: "".join(o for o in PAIRS if PAIRS[o] == c) for c in PAIRS.values()}
+MARKS = set(PAIRS) | CLOSERS | {"‘"}
 
 #: Abbreviations after which a sentence goes on whatever follows. Lower case, without the last period, blanks dropped.
 ALWAYS = set(
@@ -100,31 +103,37 @@ def _pairs(t: str, b: int, e: int) -> list[tuple[int, int]]:
     """Outermost pairs of quotes and brackets in a block; marks without a partner are ignored."""
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
+    held_of: Counter[str] = Counter()  # open marks by kind, so that a mark without a partner costs nothing
+
+    def close(kinds: str, i: int) -> None:
+        """Pair the last open mark of these kinds with i; marks opened since then have no partner."""
+        while True:
+            mark, at = stack.pop()
+            held_of[mark] -= 1
+            if mark in kinds:
+                found.append((at, i))
+                return
+
+    def push(mark: str, i: int) -> None:
+        stack.append((mark, i))
+        held_of[mark] += 1
+
     for i in range(b, e):
         ch = t[i]
+        if ch not in MARKS:
+            continue
         if ch == "'" or ch == "’":
             after = t[i + 1] if i + 1 < e else " "
             if ch == "'" and (i == b or t[i - 1].isspace() or t[i - 1] in PAIRS) and not after.isspace():
-                stack.append(("'", i))
-            elif not after.isalnum() and any(o in "'‘" for o, _ in stack):
-                held = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in "'‘")
-                found.append((stack[held][1], i))
-                del stack[held:]
-        elif ch == "‘":
-            stack.append((ch, i))
+                push("'", i)
+            elif not after.isalnum() and held_of["'"] + held_of["‘"]:
+                close("'‘", i)
         elif ch == '"':
-            held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if held is not None:
-                found.append((stack[held][1], i))
-                del stack[held:]
-            else:
-                stack.append(('"', i))
-        elif ch in CLOSERS and any(PAIRS.get(o) == ch for o, _ in stack):
-            held = next(k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == ch)
-            found.append((stack[held][1], i))
-            del stack[held:]
-        elif ch in PAIRS:
-            stack.append((ch, i))
+            close('"', i) if held_of['"'] else push('"', i)
+        elif ch in OPENED_BY and any(held_of[o] for o in OPENED_BY[ch]):
+            close(OPENED_BY[ch], i)
+        elif ch in PAIRS or ch == "‘":
+            push(ch, i)
     found.sort()
     outer: list[tuple[int, int]] = []
     for o, c in found:
@@ -139,7 +148,7 @@ def _abbreviation(t: str, b: int, dot: int) -> str:
     while i > b and (t[i - 1].isalpha() or (t[i - 1] == "." and i - 1 > b and t[i - 2].isalpha())):
         i -= 1
     word = t[i:dot]
-    while True:  # single letters or short parts before: "т. е", "до н. э", "p. ej"
+    for _ in range(4):  # single letters before: "т. е", "до н. э", "p. ej"
         m = re.search(r"(?:^|[\s(\[«\"„“,])(\w)\.[\s\xa0]+$", t[max(b, i - 6) : i])
         if not m or not m[1].isalpha():
             break
@@ -223,7 +232,7 @@ def _plain_stop(t: str, b: int, i: int, ch: str, e: int, k: int) -> bool:
         nxt = re.match(r"\w+", t[k:e])
         if nxt and nxt[0].lower() in ORDINAL_NOUNS:
             return False
-        if t[b:i].strip() == number[1]:  # the number of a list item
+        if i - b < 8 and t[b:i].strip() == number[1]:  # the number of a list item
             return False
     return True
 
