@@ -181,13 +181,14 @@ def verify(pairs: DataFrame) -> DataFrame:
 
 def class_overlaps(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, overlaps): rows with their class, distinct texts, and overlapping pairs of different classes with containment."""
-    digest = F.md5("words")
+    # normalised once: the rows' texts are read again by the grouping only
+    items = materialise(items.withColumn("digest", F.md5("words")), "items")
     # the class id is the least row id that has the text
-    c = items.groupBy(digest.alias("digest")).agg(F.min("id").alias("cls"), F.max(F.col("split") == "train").alias("has_train"), F.max(F.col("split") != "train").alias("has_eval"), F.first("words").alias("words"))
+    c = items.groupBy("digest").agg(F.min("id").alias("cls"), F.max(F.col("split") == "train").alias("has_train"), F.max(F.col("split") != "train").alias("has_eval"), F.first("words").alias("words"))
     classes = materialise(c, "classes")
-    members = items.select("id", "origin", "source_name", "split", digest.alias("digest")).join(classes.select("digest", "cls", "has_train", "has_eval"), "digest").drop("digest")
-    sig = materialise(signatures(classes, cell_counts(classes)), "signatures")
-    side = lambda s, flag: sig.where(flag).select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "len", "s0", "s1", "s2", "s3")])
+    members = items.select("id", "origin", "source_name", "split", "digest").join(classes.select("digest", "cls", "has_train", "has_eval"), "digest").drop("digest")
+    counts = cell_counts(classes)
+    side = lambda s, flag: signatures(classes.where(flag), counts).select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "len", "s0", "s1", "s2", "s3")])
     j = side("e", "has_eval").join(side("t", "has_train"), "sig").where("cls_e <> cls_t")
     longest = F.greatest("len_e", "len_t")
     spare = lambda s: F.col(f"len_{s}") - F.ceil(longest * 4 / F.lit(5))
