@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import without_markup
 
@@ -40,7 +41,7 @@ def attack_reference(refs: Column) -> Column:
     return F.when(F.size(own) == 1, F.element_at(own, 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else x)
