@@ -29,15 +29,23 @@ def weights(df: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFr
     return term_counts(df, key, text).join(vocabulary.select("token", "idf"), "token").select(key, "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
-def cosine_scores(queries: DataFrame, items: DataFrame, q: str = "query_id", i: str = "technique_id", text: str = "text", digits: int = 12) -> DataFrame:
-    """(q, i, score) for all pairs that share a token."""
+def cosine_scores(queries: DataFrame, items: DataFrame, q: str = "query_id", i: str = "technique_id", text: str = "text", digits: int = 12, least: int = 0) -> DataFrame:
+    """(q, i, score) for all pairs that share a token, and at score 0 for every query with the ``least`` first ids of the catalogue.
+
+    Zeros join the products before these are summed, so they cost no further shuffle; with the first n ids among the
+    scored ones, the n best of a query are always there.
+    """
     v = idf(items, i, text)
     a, b = weights(queries, v, q, text), weights(items, v, i, text)
     na = a.groupBy(q).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
     nb = b.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
-    dot = a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), "token").groupBy(q, i).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    products = a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), "token").select(q, i, (F.col("wa") * F.col("wb")).alias("p"))
+    if least:
+        few = [r[0] for r in items.select(i).distinct().orderBy(i).limit(least).collect()]  # a parameter
+        products = products.unionByName(queries.select(q, F.explode(F.array(*map(F.lit, few))).alias(i), F.lit(0.0).alias("p")))
+    dot = products.groupBy(q, i).agg(F.sum("p").alias("dot"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot") / (F.col("na") * F.col("nb"))))
-    return dot.join(na, q).join(nb, i).select(q, i, F.bround(score, digits).alias("score"))
+    return dot.join(na, q, "left").join(nb, i, "left").select(q, i, F.bround(F.when(F.col("dot") > 0, score).otherwise(0.0), digits).alias("score"))
 
 
 def top_n(scored: DataFrame, q: str, i: str, n: int, *order) -> DataFrame:
@@ -46,18 +54,9 @@ def top_n(scored: DataFrame, q: str, i: str, n: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def fill_lists(scored: DataFrame, queries: DataFrame, items: DataFrame, n: int, q: str = "query_id", i: str = "technique_id") -> DataFrame:
-    """``scored`` with zero rows for queries that have fewer than ``n`` candidates; at most n per query, from the n least ids of the catalogue."""
-    few = [r[0] for r in items.select(i).distinct().orderBy(i).limit(n).collect()]  # n is a parameter
-    count = scored.groupBy(q).agg(F.count("*").alias("_have"))
-    short = queries.select(q).distinct().join(count, q, "left").where(F.coalesce("_have", F.lit(0)) < n)
-    zero = short.select(q, F.explode(F.array(*map(F.lit, few))).alias(i)).join(scored.select(q, i), [q, i], "left_anti")
-    return scored.unionByName(zero.withColumns({c: F.lit(0.0) for c in scored.columns if c not in (q, i)}))
-
-
 def retrieve(queries: DataFrame, items: DataFrame, n: int = 20, q: str = "query_id", i: str = "technique_id", digits: int = 12) -> DataFrame:
     """(q, i, score, rank): the n best techniques of every query."""
-    return top_n(fill_lists(cosine_scores(queries, items, q, i, digits=digits), queries, items, n, q, i), q, i, n, F.desc("score"))
+    return top_n(cosine_scores(queries, items, q, i, digits=digits, least=n), q, i, n, F.desc("score"))
 
 
 def fuse_views(text_scores: DataFrame, structure_scores: DataFrame, alpha: float, q: str = "query_id", i: str = "technique_id", digits: int = 12) -> DataFrame:

@@ -114,9 +114,9 @@ class Experiment:
         cfg = self.config["retrieve"]
         t = self.inputs["techniques"].where("text is not null")
         ev = self.table("segment").groupBy("input_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), " ").alias("text"))  # one record's units
-        a = retrieval.cosine_scores(ev, t, q="input_id")
+        a = retrieval.cosine_scores(ev, t, q="input_id", least=cfg["topn"])
         b = retrieval.cosine_scores(explanation.query_text(self.table("explain"), self.table("graph")), t, q="input_id")
-        fused = retrieval.fill_lists(retrieval.fuse_views(a, b, cfg["alpha"], q="input_id"), ev, t, cfg["topn"], q="input_id")
+        fused = retrieval.fuse_views(a, b, cfg["alpha"], q="input_id")
         return retrieval.top_n(fused, "input_id", "technique_id", cfg["topn"], F.desc("score_fused"), F.desc("score_text"), F.desc("score_structure"))
 
     def _rerank(self) -> DataFrame:
