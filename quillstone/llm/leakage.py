@@ -15,7 +15,7 @@ are then compared exactly.
 Exact copies (after normalisation) are one class, compared once; the classes' pairs are expanded to rows at the end.
 
 Defined cases: null, blank and stand-in texts and rows without a split take no part; a text without any word takes no
-part; texts of up to four words overlap only if their words are equal; repeated rows pair like others, never with
+part; texts of up to three words overlap only if their words are equal; repeated rows pair like others, never with
 themselves; ids occur once, as the problem states.
 """
 
@@ -102,7 +102,7 @@ SIGNATURES = "sig long, cls long, len int, s0 long, s1 long, s2 long, s3 long, h
 
 
 def signatures(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The hashes by which texts can hit each other: see the module's text. Texts of under five words have none."""
+    """The hashes by which texts can hit each other: see the module's text. Texts of under four words have none."""
     shared = classes.sparkSession.sparkContext.broadcast(counts)  # 4 MB, a constant
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def signatures(classes: DataFrame, counts: np.ndarray) -> DataFrame:
             rank = np.arange(len(x)) - start[d]
             size = per[d]
             last = size // 5  # least rank a rarest shared word can have at most
-            able = size >= 5
+            able = size >= 4  # four words can be all but one of five
             one = np.flatnonzero(able & (rank <= last) & (n <= FREQUENT))
             sig, who = [x[one]], [d[one]]
             often = able & (rank <= last) & (n > FREQUENT)
