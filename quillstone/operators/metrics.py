@@ -115,3 +115,18 @@ def missing_inputs(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     """(input_id, side): inputs with gold but no ranking, or the reverse."""
     a, b = gold.select("input_id").distinct(), rankings.select("input_id").distinct()
     return a.join(b, "input_id", "left_anti").withColumn("side", F.lit("no_ranking")).unionByName(b.join(a, "input_id", "left_anti").withColumn("side", F.lit("no_gold")))
+
+
+def by_subset(rankings: DataFrame, subsets: DataFrame, ks: tuple[int, ...] = (1, 3, 5), least: int = 1) -> DataFrame:
+    """Per label subset and method: inputs, hit, recall and average precision at every k, and mrr; subsets of under ``least`` inputs are left out.
+
+    ``subsets``: (subset, input_id, labels). The subset is part of the input's key, so one pass evaluates all.
+    """
+    key = F.concat_ws("\x1f", "subset", "input_id")
+    g = subsets.select(key.alias("input_id"), F.explode("labels").alias("technique_id"))
+    names = subsets.select("subset", "input_id").distinct()
+    r = rankings.join(names, "input_id").withColumn("input_id", key).select(*RUN, "input_id", "technique_id", "rank")
+    m = per_input(relevance(r, g), ks).withColumn("subset", F.element_at(F.split("input_id", "\x1f"), 1))
+    cols = ["mrr", *[f"{x}_{k}" for x in ("hit", "recall", "ap") for k in ks]]
+    per = m.groupBy("subset", *RUN).agg(F.count("*").alias("n_inputs"), *[F.avg(c).alias(c) for c in cols])
+    return per.groupBy("subset", "method").agg(F.max("n_inputs").alias("n_inputs"), *[F.avg(c).alias(c) for c in cols]).where(F.col("n_inputs") >= least)

@@ -6,6 +6,10 @@ formed. Techniques without one still fill a short list, by id; they come from th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +58,71 @@ def top_n(scored: DataFrame, q: str, i: str, n: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def retrieve(queries: DataFrame, items: DataFrame, n: int = 20, q: str = "query_id", i: str = "technique_id", digits: int = 12) -> DataFrame:
-    """(q, i, score, rank): the n best techniques of every query."""
+DENSE_CELLS = 4_000_000
+
+
+def retrieve(queries: DataFrame, items: DataFrame, n: int = 20, q: str = "query_id", i: str = "technique_id", digits: int = 12, dense_cells: int = DENSE_CELLS) -> DataFrame:
+    """(q, i, score, rank): the n best techniques of every query.
+
+    A catalogue whose vocabulary times items is at most ``dense_cells`` (checked on its weights) goes to the executors as one matrix,
+    and queries are scored where they stand, without a shuffle. A larger one is joined on tokens. ``q`` is unique.
+    """
+    catalogue = items.agg(F.count_distinct(i).alias("n"), F.max(F.length("text")).alias("chars")).first()
+    if catalogue.n and catalogue.n * (catalogue.chars or 0) <= dense_cells:
+        vocabulary = idf(items, i).select(F.xxhash64("token").alias("h"), "token", "idf").orderBy("h").limit(dense_cells // catalogue.n + 1).toArrow()
+        h = vocabulary.column("h").to_numpy()
+        if len(h) * catalogue.n <= dense_cells and len(np.unique(h)) == len(h):
+            return _retrieve_dense(queries, items, h, vocabulary.column("idf").to_numpy(), n, q, i, digits)
     return top_n(cosine_scores(queries, items, q, i, digits=digits, least=n), q, i, n, F.desc("score"))
 
 
+def _counted(b: pa.RecordBatch, vocabulary: np.ndarray, idf_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, weight) of the known words of a batch with a list column ``h`` of word hashes; weights of a row have norm 1."""
+    lists = b.column("h")
+    row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.searchsorted(vocabulary, flat).clip(0, len(vocabulary) - 1)
+    known = vocabulary[at] == flat if len(flat) else np.zeros(0, bool)
+    pair, tf = np.unique(row[known] * len(vocabulary) + at[known], return_counts=True)
+    row, word = pair // len(vocabulary), pair % len(vocabulary)
+    w = (1 + np.log(tf)) * idf_[word]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=b.num_rows))
+    return row, word, w / norm[row]
+
+
+def _retrieve_dense(queries: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf_: np.ndarray, n: int, q: str, i: str, digits: int) -> DataFrame:
+    hashes = F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h")
+    got = items.select(i, hashes).orderBy(i).toArrow().combine_chunks()  # at most dense_cells words
+    batch = got.to_batches()[0]
+    ids = np.array(batch.column(i).to_pylist(), object)
+    row, word, w = _counted(batch, vocabulary, idf_)
+    matrix = np.zeros((len(vocabulary), len(ids)))
+    matrix[word, row] = w
+    shared = queries.sparkSession.sparkContext.broadcast((vocabulary, idf_, matrix, ids))  # 8 bytes a cell, dense_cells at most
+    k = min(n, len(ids))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf_, matrix, ids = shared.value
+        for whole in batches:
+            size = np.cumsum(np.minimum(np.asarray(whole.column("h").value_lengths().fill_null(0), np.int64), len(vocabulary)) + 1) * len(ids)
+            lo = 0
+            while lo < whole.num_rows:  # about 4 million cells at a time, a row at least
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + DENSE_CELLS, side="right")))
+                b, lo = whole.slice(lo, hi - lo), hi
+                row, word, w = _counted(b, vocabulary, idf_)
+                s = np.zeros((b.num_rows, len(ids)))
+                if len(row):
+                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    s[row[first]] = np.add.reduceat(matrix[word] * w[:, None], first, axis=0)
+                s = np.round(s.clip(0, 1), digits)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order, so ties go by id
+                at = np.repeat(np.arange(b.num_rows), k)
+                yield pa.RecordBatch.from_arrays([b.column(q).take(pa.array(at)), pa.array(ids[best.ravel()], pa.string()), pa.array(np.take_along_axis(s, best, 1).ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), b.num_rows))], names=[q, i, "score", "rank"])
+
+    kind = queries.schema[q].dataType.simpleString()
+    return queries.select(q, hashes).mapInArrow(score, f"`{q}` {kind}, `{i}` string, score double, rank int")
+
+
 def fuse_views(text_scores: DataFrame, structure_scores: DataFrame, alpha: float, q: str = "query_id", i: str = "technique_id", digits: int = 12) -> DataFrame:
     """(q, i, score_fused, score_text, score_structure): a pair missing in one view has 0 there."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..functions.scores import confidence, split_target, token_budget
 from ..functions.text import canonical, evidence_ids, file_name, jaccard, label_parts, short_phrase, snake, text_or_null, token_set, truncated, without_markup
-from ..operators import audit, contracts, dataset, explanation, extract, graph, rerank, segment
+from ..operators import audit, contracts, dataset, explanation, extract, graph, metrics, rerank, segment
 from ..streaming.resume import windowed_counts
 from ..session import table
 from . import sqltext as S
@@ -106,6 +106,11 @@ def queries() -> dict:
     def subset_labels(s, d):
         return audit.label_subsets(gold(s, d), final_decisions(s, d))
 
+    def subset_metrics(s, d):
+        from .ranking import rankings, rounded
+
+        return rounded(metrics.by_subset(rankings(s, d), subset_labels(s, d), (1, 5), 2))
+
     return {
         "canonical_text": lambda s, d: doc(s, d).select("doc_id", canonical(F.col("text")).alias("canonical")),
         "clean_markup": lambda s, d: doc(s, d).select("doc_id", without_markup(F.col("text")).alias("cleaned"), truncated(F.coalesce("text", F.lit("")), 80).alias("head")),
@@ -151,6 +156,7 @@ def queries() -> dict:
         "decision_rates_by_technique": lambda s, d: rates(s, d, "technique_id"),
         "resolved_decisions": lambda s, d: audit.resolved(reviews(s, d)).groupBy("resolution", "final_decision").agg(F.count("*").alias("n")),
         "label_subsets": subset_labels,
+        "subset_metrics": subset_metrics,
         "contract_sentences": lambda s, d: contracts.counts(contracts.sentences(table(s, d, "sentences").dropDuplicates(["input_id"]))),
         "contract_labels": lambda s, d: contracts.counts(contracts.labels(table(s, d, "records").withColumn("input_id", F.col("record_id").cast("string")))),
         "contract_nodes": lambda s, d: contracts.counts(contracts.graph_nodes(nodes(s, d))),
@@ -174,6 +180,10 @@ def oracle_sql() -> dict[str, str]:
         (['Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'])[l_linenumber % 5 + 1] as type, 'flag ' || l_returnflag || ' ' || l_linestatus || ' part' || (l_partkey % 7) as text,
         list_sort(list_distinct(['E' || (l_suppkey % 12 + 1), 'E' || (l_partkey % 12 + 1)])) ev, round(l_discount * 10, 6) conf from lineitem)"""
     ranked = f"rk as (select input_id, technique_id, row_number() over (partition by input_id order by score desc nulls last, technique_id) rank from (select {S.base('input_id')} input_id, technique_id, max(case when not isnan(score_text) and abs(score_text) < 1e6 and abs(score_text) <> 999 and score_text <> -1 then score_text end) score from rerank group by 1, 2))"
+    vals = {"edge": "mean_edge_score", "llm": "llm_score", "path": "-path_cost", "text": "score_text"}
+    ranks = "rk2 as (select *, row_number() over (partition by method, run, input_id order by score desc nulls last, technique_id) rank from (" + " union all ".join(
+        f"select '{m}' as method, {k} as run, {S.base('input_id')} input_id, technique_id, {agg}(case when not isnan({v}) and abs({v}) < 1e6 and abs({v}) <> 999 and ({v}) <> -1 then {v} end) score from rerank group by 3, 4" for m, v in vals.items() for k, agg in ((1, "max"), (2, "min"))
+    ) + "))"
     toks = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1))"
     jac = "coalesce(len(list_intersect({0}, {1}))::double / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
     rules = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in graph.LAYER_RULES)
@@ -239,6 +249,14 @@ def oracle_sql() -> dict[str, str]:
             select subset, input_id, list_sort(list(distinct technique_id)) as labels from u group by 1, 2""",
         "clean_markup": "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\(Citation:[^)]*\\)', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as cleaned, case when length(coalesce(text, '')) > 80 then rtrim(substr(text, 1, 77), ' ') || '...' else coalesce(text, '') end as head from documents",
         "label_splitter": "select record_id, list_filter(regexp_split_to_array(array_to_string(labels, ', '), '[,;\\s]+'), lambda x: x <> '') as parts from records",
+        "subset_metrics": f"""with {go}, {fin}, {ranks}, j as (select g.*, decision from gold g left join de using (input_id, technique_id)),
+            u as (select 'original' subset, * from j union all select 'direct_only', * from j where decision = 'directly_supported' union all select 'direct_or_inferential', * from j where decision in ('directly_supported', 'inferential_or_plausible')),
+            ng as (select subset, input_id, count(*) n_gold from u group by 1, 2),
+            re as (select n.subset, k.*, n_gold, cast(u.technique_id is not null as int) rel from rk2 k join ng n using (input_id) left join u on u.subset = n.subset and u.input_id = k.input_id and u.technique_id = k.technique_id),
+            rs as (select *, sum(rel) over (partition by subset, method, run, input_id order by rank) seen from re),
+            pi as (select subset, method, run, input_id, max(n_gold) ngd, coalesce(1.0::double / min(rank) filter (where rel = 1), 0) mrr, {', '.join(f"coalesce(sum(rel) filter (where rank <= {k}), 0) h{k}, coalesce(sum(seen::double / rank) filter (where rank <= {k} and rel = 1), 0) / least(max(n_gold), {k}) ap_{k}" for k in (1, 5))} from rs group by 1, 2, 3, 4),
+            pr as (select subset, method, run, count(*) n, avg(mrr) mrr, {', '.join(f"avg(cast(h{k} > 0 as double)) hit_{k}, avg(h{k}::double / ngd) recall_{k}, avg(ap_{k}) ap_{k}" for k in (1, 5))} from pi group by 1, 2, 3)
+            select subset, method, max(n) as n_inputs, round(avg(mrr), 6) as mrr, {', '.join(f"round(avg({x}_{k}), 6) as {x}_{k}" for x in ("hit", "recall", "ap") for k in (1, 5))} from pr group by 1, 2 having max(n) >= 2""",
         "rerank_topk": f"with {ranked} select input_id, technique_id, cast(rank as int) as retrieval_rank from rk where rank <= 3 and input_id in (select input_id from rk where rank = 3)",
         "citation_caps": f"""with x as (select {S.base('input_id')} base, technique_id, mode, score_text / 20 s, coalesce(retrieval_rank % 2 = 0, null) e, retrieval_rank % 4 = 0 p from rerank),
             y as (select *, case when not e and s > 0.25 then 0.25 else s end f from x), z as (select *, case when mode = 'generic' then s when e and not p and f >= 0.55 then 0.55 - 0.01 else f end c from y)

@@ -18,6 +18,8 @@ def test_idf_and_retrieval(spark):
     got = rows(retrieval.retrieve(q, items, 2).select("query_id", "rank", "technique_id", "score"))
     assert [g[:3] for g in got] == [("q1", 1, "T1"), ("q1", 2, "T2"), ("q2", 1, "T1"), ("q2", 2, "T2"), ("q3", 1, "T1"), ("q3", 2, "T2")]
     assert got[0][3] > 0 and got[1][3] == 0
+    assert got == rows(retrieval.retrieve(q, items, 2, dense_cells=0).select("query_id", "rank", "technique_id", "score"))  # too large for a matrix: by joins
+    assert retrieval.retrieve(q.limit(0), items, 2).count() == 0 == retrieval.retrieve(q, items.limit(0), 2).count()
     fused = retrieval.fuse_views(spark.createDataFrame([("q", "T1.001", 0.4), ("q", "T1.002", 0.6)], "query_id string, technique_id string, score double"), spark.createDataFrame([("q", "T1.001", 1.0)], "query_id string, technique_id string, score double"), 0.5)
     parent = retrieval.collapse_to_parent(fused).first()
     assert (parent.technique_id, parent.representative_technique_id, parent.source_technique_ids, parent.score_fused) == ("T1", "T1.001", ["T1.001", "T1.002"], 0.7)
