@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.plans import experiment
-from quillstone.session import materialise, shared_dir
+from quillstone.session import clear, materialise, shared_dir
 from quillstone.sources import jsonl, scorer, stix, tables
 from quillstone.streaming import resume
 
@@ -128,6 +128,13 @@ def test_materialise(spark):
     assert df.count() == 3 and df.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://"))
 
 
+def test_clear(spark):
+    path = materialise(spark.range(1)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    clear()
+    assert not os.path.exists(path)
+
+
 def test_experiment(spark, tmp_path):
     texts = spark.createDataFrame([("c1", "A buffer overflow allows a remote attacker to send a crafted packet. This leads to remote code execution."), ("c2", "Path traversal in the archive lets users read arbitrary files.")], "input_id string, text string")
     tech = spark.createDataFrame([("T1000", "Overflow", "buffer overflow code execution"), ("T1001", "Traversal", "path traversal files"), ("T1002", "Other", "nothing")], "technique_id string, name string, text string")
