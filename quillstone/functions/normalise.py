@@ -75,6 +75,7 @@ def moment_micros(c: Column) -> Column:
     scaled = F.when(F.abs(number) >= 1e17, number / 1e3).when(F.abs(number) >= 1e14, number).when(F.abs(number) >= 1e11, number * 1e3).otherwise(number * 1e6)
     iso = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     zoned = F.regexp_replace(iso, r" ?(UTC|GMT|utc|gmt|z)$", "Z")
+    zoned = F.regexp_replace(zoned, r"([ T]\d{1,2}:\d{2})(?=$|Z|[+-])", "$1:00")
     zoned = F.when(zoned.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & zoned.rlike(r"[:T]\d{2}"), zoned).otherwise(
         F.when(zoned.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(zoned, F.lit(" 00:00:00Z"))).otherwise(F.concat(zoned, F.lit("Z")))
     )
