@@ -32,6 +32,7 @@ RUN = 200
 GRAM = 100
 WINDOW = RUN - GRAM + 1
 REACH = RUN - GRAM
+PERIOD = 12
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -49,10 +50,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digests, text numbers, positions) of the chosen windows of all texts.
+def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, text numbers, positions, more) of the chosen windows of all texts.
 
     The choice in a window goes by the upper half of the hash, the rightmost of equals; it depends on the window alone.
+    In text of a short period every window chooses the same digest. Units of such a chain that have ``reach`` code points of
+    it on either side all have the same surroundings: the first stands for them, and the last stands ``more`` behind it.
     """
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     per = np.array([len(r) // 4 for r in raw], np.int64)
@@ -61,7 +64,7 @@ def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np
     n = len(c) - gram + 1
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none
+        return none, none, none, none
     with np.errstate(over="ignore"):
         s = np.r_[np.uint64(0), np.cumsum((c + np.uint64(1)) * _powers(BASE, len(c)), dtype=np.uint64)]
         h = (s[gram:] - s[:-gram]) * _powers(INVERSE, n)
@@ -79,14 +82,17 @@ def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np
     chosen = np.zeros(n, bool)
     chosen[(np.uint64(0xFFFFFFFF) - (low[inside] & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
+    more = np.zeros(len(at), np.int64)
     if len(at) > 2:
-        # in text of a short period every window chooses the same digest; of such chains the ends and one unit in 25 places suffice
-        link = (np.diff(at) <= 12) & (h[at[1:]] == h[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])
-        inner = np.r_[False, link] & np.r_[link, False]
-        moved = np.r_[True, (at[1:] // 25) != (at[:-1] // 25)]
-        at = at[~inner | moved]
+        first = np.flatnonzero(np.r_[True, (np.diff(at) > PERIOD) | (h[at[1:]] != h[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])])  # of every chain
+        size = np.diff(np.r_[first, len(at)])
+        inner = (at - np.repeat(at[first], size) >= reach) & (np.repeat(at[first + size - 1], size) - at >= reach)
+        lead = inner & ~np.r_[False, inner[:-1]]
+        last = inner & ~np.r_[inner[1:], False]
+        more[lead] = at[last] - at[lead]
+        at, more = at[~inner | lead], more[~inner | lead]
     d = doc[at]
-    return h[at].view(np.int64), d, at - (end - per)[d]
+    return h[at].view(np.int64), d, at - (end - per)[d], more
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,22 +112,22 @@ def fingerprints(classes: DataFrame) -> DataFrame:
                 while at + len(texts) < b.num_rows and size < 1_000_000:
                     texts.append(b.column("text")[at + len(texts)].as_py())
                     size += len(texts[-1])
-                h, d, pos = winnow(texts)
+                h, d, pos, more = winnow(texts)
                 ids = b.column("cls").slice(at, len(texts)).take(pa.array(d))
-                yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(pos)], names=["digest", "cls", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(pos), pa.array(more)], names=["digest", "cls", "pos", "more"])
                 at += len(texts)
 
-    return classes.mapInArrow(run, "digest long, cls long, pos long")
+    return classes.mapInArrow(run, "digest long, cls long, pos long, more long")
 
 
 def occurrences(classes: DataFrame) -> DataFrame:
     """Units that at least two classes hold, with the code points around them. Texts are read again only for classes that have one."""
     f = materialise(fingerprints(classes), "fingerprints")
     shared = f.groupBy("digest").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("digest")
-    at = f.join(shared, "digest", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("digest", "pos")).alias("units"))  # at most one unit a code point of the text
+    at = f.join(shared, "digest", "left_semi").groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "more")).alias("units"))  # at most one unit a code point of the text
     with_text = at.join(classes, "cls")
     u = with_text.select("cls", "text", F.explode("units").alias("u")).select(
-        F.col("u.digest").alias("digest"), "cls", F.col("u.pos").alias("pos"),
+        F.col("u.digest").alias("digest"), "cls", F.col("u.pos").alias("pos"), F.col("u.more").alias("more"),
         F.expr(f"substring(text, cast(greatest(u.pos - {REACH}, 0) as int) + 1, cast(least(u.pos, {REACH}) as int))").alias("before"),
         F.expr(f"substring(text, cast(u.pos as int) + 1, {GRAM})").alias("unit"),
         F.expr(f"substring(text, cast(u.pos as int) + {GRAM} + 1, {REACH})").alias("after"),
@@ -196,8 +202,8 @@ def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda s: m.select("digest", F.col(f"cls_{s}").alias("cls"), F.col(f"rep_{s}").alias("rep"), "head", "tail")
     reach = side("a").unionByName(side("b")).groupBy("digest", "cls", "rep", "head").agg(F.max("tail").alias("tail"))
     surroundings = Window.partitionBy("digest", "cls", "before", "after")
-    placed = occ.select("digest", "cls", "pos", F.min("pos").over(surroundings).alias("rep"))
-    each = placed.join(reach, ["digest", "cls", "rep"]).select("cls", (F.col("pos") - F.col("head")).alias("s"), (F.col("pos") + GRAM + F.col("tail")).alias("e"))
+    placed = occ.select("digest", "cls", "pos", "more", F.min("pos").over(surroundings).alias("rep"))
+    each = placed.join(reach, ["digest", "cls", "rep"]).select("cls", (F.col("pos") - F.col("head")).alias("s"), (F.col("pos") + F.col("more") + GRAM + F.col("tail")).alias("e"))
     n = members.groupBy("cls").agg(F.count("*").alias("n"))
     whole = n.where("n > 1").join(classes, "cls").select("cls", F.lit(0).cast("long").alias("s"), F.length("text").cast("long").alias("e"))
     each = each.unionByName(whole).groupBy("cls", "s").agg(F.max("e").alias("e"))

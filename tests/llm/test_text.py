@@ -183,6 +183,29 @@ def test_spans(spark):
     assert spans.sharing_pairs(df.limit(0)).count() == 0 == spans.shared_amount(df.limit(0)).count()
 
 
+def test_spans_in_periodic_text(spark):
+    """Runs of exactly 200 in longer stretches of a short period, at any offset in a batch, and runs that end in one."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdef ghi\n") for _ in range(n))
+    head, texts = word(20), []
+    for unit in ("=", "-=", "| --- "):
+        for n in (199, 200, 201, 207, 225, 310, 520):
+            for _ in range(3):
+                turn = rng.randrange(len(unit))
+                texts.append(word(rng.randrange(150)) + rng.choice(["", head]) + (unit * 600)[turn : turn + n] + word(rng.randrange(150)))
+        texts += [word(rng.randrange(90)) + head + (unit * 600)[:n] + word(80) for n in (179, 180, 181, 400)]
+    grams = [{t[i : i + 200] for i in range(len(t) - 199)} for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] & grams[j]}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in spans.sharing_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    amount = {r.doc_id: r.shared_chars for r in spans.shared_amount(df).collect()}
+    for i, t in enumerate(texts):
+        others = set().union(*(g for j, g in enumerate(grams) if j != i))
+        inside = {x for k in range(len(t) - 199) if t[k : k + 200] in others for x in range(k, k + 200)}
+        assert amount[i] == len(inside), i
+
+
 def test_lines(spark):
     df = spark.createDataFrame([(2, "same line\n  other \n\nsame line"), (1, " same line"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted(tuple(r) for r in spans.unit_dedup(df).collect())
