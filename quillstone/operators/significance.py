@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIE = 1e-15
+CELLS = 1_000_000
 
 
 def paired(samples: DataFrame, metric: str, reference: str | None = None) -> DataFrame:
@@ -57,6 +59,14 @@ def holm(df: DataFrame, p: str = "p_value", *tie_break: str) -> DataFrame:
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))).drop("_m", "_r")
 
 
+def stream(seed: int) -> np.random.RandomState:
+    """The generator of ``random.Random(seed)`` for whole arrays: the same numbers in the same order."""
+    _, state, _ = random.Random(seed).getstate()
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    return rng
+
+
 def sign_flip_p(differences: list[float], repetitions: int = 20000, seed: int = 0) -> float:
     """Two-sided sign-flip p-value over the non-zero differences: all sign vectors up to twenty, else sampled."""
     d = [x for x in differences if abs(x) > TIE]
@@ -66,8 +76,12 @@ def sign_flip_p(differences: list[float], repetitions: int = 20000, seed: int =
     if len(d) <= 20:
         hits = sum(abs(sum(s * x for s, x in zip(signs, d)) / len(d)) >= observed - TIE for signs in itertools.product((1, -1), repeat=len(d)))
         return hits / 2 ** len(d)
-    rng = random.Random(seed)
-    hits = sum(abs(sum(x if rng.random() < 0.5 else -x for x in d) / len(d)) >= observed - TIE for _ in range(repetitions))
+    rng, hits, v = stream(seed), 0, np.array(d)
+    for at in range(0, repetitions, step := max(1, CELLS // len(d))):
+        kept = rng.random_sample((min(step, repetitions - at), len(d))) < 0.5
+        means = np.abs(2 * (kept @ v) - v.sum()) / len(d)
+        near = np.abs(means - observed) <= 1e-9  # rounding may decide these: summed as ``observed`` is
+        hits += int((means[~near] > observed).sum()) + sum(abs(sum(np.where(k, v, -v).tolist()) / len(d)) >= observed - TIE for k in kept[near])
     return (hits + 1) / (repetitions + 1)
 
 
@@ -97,13 +111,21 @@ def bootstrap_interval(values: list[float], repetitions: int, confidence: float,
     mean = sum(values) / n
     if n == 1 or repetitions <= 0:
         return mean, mean
-    rng = random.Random(seed)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(repetitions))
+    rng, v, bits = stream(seed), np.array(values), n.bit_length()
+    means, spare = [], np.zeros(0, np.uint32)
+    while len(means) < repetitions:
+        rows = min(max(1, CELLS // n), repetitions - len(means))
+        while len(spare) < rows * n:  # randrange(n): the upper bits of a word, drawn again where these are n or more
+            drawn = rng.randint(0, 1 << 32, max(rows * n - len(spare), 1024), np.uint32) >> np.uint32(32 - bits)
+            spare = np.r_[spare, drawn[drawn < n]]
+        means += v[spare[: rows * n]].reshape(rows, n).mean(axis=1).tolist()
+        spare = spare[rows * n :]
+    means.sort()
     tail = (1 - confidence) / 2
     return quantile(means, tail), quantile(means, 1 - tail)
 
 
-def bootstrap(samples: DataFrame, metric: str, repetitions: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap(samples: DataFrame, metric: str, repetitions: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """Per method: mean of ``metric`` over inputs with its bootstrap interval; draws follow the order of input ids."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +136,7 @@ def bootstrap(samples: DataFrame, metric: str, repetitions: int = 200, confidenc
     return samples.select("method", "input_id", metric).groupBy("method").applyInPandas(run, "method string, estimate double, low double, high double")
 
 
-def stratified_bootstrap(rows: DataFrame, stratum: str, value: str, weight: str, order: str, repetitions: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+def stratified_bootstrap(rows: DataFrame, stratum: str, value: str, weight: str, order: str, repetitions: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """Weighted mean of ``value`` with an interval from resampling within strata: one row. The input is a drawn sample, not a corpus."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

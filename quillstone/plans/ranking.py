@@ -142,8 +142,8 @@ def queries() -> dict:
         "mcnemar_exact": lambda s, d: rounded(significance.mcnemar(pairs(s, d, "hit_1", 1))),
         "holm_adjusted": lambda s, d: rounded(holm(s, d)),
         "quantile_interval": lambda s, d: rounded(significance.percentile_interval(metrics.over_runs(samples(s, d), "mrr"), "method", "mrr")),
-        "sign_flip": lambda s, d: significance.sign_flip(pairs(s, d), 200),
-        "bootstrap_interval": lambda s, d: significance.bootstrap(metrics.over_runs(samples(s, d), "mrr"), "mrr", 50),
+        "sign_flip": lambda s, d: significance.sign_flip(pairs(s, d), 20000),
+        "bootstrap_interval": lambda s, d: significance.bootstrap(metrics.over_runs(samples(s, d), "mrr"), "mrr", 5000),
         "beta_sweep": beta_table,
         "beta_winner": lambda s, d: beta_table(s, d).orderBy(F.desc("hit_1"), F.desc("mrr"), "sd_runs", F.col("method").cast("double").desc()).limit(1),
         "gold_index_status": lambda s, d: audit.gold_index_status(gold(s, d), table(s, d, "techniques")),

@@ -1,9 +1,12 @@
+import inspect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import audit, contracts, dataset, explanation, extract, graph, metrics, rerank, retrieval, segment, significance
+from quillstone.plans import ranking
 
 
 def rows(df, *order):
@@ -53,6 +56,26 @@ def test_significance_by_hand(spark):
     assert significance.sign_flip_p(big, 500, 1) == significance.sign_flip_p(big, 500, 1) <= 1
 
 
+def test_resampling_draws_and_repetitions(spark, sf, monkeypatch):
+    """Whole arrays draw what one number after the other does, and the queries draw as often as the reference: 20000 and 5000 times."""
+    rng = random.Random(3)
+    d = [rng.choice([-1.0, -0.5, 0.25, 1 / 3, 0.5]) for _ in range(75)]
+    one, seen = random.Random(9), abs(sum(d) / len(d))
+    hits = sum(abs(sum(x if one.random() < 0.5 else -x for x in d) / len(d)) >= seen - 1e-15 for _ in range(3000))
+    assert significance.sign_flip_p(d, 3000, 9) == (hits + 1) / 3001
+    one = random.Random(9)
+    means = sorted(sum(d[one.randrange(75)] for _ in d) / 75 for _ in range(3000))
+    assert significance.bootstrap_interval(d, 3000, 0.95, 9) == pytest.approx((significance.quantile(means, 0.025), significance.quantile(means, 0.975)), abs=1e-12)
+    monkeypatch.setattr(significance, "CELLS", 100, raising=False)
+    assert significance.sign_flip_p(d, 3000, 9) == (hits + 1) / 3001
+    used = {}
+    for name, f in (("sign_flip", significance.sign_flip), ("bootstrap", significance.bootstrap)):
+        monkeypatch.setattr(significance, name, lambda *a, _n=name, _s=inspect.signature(f), **k: used.update({_n: (b := _s.bind(*a, **k)).apply_defaults() or b.arguments["repetitions"]}))
+    ranking.queries()["sign_flip"](spark, sf), ranking.queries()["bootstrap_interval"](spark, sf)
+    assert used == {"sign_flip": 20000, "bootstrap": 5000}
+    assert inspect.signature(significance.stratified_bootstrap).parameters["repetitions"].default == 5000
+
+
 def test_kappa_and_sample(spark):
     m = audit.confusion(spark.createDataFrame([("A", "A"), ("A", "A"), ("B", "B"), ("A", "B")], "x string, y string"), "x", "y")
     assert audit.kappa(m).first().kappa == pytest.approx(0.5)
