@@ -52,17 +52,19 @@ def samples(s: SparkSession, d: str) -> DataFrame:
     return metrics.per_input(metrics.relevance(rankings(s, d), gold(s, d)))
 
 
-def scores(s: SparkSession, d: str, view: str) -> DataFrame:
+def scores(s: SparkSession, d: str, view: str, whole: bool = False) -> DataFrame:
+    """Scores of pairs that share a token, or with ``whole`` of every record with every technique, as the reference has them."""
     q = merged(s, d).select("query_id", F.col(view).alias("text"))
-    return retrieval.cosine_scores(q, catalogue(s, d), digits=6)
+    items = catalogue(s, d)
+    return retrieval.cosine_scores(q, items, digits=6, least=items.count() if whole else 0)
 
 
-def fused(s: SparkSession, d: str, alpha: float = 0.6) -> DataFrame:
-    return retrieval.fuse_views(scores(s, d, "raw_text"), scores(s, d, "structure"), alpha, digits=6)
+def fused(s: SparkSession, d: str, alpha: float = 0.6, whole: bool = False) -> DataFrame:
+    return retrieval.fuse_views(scores(s, d, "raw_text", whole), scores(s, d, "structure"), alpha, digits=6)  # zeros of one view suffice
 
 
-def sweep(s: SparkSession, d: str) -> DataFrame:
-    g = retrieval.grid(fused(s, d), ALPHAS, 10, digits=6).withColumnRenamed("query_id", "input_id")
+def sweep(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    g = retrieval.grid(fused(s, d, whole=whole), ALPHAS, 10, digits=6).withColumnRenamed("query_id", "input_id")
     g = g.select(F.col("alpha").cast("string").alias("method"), F.explode(F.array(F.lit(5), F.lit(10))).alias("run"), "input_id", "technique_id", "rank").where("rank <= run")
     rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), (10,))
     return rel.groupBy("method", "run").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_10"), 6).alias(m) for m in ("coverage", "macro_recall", "precision", "map", "mrr")])
@@ -117,14 +119,25 @@ def queries() -> dict:
     def by_text(s, d):
         return catalogue(s, d)
 
+    def top_fused(s, d, whole=False):
+        return retrieval.top_n(fused(s, d, whole=whole), "query_id", "technique_id", 5, F.desc("score_fused"), F.desc("score_text"), F.desc("score_structure"))
+
+    def scaled(s, d, whole=False):
+        return scores(s, d, "raw_text", whole).withColumn("scaled", F.round(min_max(F.col("score"), "query_id"), 6))
+
     return {
         "token_stats": lambda s, d: table(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct")),
         "idf_table": lambda s, d: rounded(retrieval.idf(by_text(s, d))),
         "tf_weights": lambda s, d: rounded(retrieval.weights(by_text(s, d), retrieval.idf(by_text(s, d)), "technique_id", "text")),
         "retrieve_topn": lambda s, d: retrieval.retrieve(merged(s, d).select("query_id", F.col("raw_text").alias("text")), by_text(s, d), 5, digits=6),
-        "retrieve_fused": lambda s, d: retrieval.top_n(fused(s, d), "query_id", "technique_id", 5, F.desc("score_fused"), F.desc("score_text"), F.desc("score_structure")),
+        "retrieve_fused": top_fused,
+        "retrieve_fused_whole": lambda s, d: top_fused(s, d, True),
+        "parent_collapse_whole": lambda s, d: retrieval.collapse_to_parent(fused(s, d, whole=True)),
+        "score_minmax_whole": lambda s, d: scaled(s, d, True),
+        "alpha_topn_sweep_whole": lambda s, d: sweep(s, d, True),
+        "sweep_winner_whole": lambda s, d: winner(sweep(s, d, True)),
         "parent_collapse": lambda s, d: retrieval.collapse_to_parent(fused(s, d)),
-        "score_minmax": lambda s, d: scores(s, d, "raw_text").withColumn("scaled", F.round(min_max(F.col("score"), "query_id"), 6)),
+        "score_minmax": scaled,
         "alpha_topn_sweep": sweep,
         "sweep_winner": lambda s, d: winner(sweep(s, d)),
         "rank_metrics": lambda s, d: rounded(samples(s, d)),
@@ -217,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
     fill = f"""with {merged_}, {cat}, {vocab}, {view('t', 'raw_text')},
         a0 as (select query_id, technique_id, coalesce(score, 0) score from (select query_id from m) cross join (select technique_id from it) left join st using (query_id, technique_id)),
         a1 as (select *, row_number() over (partition by query_id order by score desc, technique_id) rank from a0)"""
-    return {
+    made = {
         "token_stats": f"select doc_id, cast(len({tok.format('text')}) as int) as n_tokens, cast(len(list_distinct({tok.format('text')})) as int) as n_distinct from documents",
         "idf_table": f"with {cat}, {vocab} select token, df, round(idf, 6) as idf from vo",
         "tf_weights": f"with {cat}, {vocab} select technique_id, token, round(w, 6) as w from tw",
@@ -252,3 +265,12 @@ def oracle_sql() -> dict[str, str]:
         "technique_parents": f"with {go} select distinct g.technique_id, coalesce(parent_technique_id, case when exists (select 1 from techniques p where p.technique_id = split_part(g.technique_id, '.', 1) and not coalesce(p.revoked, false) and not coalesce(p.deprecated, false)) then split_part(g.technique_id, '.', 1) end, g.technique_id) as parent_id from gold g join techniques t on t.technique_id = g.technique_id",
         "label_frequency": f"with {go} select technique_id, count(*) as support from gold group by 1",
     }
+    # every record with every technique; the texts above stay as they are
+    every = "(select query_id from m) cross join (select technique_id from it)"
+    dense = {"from st a full join ss b using": f"from {every} left join st a using (query_id, technique_id) left join ss b using", "from st window": f"from (select query_id, technique_id, coalesce(score, 0) score from {every} left join st using (query_id, technique_id)) window"}
+    for name in ("retrieve_fused", "parent_collapse", "score_minmax", "alpha_topn_sweep", "sweep_winner"):
+        text = made[name]
+        for old, new in dense.items():
+            text = text.replace(old, new)
+        made[f"{name}_whole"] = text
+    return made

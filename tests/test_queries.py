@@ -49,3 +49,13 @@ def test_query(spark, con, sf, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+def test_records_without_a_shared_token(spark, sf):
+    """Every record is scored with every technique, those without a catalogue word too."""
+    made, n = entry.queries(), ranking.catalogue(spark, sf).count()
+    ids = {r.query_id for r in ranking.merged(spark, sf).select("query_id").collect()}
+    top = made["retrieve_fused_whole"](spark, sf).groupBy("query_id").count().collect()
+    assert {r.query_id for r in top} == ids and all(r["count"] == min(5, n) for r in top)
+    per = made["score_minmax_whole"](spark, sf).groupBy("query_id").count().collect()
+    assert {r.query_id for r in per} == ids and all(r["count"] == n for r in per)
