@@ -10,7 +10,8 @@ is kept as a boundary or passed over by what stands on its two sides.
 * Spaceless scripts: runs of letters are cut into words by the cheapest path through a dictionary lattice. Where a script
   has terminators (Chinese, Japanese), a node after them is a boundary unless the next word is a particle that continues
   the sentence after a quotation. Where it has none (Thai, Lao), every gap is a node, and it is a boundary if the
-  word before it can close a sentence and the word after it opens one.
+  word before it is a closing particle and the word after it does not carry on, or if the word before it does not carry on and
+  the word after it opens a sentence.
 
 Defined cases: null and blank texts have no units; white space of any kind around a unit is not part of it; offsets are
 code points of the text as stored; repeated rows give the same units; a text is never shortened.
@@ -62,6 +63,14 @@ THAI_OPENS = set(
     "โปรด กรุณา คะแนน บันทึก ฟังก์ชัน ผู้โจมตี ผู้ใช้ ผู้ดูแล ผู้ผลิต พบ ตรวจพบ พบว่า หาก ถ้า เมื่อ หลังจาก ขณะ ดังนั้น อย่างไรก็ตาม นอกจากนี้ เนื่องจาก "
     "สำหรับ การ ความ ระบบ บริษัท ช่องโหว่ ปัญหา รุ่น ไฟล์ เขา เรา ท่าน รายงาน ปิด เปิด ติดตั้ง อัปเดต เครื่อง แนวทาง ผลกระทบ".split()
 )
+#: Particles that close a sentence whatever follows, but a word that carries it on.
+THAI_CLOSES = set("ครับ ครับผม คับ ค่ะ คะ นะ นะคะ นะครับ จ้ะ จ๊ะ จ้า ไหม มั้ย หรือไม่ หรือเปล่า เถอะ เถิด สิ ซิ ล่ะ".split())
+LAO_CLOSES = set("ເດີ ແດ່ ບໍ ບໍ່ ເນາະ ນໍ ຫວາ".split())
+#: Words after a closing particle that carry the sentence on all the same.
+STILL_GOES_ON = set("ก็ จึง ด้วย แล้ว ກໍ ຈຶ່ງ ດ້ວຍ ແລ້ວ".split())
+LAO_OPENS = set("ກະລຸນາ ຖ້າ ຫາກ ເມື່ອ ຫຼັງຈາກ ດັ່ງນັ້ນ ແນວໃດກໍຕາມ ນອກຈາກນີ້ ເນື່ອງຈາກ ສໍາລັບ ສຳລັບ ລະບົບ ຜູ້ໃຊ້ ຜູ້ໂຈມຕີ ຜູ້ດູແລ ບໍລິສັດ ບັນຫາ ການ ຄວາມ ພົບ ເຮົາ ພວກເຮົາ ເຂົາ ລາຍງານ ໄຟລ໌ ຊ່ອງໂຫວ່".split())
+LAO_GOES_ON = set("ຄື ໃນ ຂອງ ທີ່ ຊຶ່ງ ແລະ ຫຼື ແຕ່ ກັບ ຈາກ ຍັງ ໄປ ເພື່ອ ໂດຍ ກ່ອນ ວ່າ ເປັນ ໃຫ້ ຈະ ຕ້ອງ ຄວນ ຖືກ ຕາມ ແບບ ເຊັ່ນ ສໍາລັບ ສຳລັບ ການ ຄວາມ ທຸກ ບາງ ຫຼາຍ".split())
+LAO = "ສົ່ງ ຂໍ້ມູນ ບໍລິການ ອ່ານ ໄດ້ ແກ້ໄຂ ມີ ນີ້ ນັ້ນ ຢູ່ ມາ ຂຶ້ນ ລົງ ໄວ້ ກວດສອບ ປັບປຸງ ຕິດຕັ້ງ ເປີດ ປິດ ໃຊ້ ງານ ທັນທີ ລຸ້ນ ເຄື່ອງ ເຄືອຂ່າຍ ລະຫັດຜ່ານ ຄຳສັ່ງ ຂອບໃຈ".split()
 THAI_GOES_ON = set("คือ ใน ของ ที่ ซึ่ง และ หรือ แต่ กับ จาก ยัง ไป เพื่อ โดย ก่อน ว่า เป็น ให้ จะ ต้อง ควร ไม่ ถูก ตาม แบบ เช่น ระบุ พอร์ต รหัส ฟังก์ชัน ปรับปรุง สำหรับ การ ความ เวอร์ชัน รุ่น ทุก บาง หลาย".split())
 #: Japanese and Chinese words that carry a sentence on after a quotation.
 JAPANESE = ["と", "という", "として", "との", "とは", "って", "など", "は", "が", "を", "に", "で", "も", "や", "の", "から", "まで", "その", "それ", "この", "これ", "ところ", "とき", "ともに", "のみ", "もし", "では", "でも", "なお", "また", "やがて", "がんばる"]
@@ -90,7 +99,10 @@ def lattice_words(run: str, words: set[str], longest: int) -> list[str]:
     return out[::-1]
 
 
-_LEX = {"thai": (set(THAI) | THAI_OPENS | THAI_GOES_ON), "ja": set(JAPANESE), "zh": set(CHINESE)}
+_LEX = {"thai": (set(THAI) | THAI_OPENS | THAI_GOES_ON | THAI_CLOSES | STILL_GOES_ON), "lao": (set(LAO) | LAO_OPENS | LAO_GOES_ON | LAO_CLOSES | STILL_GOES_ON), "ja": set(JAPANESE), "zh": set(CHINESE)}
+_OPENS = {"thai": THAI_OPENS, "lao": LAO_OPENS}
+_CLOSES = {"thai": THAI_CLOSES, "lao": LAO_CLOSES}
+_GOES_ON = {"thai": THAI_GOES_ON, "lao": LAO_GOES_ON}
 _LONGEST = {k: max(map(len, v)) for k, v in _LEX.items()}
 THAI_RUN = re.compile(r"[฀-໿]+")
 KANA = re.compile(r"[぀-ヿ]")
@@ -237,20 +249,36 @@ def _plain_stop(t: str, b: int, i: int, ch: str, e: int, k: int) -> bool:
     return True
 
 
-def _thai_gap(t: str, b: int, e: int, g: int, k: int) -> bool:
-    """A gap t[g:k] in text of a script without spaces and periods."""
-    before = re.search(r"[฀-໿]+$", t[max(b, g - 40) : g])
-    after = THAI_RUN.match(t, k, min(e, k + 40))
+def _script(run: str) -> str:
+    return "lao" if run[0] >= "\u0e80" else "thai"
+
+
+def _run_words(run: str) -> tuple[str, str]:
+    """The first and the last word of a whole run of letters."""
+    lex = _script(run)
+    words = lattice_words(run, _LEX[lex], _LONGEST[lex])
+    return words[0], words[-1]
+
+
+def _thai_gap(t: str, e: int, k: int, before: str | None, after: str | None, words: dict[str, tuple[str, str]]) -> bool:
+    """A gap that ends at ``k`` in text of a script without spaces and periods, between two whole runs of letters.
+
+    It is a boundary if the word before it is a particle that closes and the one after it does not carry the sentence on,
+    or if the word before it does not carry on and the one after it opens.
+    """
     if before is None:
         return False
-    last = lattice_words(before[0], _LEX["thai"], _LONGEST["thai"])[-1]
-    if last in THAI_GOES_ON:
+    for run in (before, after):
+        if run and run not in words:
+            words[run] = _run_words(run)
+    lex, last = _script(before), words[before][1]
+    if last in _GOES_ON[lex]:
         return False
     if after is None:  # another script: only after a word that closes, and if a sentence can open there
         nxt = TOKEN.match(t, k, e)
-        return bool(nxt) and (bool(SPACELESS.match(nxt[0])) or (last in _LEX["thai"] and t[k].isalpha() and t[k].isupper() and last not in THAI_OPENS) or (t[k].isalpha() and not t[k].isupper() and not t[k].islower()) or t[k] in "¿¡«„“")
-    first = lattice_words(after[0], _LEX["thai"], _LONGEST["thai"])[0]
-    return first in THAI_OPENS
+        return bool(nxt) and (bool(SPACELESS.match(nxt[0])) or (last in _LEX[lex] and t[k].isalpha() and t[k].isupper() and last not in _OPENS[lex]) or (t[k].isalpha() and not t[k].isupper() and not t[k].islower()) or t[k] in "¿¡«„“")
+    first, to = words[after][0], _script(after)
+    return first in _OPENS[to] or (last in _CLOSES[lex] and first not in _GOES_ON[to] and first not in _CLOSES[to] and first not in STILL_GOES_ON)
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
@@ -311,9 +339,12 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 cuts.append((g, 0))
         if THAI_RUN.search(t, b, e):
             marks = {c[0] for c in cuts}
+            runs = list(THAI_RUN.finditer(t, b, e))
+            opened, closed = {m.start(): m[0] for m in runs}, {m.end(): m[0] for m in runs}
+            words: dict[str, tuple[str, str]] = {}
             for m in re.compile(r"\s+").finditer(t, b, e):
                 g, k = m.span()
-                if g not in marks and holder(g) < 0 and (THAI_RUN.match(t, g - 1) or THAI_RUN.match(t, k)) and _thai_gap(t, b, e, g, k):
+                if g not in marks and holder(g) < 0 and _thai_gap(t, e, k, closed.get(g), opened.get(k), words):
                     marks.add(g)
             cuts = [(g, 0) for g in sorted(marks)]
         s = b

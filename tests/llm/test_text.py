@@ -159,6 +159,16 @@ def test_leakage(spark, monkeypatch):
     assert sum(r.pairs for r in rep) == len(want) and all(0.8 <= r.max_containment <= 1 for r in rep)
 
 
+def test_closing_particles():
+    """A particle ends a sentence whatever opens the next one, and not where a word carries it on; Lao gaps are judged too."""
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    assert cut("ส่งข้อมูลแล้วครับ วันนี้ฝนตก") == ["ส่งข้อมูลแล้วครับ", "วันนี้ฝนตก"]
+    assert cut("ส่งข้อมูลแล้วค่ะ และอ่านได้") == ["ส่งข้อมูลแล้วค่ะ และอ่านได้"]
+    assert cut("ส่งข้อมูล วันนี้ฝนตก") == ["ส่งข้อมูล วันนี้ฝนตก"]
+    assert cut("ສົ່ງຂໍ້ມູນແດ່ ມື້ນີ້ຝົນຕົກ") == ["ສົ່ງຂໍ້ມູນແດ່", "ມື້ນີ້ຝົນຕົກ"]
+    assert cut("ອ່ານຂໍ້ມູນໄດ້ ກະລຸນາຕິດຕັ້ງ") == ["ອ່ານຂໍ້ມູນໄດ້", "ກະລຸນາຕິດຕັ້ງ"]
+
+
 def test_spans(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdef ghi\n") for _ in range(n))
