@@ -108,6 +108,7 @@ THAI_RUN = re.compile(r"[฀-໿]+")
 KANA = re.compile(r"[぀-ヿ]")
 HAN = re.compile(r"[㐀-鿿豈-﫿]")
 SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
+SPACELESS_RUN = re.compile(f"(?:{SPACELESS.pattern})+")
 TOKEN = re.compile(r"[^\s]+")
 
 
@@ -203,10 +204,8 @@ def _ends(t: str, b: int, e: int, i: int, j: int, g: int, quoted: bool) -> bool:
     closed = g > j
     if run[-1] in HARD or (SPACELESS.match(ch) and k == g and run[-1] in "!?"):
         if closed and SPACELESS.match(ch):
-            stretch = t[k : min(e, k + 8)]
-            run_len = next((x for x, c in enumerate(stretch) if not SPACELESS.match(c)), len(stretch))
             lex = "ja" if KANA.match(ch) else "zh"
-            word = lattice_words(stretch[:run_len], _LEX[lex], _LONGEST[lex])[0]
+            word = lattice_words(SPACELESS_RUN.match(t, k, e)[0], _LEX[lex], _LONGEST[lex])[0]
             return word not in (JAPANESE_GOES_ON if lex == "ja" else CHINESE_GOES_ON)
         return ch not in "、，,;；：:"
     soft = run[-1] in "…‥" or run.endswith("..")

@@ -169,6 +169,17 @@ def test_closing_particles():
     assert cut("ອ່ານຂໍ້ມູນໄດ້ ກະລຸນາຕິດຕັ້ງ") == ["ອ່ານຂໍ້ມູນໄດ້", "ກະລຸນາຕິດຕັ້ງ"]
 
 
+def test_lattice_sees_whole_runs(monkeypatch):
+    """A run of 41 letters whose last 40 are cut into other words."""
+    monkeypatch.setitem(sentences._LEX, "thai", {"กข", "ขก", "ขค", "กขค"})
+    sentences.THAI_GOES_ON.add("ขค"), sentences.THAI_OPENS.add("กข")
+    try:
+        text = "กข" * 20 + "ค" + " " + "กข"
+        assert sentences.sentence_spans(text) == [(0, 41), (42, 44)]
+    finally:
+        sentences.THAI_GOES_ON.discard("ขค"), sentences.THAI_OPENS.discard("กข")
+
+
 def test_spans(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdef ghi\n") for _ in range(n))
