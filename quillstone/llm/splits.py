@@ -7,8 +7,9 @@ split by adaptive execution, and every step is written to the shared folder.
 Method of the allocation: min-cost flow. Components are bundled by identical size and label profile. Each bundle first
 gives every split the whole part of its fair share, in Spark. What is left of a bundle (fewer components than splits) is
 bundled again by size and rarest label; these bundles, bounded by distinct sizes times labels, form the supply nodes of a
-transport problem whose arcs to the splits cost the deviation from the bundle's fair share and from the row quotas. It is
-solved by successive cheapest paths with integral flow, and members are taken by hash.
+transport problem whose arcs to the splits cost the deviation from the bundle's fair share and from the row quotas. Units are
+routed one at a time to the cheapest split and then moved between splits while a single move pays; the flow is integral, and
+near but not proven optimal. Members are taken by hash.
 
 Defined cases: rows without base id (none readable in base_input_id and source_id) and advisory are groups of their own;
 stand-ins, pending and all-zero advisories join nothing; null label lists count as no label; an empty table gives no rows.
@@ -16,7 +17,7 @@ stand-ins, pending and all-zero advisories join nothing; null label lists count
 
 from __future__ import annotations
 
-import heapq
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,18 +72,18 @@ def linked_rows(source_rows: DataFrame) -> DataFrame:
 
 
 def transport(sizes: np.ndarray, counts: np.ndarray, shares: np.ndarray, room: np.ndarray, unit: float) -> np.ndarray:
-    """Integral min-cost flow of ``counts[b]`` components of ``sizes[b]`` rows to the splits: flow[b, split].
+    """Integral flow of low cost of ``counts[b]`` components of ``sizes[b]`` rows to the splits: flow[b, split].
 
     A unit of bundle b sent to split s costs the growth of (deviation from the bundle's fair share)^2, weighted by size,
     plus the growth of the split's squared deviation from ``room`` (rows still wanted), weighted by ``unit``. Costs are
-    convex, so units are routed one at a time along the cheapest path, which may move a unit between splits.
+    convex: units are routed one at a time to the cheapest split, and then the best single move of all bundles from a
+    split over its quota, or to one under it, is made until none pays (or four times as many moves as units are made).
     """
     k = len(shares)
     flow = np.zeros((len(sizes), k), np.int64)
     fair = counts[:, None] * shares[None, :]
     left = room.astype(float).copy()
     order = np.argsort(-sizes, kind="stable")
-    moves: dict[tuple[int, int], list] = {(a, b): [] for a in range(k) for b in range(k) if a != b}
 
     def dev(b: int, s: int, step: int) -> float:
         f = flow[b, s] - fair[b, s]
@@ -97,20 +98,19 @@ def transport(sizes: np.ndarray, counts: np.ndarray, shares: np.ndarray, room: n
             s = min(range(k), key=lambda s: (dev(b, s, 1) + fill(b, s, 1), s))
             flow[b, s] += 1
             left[s] -= sizes[b]
-            for t in range(k):
-                if t != s:
-                    heapq.heappush(moves[s, t], (-int(sizes[b]), int(b)))
-    # cancel negative cycles that are left: move single components while that lowers the cost
+    w, per = sizes.astype(float), np.maximum(sizes, 1.0)
     for _ in range(4 * int(counts.sum()) + 16):
         best = (-1e-9, None)
-        for (s, t), heap in moves.items():
-            if left[s] >= 0 and left[t] <= 0:
+        off = flow - fair
+        for s, t in itertools.permutations(range(k), 2):
+            held = np.flatnonzero(flow[:, s] > 0)
+            if (left[s] >= 0 and left[t] <= 0) or not len(held):
                 continue
-            for w, b in heap[:64]:
-                if flow[b, s] > 0:
-                    gain = dev(b, s, -1) + dev(b, t, 1) + unit * ((left[s] - w) ** 2 - left[s] ** 2 + (left[t] + w) ** 2 - left[t] ** 2) / max(-w, 1.0)
-                    if gain < best[0]:
-                        best = (gain, (s, t, b))
+            z = w[held]
+            gain = z * (2 - 2 * off[held, s] + 2 * off[held, t]) + unit * ((left[s] + z) ** 2 - left[s] ** 2 + (left[t] - z) ** 2 - left[t] ** 2) / per[held]
+            x = int(np.argmin(gain))
+            if gain[x] < best[0]:
+                best = (float(gain[x]), (s, t, int(held[x])))
         if best[1] is None:
             break
         s, t, b = best[1]
@@ -118,9 +118,6 @@ def transport(sizes: np.ndarray, counts: np.ndarray, shares: np.ndarray, room: n
         flow[b, t] += 1
         left[s] += sizes[b]
         left[t] -= sizes[b]
-        for x in range(k):
-            if x != t:
-                heapq.heappush(moves[t, x], (-int(sizes[b]), int(b)))
     return flow
 
 

@@ -217,3 +217,21 @@ def test_split_shares(spark):
     whole = Counter(r[4][0] for r in rows)
     assert all(r["count"] / whole[r.l] == pytest.approx(0.8, abs=0.04) for r in lab)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in splits.allocate(spark.createDataFrame(rows[::-1], ROWS)).collect()}
+
+
+def test_moves_of_all_bundles():
+    """When transport is done, no single move of any bundle pays, however many units larger bundles have."""
+    rng, shares, k = np.random.default_rng(2), np.array([0.8, 0.1, 0.1]), 3
+    for _ in range(40):
+        n = int(rng.integers(5, 30))
+        sizes, counts = rng.integers(1, 40, n), rng.integers(1, 120, n)
+        room = (sizes * counts).sum() * rng.dirichlet([8, 1, 1])
+        flow = splits.transport(sizes, counts, shares, room, 1.0)
+        assert (flow >= 0).all() and (flow.sum(axis=1) == counts).all()
+        left = room - sizes @ flow
+        off = flow - counts[:, None] * shares
+        for s in range(k):
+            for t in range(k):
+                if s != t and (left[s] < 0 or left[t] > 0):
+                    gain = sizes * (2 - 2 * off[:, s] + 2 * off[:, t]) + ((left[s] + sizes) ** 2 - left[s] ** 2 + (left[t] - sizes) ** 2 - left[t] ** 2) / sizes
+                    assert (gain[flow[:, s] > 0] >= -1e-6).all()
