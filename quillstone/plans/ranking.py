@@ -18,6 +18,10 @@ from . import sqltext as S
 
 METHODS = {"edge": "mean_edge_score", "llm": "llm_score", "path": "path_cost", "text": "score_text"}
 ALPHAS = [0.0, 0.3, 0.6, 1.0]
+#: The grids of the reference's experiment.
+WHOLE_ALPHAS = [0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0]
+WHOLE_LENGTHS = (5, 10, 15, 20, 30, 50)
+WHOLE_BETAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 def merged(s: SparkSession, d: str) -> DataFrame:
@@ -64,10 +68,11 @@ def fused(s: SparkSession, d: str, alpha: float = 0.6, whole: bool = False) -> D
 
 
 def sweep(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    g = retrieval.grid(fused(s, d, whole=whole), ALPHAS, 10, digits=6).withColumnRenamed("query_id", "input_id")
-    g = g.select(F.col("alpha").cast("string").alias("method"), F.explode(F.array(F.lit(5), F.lit(10))).alias("run"), "input_id", "technique_id", "rank").where("rank <= run")
-    rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), (10,))
-    return rel.groupBy("method", "run").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_10"), 6).alias(m) for m in ("coverage", "macro_recall", "precision", "map", "mrr")])
+    lengths = WHOLE_LENGTHS if whole else (5, 10)
+    g = retrieval.grid(fused(s, d, whole=whole), WHOLE_ALPHAS if whole else ALPHAS, lengths[-1], digits=6).withColumnRenamed("query_id", "input_id")
+    g = g.select(F.col("alpha").cast("string").alias("method"), F.explode(F.array(*map(F.lit, lengths))).alias("run"), "input_id", "technique_id", "rank").where("rank <= run")
+    rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), (lengths[-1],))
+    return rel.groupBy("method", "run").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_{lengths[-1]}"), 6).alias(m) for m in ("coverage", "macro_recall", "precision", "map", "mrr")])
 
 
 def winner(table_of_runs: DataFrame, tolerance: float = 0.005) -> DataFrame:
@@ -93,8 +98,8 @@ def beta_grid(s: SparkSession, d: str, betas: tuple[float, ...] = (0.0, 0.25, 0.
     return g.select(F.col("beta").cast("string").alias("method"), "run", "input_id", "technique_id", F.row_number().over(w).alias("rank"))
 
 
-def beta_table(s: SparkSession, d: str) -> DataFrame:
-    m = metrics.per_input(metrics.relevance(beta_grid(s, d), gold(s, d)))
+def beta_table(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    m = metrics.per_input(metrics.relevance(beta_grid(s, d, WHOLE_BETAS) if whole else beta_grid(s, d), gold(s, d)))
     per = m.groupBy("method", "run").agg(F.avg("hit_1").alias("h"), F.avg("mrr").alias("m"))
     return per.groupBy("method").agg(F.round(F.avg("h"), 6).alias("hit_1"), F.round(F.avg("m"), 6).alias("mrr"), F.round(F.coalesce(F.stddev_samp("h"), F.lit(0.0)), 6).alias("sd_runs"))
 
@@ -122,6 +127,9 @@ def queries() -> dict:
     def top_fused(s, d, whole=False):
         return retrieval.top_n(fused(s, d, whole=whole), "query_id", "technique_id", 5, F.desc("score_fused"), F.desc("score_text"), F.desc("score_structure"))
 
+    def best_beta(s, d, whole=False):
+        return beta_table(s, d, whole).orderBy(F.desc("hit_1"), F.desc("mrr"), "sd_runs", F.col("method").cast("double").desc()).limit(1)
+
     def scaled(s, d, whole=False):
         return scores(s, d, "raw_text", whole).withColumn("scaled", F.round(min_max(F.col("score"), "query_id"), 6))
 
@@ -158,7 +166,9 @@ def queries() -> dict:
         "sign_flip": lambda s, d: significance.sign_flip(pairs(s, d), 20000),
         "bootstrap_interval": lambda s, d: significance.bootstrap(metrics.over_runs(samples(s, d), "mrr"), "mrr", 5000),
         "beta_sweep": beta_table,
-        "beta_winner": lambda s, d: beta_table(s, d).orderBy(F.desc("hit_1"), F.desc("mrr"), "sd_runs", F.col("method").cast("double").desc()).limit(1),
+        "beta_winner": best_beta,
+        "beta_sweep_whole": lambda s, d: beta_table(s, d, True),
+        "beta_winner_whole": lambda s, d: best_beta(s, d, True),
         "gold_index_status": lambda s, d: audit.gold_index_status(gold(s, d), table(s, d, "techniques")),
         "coverage_status": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)),
         "coverage_by_k": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)).groupBy("k", "status").agg(F.count("*").alias("n")),
@@ -265,10 +275,12 @@ def oracle_sql() -> dict[str, str]:
         "technique_parents": f"with {go} select distinct g.technique_id, coalesce(parent_technique_id, case when exists (select 1 from techniques p where p.technique_id = split_part(g.technique_id, '.', 1) and not coalesce(p.revoked, false) and not coalesce(p.deprecated, false)) then split_part(g.technique_id, '.', 1) end, g.technique_id) as parent_id from gold g join techniques t on t.technique_id = g.technique_id",
         "label_frequency": f"with {go} select technique_id, count(*) as support from gold group by 1",
     }
-    # every record with every technique; the texts above stay as they are
+    # every record with every technique, and the whole grids; the texts above stay as they are
     every = "(select query_id from m) cross join (select technique_id from it)"
     dense = {"from st a full join ss b using": f"from {every} left join st a using (query_id, technique_id) left join ss b using", "from st window": f"from (select query_id, technique_id, coalesce(score, 0) score from {every} left join st using (query_id, technique_id)) window"}
-    for name in ("retrieve_fused", "parent_collapse", "score_minmax", "alpha_topn_sweep", "sweep_winner"):
+    doubles = lambda v: "[" + ", ".join(f"{x}::double" for x in v) + "]"
+    dense |= {doubles(ALPHAS): doubles(WHOLE_ALPHAS), "[5, 10]": str(list(WHOLE_LENGTHS)), doubles((0.0, 0.25, 0.5, 0.75, 1.0)): doubles(WHOLE_BETAS)}
+    for name in ("beta_sweep", "beta_winner", "retrieve_fused", "parent_collapse", "score_minmax", "alpha_topn_sweep", "sweep_winner"):
         text = made[name]
         for old, new in dense.items():
             text = text.replace(old, new)
