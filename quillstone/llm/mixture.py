@@ -2,17 +2,17 @@
 
 Method: subset-sum budget fitting. Documents are counted by source and exact token length. A source's budget is its
 share of the tokens of all documents with a source. It is used as often as the budget and its cap allow as a whole; the
-rest of the budget is fitted by choosing how many documents of each length are used once more: the seeded fraction that
-surely fits is taken of every length, and what then remains (below the sum of the distinct lengths, whatever the size
-of the corpus) goes through a bounded-knapsack table over token sums, kept as the bits of an integer. The chosen number
-of documents of every length is then taken in hashed order.
+rest of the budget is fitted by choosing how many documents of each length are used once more: most of it is filled with
+the same fraction of every length, and the rest goes through a bounded-knapsack table over token sums, whose part grows
+until the sum is proven the largest possible (see ``fit``). The chosen number of documents of every length is then taken
+in hashed order.
 
 Only (source, length, count) rows reach the fitting task of a source; the documents themselves never do. A length shared
 by a third of the corpus (empty texts) is numbered in slices of the hash.
 
 Defined cases: null and empty texts have no tokens, count as documents of length 0 and are never repeated; documents with
 a null source or one not among the targets are not used, but those with any source count in the total; a source without
-documents gets a row with zeros; a null share or cap is 0; of targets with one name the first counts; target shares are
+documents gets a row with zeros; a null share or cap is 0; of targets with one name the one of the largest share, then of the largest cap counts; target shares are
 taken as given.
 """
 
@@ -31,53 +31,87 @@ from .bytepair import count_tokens
 SLICES = 256
 
 
+def _table(lengths: np.ndarray, avail: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """(take, sum): the largest sum of at most ``rest`` with at most ``avail`` of each length, by a bounded-knapsack table.
+
+    Counts enter in binary parts; the table keeps for every reachable sum the part it was first reached with.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    via = np.full(rest + 1, -1, np.int32)
+    via[0] = 0
+    parts: list[tuple[int, int]] = [(0, 0)]
+    for i in np.argsort(-lengths, kind="stable"):
+        n, part = min(int(avail[i]), rest // int(lengths[i])), 1
+        while n > 0 and via[rest] < 0:
+            c = min(part, n)
+            step = c * int(lengths[i])
+            fresh = np.flatnonzero((via[: rest + 1 - step] >= 0) & (via[step:] < 0)) + step
+            via[fresh] = len(parts)
+            parts.append((int(i), c))
+            n -= c
+            part *= 2
+        if via[rest] >= 0:
+            break
+    at = top = int(np.flatnonzero(via >= 0)[-1])
+    while at:
+        i, c = parts[via[at]]
+        take[i] += c
+        at -= c * int(lengths[i])
+    return take, top
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (> 0, distinct) to take so that their sum is as large as possible, at most ``budget``.
 
-    Exact over the part left by the proportional step; taking everything if it fits.
+    The largest part of the budget is filled with the same fraction of every length and only the rest goes through the
+    table. If the table does not fill it to the last multiple of the lengths' common divisor, which proves the sum the
+    largest, its part is made 16 times as large. By the proximity theorem for integer programs with one row some best choice differs from
+    filling the budget length by length by at most 2 x the longest length + 1 documents, so a table over that many of them is final.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    take = np.zeros(len(lengths), np.int64)
     whole = int((lengths * counts).sum())
     if budget <= 0 or whole == 0:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if whole <= budget:
         return counts.copy()
-    take = (counts * (budget / whole)).astype(np.int64)  # rounding down: never above the budget
+    longest = int(lengths.max())
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    most = budget // unit * unit
+    part, last = 4 * longest + 65536, (2 * longest + 1) * longest
+    while True:
+        final = part >= min(most, last)
+        base = _filled(lengths, counts, max(most - part, 0)) if not final else _in_turn(lengths, counts, most, 2 * longest + 1)
+        avail = counts - base
+        if final:
+            avail = np.minimum(avail, 4 * longest + 2)
+        rest = most - int((base * lengths).sum())
+        take, reached = _table(lengths, avail, rest)
+        if final or reached == rest:
+            return base + take
+        part *= 16
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The same fraction of every length, rounded down, and then documents from the shortest length on, up to ``budget`` at most."""
+    take = (counts * (budget / int((lengths * counts).sum()))).astype(np.int64)
     while (over := int((take * lengths).sum()) - budget) > 0:
         i = int(np.flatnonzero(take)[-1])
         take[i] -= min(int(take[i]), -(-over // int(lengths[i])))
-    rest = budget - int((take * lengths).sum())
-    left = counts - take
-    window = 4 * int(lengths.max()) + 65536  # single documents, longest first, until the table below stays small
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= window:
-            break
-        more = min(int(left[i]), (rest - window) // int(lengths[i]) + 1)
-        take[i], left[i], rest = take[i] + more, left[i] - more, rest - more * int(lengths[i])
-    # bounded knapsack: counts in binary parts, reachable sums as bits
-    mask = (1 << (rest + 1)) - 1
-    reach, steps = 1, []
-    for i in np.argsort(-lengths, kind="stable"):
-        n, part = min(int(left[i]), rest // int(lengths[i])), 1
-        while n > 0:
-            c = min(part, n)
-            before = reach
-            reach |= (reach << (c * int(lengths[i]))) & mask
-            if reach != before:
-                steps.append((int(i), c, before))
-            n -= c
-            part *= 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, c, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += c
-            at -= c * int(lengths[i])
+    for i in np.argsort(lengths, kind="stable"):
+        more = min(int(counts[i] - take[i]), (budget - int((take * lengths).sum())) // int(lengths[i]))
+        take[i] += more
     return take
 
 
+def _in_turn(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int) -> np.ndarray:
+    """Documents length by length up to ``budget``, less ``spare`` of each length that has so many."""
+    take, left = np.zeros(len(lengths), np.int64), budget
+    for i in range(len(lengths)):
+        take[i] = min(int(counts[i]), left // int(lengths[i]))
+        left -= int(take[i] * lengths[i])
+    return np.maximum(take - spare, 0)
+
+
 FIT = "source string, n_tokens long, docs long, repeats long, extra long, budget double, own_tokens long, max_repeats int, target_share double"
 
 
@@ -85,8 +119,10 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source and token length: whole repeats of every document, and how many documents are used once more."""
     hist = sized.where("source is not null").groupBy("source", "n_tokens").agg(F.count("*").alias("docs"))
     total = hist.agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("total"))
-    goal = targets.select(N.key_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
-    joined = goal.join(hist, "source", "left").withColumn("total", total.scalar()).select("source", "target_share", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("total", F.lit(0)).alias("total"))
+    named = targets.select(N.key_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    goal = named.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("x")).select("source", "x.*")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    joined = goal.join(hist, "source", "left").withColumn("total", total.scalar()).select("source", "target_share", "max_repeats", zero("n_tokens"), zero("docs"), zero("total"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens").reset_index(drop=True)

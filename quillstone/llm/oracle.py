@@ -83,6 +83,13 @@ def oracle_sql() -> dict[str, str]:
         root as (select f b, min(m) g from reach join lead on reach.t = lead.b group by f),
         rows_of as (select row_id, coalesce(g, row_id) g from n left join root using (b))
         select g as group_row_id, row_id from rows_of where g <> row_id"""
+    # whole quotas: rounded down, the rest by largest fraction; the split meets them to the row and parts no group
+    p6_shares = """
+        with n as (select count(*) n from source_rows), s(i, name, tenths) as (values (0, 'train', 8), (1, 'validation', 1), (2, 'test', 1)),
+        q as (select i, name, n, n * tenths // 10 w, n * tenths % 10 f from n, s),
+        o as (select *, row_number() over (order by f desc, i) k, n - sum(w) over () short from q)
+        select name as assigned_split, cast(w + case when k <= short then 1 else 0 end as bigint) as wanted_rows,
+            cast(w + case when k <= short then 1 else 0 end as bigint) as n_rows, cast(0 as bigint) as n_parted from o"""
     p9_lines = """
         with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 unit_no from documents where text is not null),
         s as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) pos,
@@ -90,4 +97,4 @@ def oracle_sql() -> dict[str, str]:
         u as (select doc_id, unit_no, pos + length(line) - length(led) st, regexp_replace(led, '[\\s\\x{0085}\\x{00A0}\\x{2028}\\x{2029}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+$', '') unit from s)
         select doc_id, cast(unit_no as int) as unit_no, cast(st as bigint) as "start", cast(st + length(unit) as bigint) as "end",
             row_number() over (partition by unit order by doc_id, unit_no) = 1 as keep from u where length(unit) >= 1"""
-    return {"p1_found": p1, "p2_found": p2, "p4_found": p4, "p4_agreement": p4_agreement, "p6_found": p6, "p9_lines": p9_lines}
+    return {"p1_found": p1, "p2_found": p2, "p4_found": p4, "p4_agreement": p4_agreement, "p6_found": p6, "p6_shares": p6_shares, "p9_lines": p9_lines}

@@ -24,6 +24,8 @@ def queries():
         "p5_report": lambda s, d: leakage.report(t(s, d, "source_rows"), t(s, d, "records")),
         "p6_found": lambda s, d: splits.linked_rows(t(s, d, "source_rows")),
         "p6_split": lambda s, d: splits.allocate(t(s, d, "source_rows")),
+        "p6_shares": lambda s, d: splits.reached(t(s, d, "source_rows")).select("assigned_split", "wanted_rows", "n_rows", "n_parted"),
+        "p6_balance": lambda s, d: splits.reached(t(s, d, "source_rows")),
         "p7_ids": lambda s, d: bytepair.encode_texts(t(s, d, "documents").select("doc_id", "text")),
         "p8_found": lambda s, d: mixture.short_sources(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p8_report": lambda s, d: mixture.report(t(s, d, "documents"), t(s, d, "mix_targets")),

@@ -132,7 +132,6 @@ def fused_ranking(candidates: DataFrame, damping: float = 0.85) -> DataFrame:
 
 
 def unanimous_winners(rerank: DataFrame) -> DataFrame:
-    """Heads of the fused ranking that are strictly first in all scores, or in all but one where at most one candidate betters them."""
+    """Candidates of the fused ranking that are strictly first in all scores, or in all but one where at most one candidate betters them (the exact check)."""
     r = fused_ranking(latest_candidates(rerank))
-    head = r.where(F.col("fused_rank") <= 3)
-    return head.where((F.col("firsts") == 4) | ((F.col("firsts") == 3) & (F.col("seconds") == 4))).select("input_id", "technique_id")
+    return r.where((F.col("firsts") == 4) | ((F.col("firsts") == 3) & (F.col("seconds") == 4))).select("input_id", "technique_id")

@@ -1,13 +1,14 @@
 """Problems 1, 2, 4 and 6 on small tables: defined cases and brute force."""
 
 import datetime as dt
+import itertools
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillstone.llm import annotators, rankfusion, splits, survivorship
 
@@ -87,21 +88,6 @@ def test_stationary_against_matrix():
         assert all((b == [(s > x).sum() for x in s]).all() and (t == [(s == x).sum() - 1 for x in s]).all() for (b, t), s in zip(counts, scores))
 
 
-def test_winners_head_the_walk():
-    """Whoever is first in three scores and at worst second in the other is among the three heads of the walk, whatever the rest."""
-    rng = np.random.default_rng(9)
-    for _ in range(300):
-        n = int(rng.integers(2, 60))
-        scores = [rng.permutation(n).astype(float) for _ in range(4)]
-        odd = int(rng.integers(4))
-        for k, s in enumerate(scores):
-            want = n - 1 if k != odd else n - 2
-            j = int(np.flatnonzero(s == want)[0])
-            s[0], s[j] = want, s[0]
-        pi, *_ = rankfusion.stationary(np.zeros(n, int), scores)
-        assert (pi > pi[0]).sum() < 3
-
-
 REVIEWS = "form_id long, sample_id string, reviewer_1_id string, reviewer_1_decision string, reviewer_2_id string, reviewer_2_decision string, adjudicator_id string, adjudicated_decision string, submitted_at timestamp, annotator int, d int"
 
 
@@ -154,9 +140,31 @@ def test_annotator_reliability(spark):
     assert a.alpha == pytest.approx(1 - do / de)
 
 
-def test_digamma(spark):
-    df = spark.createDataFrame([(1.0,), (0.5,), (10.0,)], "x double").select(annotators.digamma(F.col("x")).alias("y"))
-    assert [r.y for r in df.collect()] == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.251752589066721], abs=1e-9)
+def test_rounds_of_both_kinds(spark):
+    """Parameters as an array and as a table give the same, and the bound never falls."""
+    rng = random.Random(5)
+    rows = [(f"s{i}", f"a{k}", rng.choice(annotators.DECISIONS if rng.random() < 0.3 else annotators.DECISIONS[i % 4 : i % 4 + 1])) for i in range(60) for k in range(rng.randrange(1, 6))]
+    v = spark.createDataFrame(rows, "sample_id string, annotator string, decision string")
+    (p, a, bounds), (q, b, other) = (annotators.variational(v, dense=d) for d in (annotators.DENSE, 0))
+    assert bounds == pytest.approx(other) and all(y >= x - 1e-9 for x, y in zip(bounds, bounds[1:])) and bounds[-1] - bounds[-2] <= 1e-6 * 60
+    table = lambda df, *key: {tuple(r[k] for k in key): tuple(r) for r in df.collect()}
+    for x, y, key in ((p, q, ("sample_id",)), (a, b, ("annotator", "d"))):
+        x, y = table(x, *key), table(y.select(x.columns), *key)
+        assert x.keys() == y.keys() and all(x[k][len(key) :] == pytest.approx(y[k][len(key) :]) for k in x)
+    for d in (annotators.DENSE, 0):
+        p, a, bounds = annotators.variational(v.limit(0), dense=d)
+        assert p.count() == a.count() == len(bounds) == 0
+
+
+def test_functions_of_the_model():
+    assert annotators.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.251752589066721], abs=1e-9)
+    assert annotators.log_gamma(np.array([0.5, 1.0, 7.0, 200.5])) == pytest.approx([math.lgamma(x) for x in (0.5, 1.0, 7.0, 200.5)], abs=1e-9)
+    for a, b in ((1.0, 1.0), (2.0, 1.0), (1.0, 4.0), (50.0, 7.0), (4.0, 300.0)):
+        x = (np.arange(200_000) + 0.5) / 200_000
+        mass = np.cumsum(x ** (a - 1) * (1 - x) ** (b - 1))
+        for p in (0.025, 0.5, 0.975):
+            got = annotators.beta_quantile(p, np.array([a]), np.array([b]))[0]
+            assert got == pytest.approx(np.interp(p, mass / mass[-1], x), abs=1e-4)
 
 
 ROWS = "row_id long, source_id string, base_input_id string, advisory_id string, labels array<string>, node int, lead int"
@@ -219,19 +227,50 @@ def test_split_shares(spark):
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in splits.allocate(spark.createDataFrame(rows[::-1], ROWS)).collect()}
 
 
-def test_moves_of_all_bundles():
-    """When transport is done, no single move of any bundle pays, however many units larger bundles have."""
-    rng, shares, k = np.random.default_rng(2), np.array([0.8, 0.1, 0.1]), 3
-    for _ in range(40):
-        n = int(rng.integers(5, 30))
-        sizes, counts = rng.integers(1, 40, n), rng.integers(1, 120, n)
-        room = (sizes * counts).sum() * rng.dirichlet([8, 1, 1])
-        flow = splits.transport(sizes, counts, shares, room, 1.0)
-        assert (flow >= 0).all() and (flow.sum(axis=1) == counts).all()
-        left = room - sizes @ flow
-        off = flow - counts[:, None] * shares
-        for s in range(k):
-            for t in range(k):
-                if s != t and (left[s] < 0 or left[t] > 0):
-                    gain = sizes * (2 - 2 * off[:, s] + 2 * off[:, t]) + ((left[s] + sizes) ** 2 - left[s] ** 2 + (left[t] - sizes) ** 2 - left[t] ** 2) / sizes
-                    assert (gain[flow[:, s] > 0] >= -1e-6).all()
+def test_flow_is_optimal():
+    """The flow against every integral flow of small transports."""
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n, k = int(rng.integers(1, 5)), int(rng.integers(2, 4))
+        left = rng.integers(0, 4, n)
+        fair = np.array([m * rng.dirichlet(np.ones(k)) for m in left])
+        demand = np.bincount(rng.integers(0, k, left.sum()), minlength=k)
+        flow = splits.transport(fair, demand.copy())
+        assert (flow >= 0).all() and (flow.sum(axis=1) == left).all() and (flow.sum(axis=0) == demand).all()
+        rows = [[c for c in itertools.product(range(m + 1), repeat=k) if sum(c) == m] for m in left]
+        best = min(((np.array(c) - fair) ** 2).sum() for c in itertools.product(*rows) if (np.array(c).sum(axis=0) == demand).all())
+        assert ((flow - fair) ** 2).sum() == pytest.approx(best)
+
+
+def test_size_plan():
+    """Quotas are met to the row where single rows abound; else no split is off by more than half the largest component more than must be."""
+    assert splits.size_plan(np.array([1, 500]), np.array([500, 1]), (0.8, 0.1, 0.1)).tolist() == [[300, 100, 100], [1, 0, 0]]
+    assert splits.size_plan(np.array([1, 900]), np.array([100, 1]), (0.8, 0.1, 0.1)).tolist() == [[0, 50, 50], [1, 0, 0]]
+    rng, best = np.random.default_rng(1), 0
+    for _ in range(100):
+        sizes = np.sort(rng.choice(np.arange(1, 40), int(rng.integers(1, 4)), replace=False))
+        counts = rng.integers(1, 8, len(sizes))
+        plan = splits.size_plan(sizes, counts, (0.8, 0.1, 0.1))
+        total = int((sizes * counts).sum())
+        want = np.array(splits.quotas(total, (0.8, 0.1, 0.1)))
+        assert (plan >= 0).all() and (plan.sum(axis=1) == counts).all() and want.sum() == total
+        reach = {(0, 0)}
+        for w, n in zip(sizes, counts):
+            reach = {(a + i * w, b + j * w) for a, b in reach for i in range(n + 1) for j in range(n - i + 1)}
+        least = min(sum((np.array([a, b, total - a - b]) - want) ** 2) for a, b in reach)
+        off = sizes @ plan - want
+        best += (off**2).sum() == least
+        assert np.abs(off).max() <= math.sqrt(least) + sizes.max() / 2
+    assert best >= 75
+    big = splits.size_plan(np.array([1, 2, 3, 50, 333]), np.array([4000, 900, 300, 40, 3]), (0.8, 0.1, 0.1))
+    assert (np.array([1, 2, 3, 50, 333]) @ big).tolist() == splits.quotas(4000 + 1800 + 900 + 2000 + 999, (0.8, 0.1, 0.1))
+
+
+def test_quotas_with_a_giant(spark):
+    """Half of all rows in one group: the others make up for it, to the row, and stay similar in labels."""
+    rows = [(i, "CVE_2020_1" if i < 500 else f"CVE_2020_{i}", None, None, [f"L{i % 4}"], 0, 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, ROWS)
+    got = {r.assigned_split: r for r in splits.reached(df).collect()}
+    assert {k: (r.wanted_rows, r.n_rows, r.n_parted) for k, r in got.items()} == {"train": (800, 800, 0), "validation": (100, 100, 0), "test": (100, 100, 0)}
+    assert all(r.label_deviation < 0.02 for r in got.values())
+    assert [tuple(r)[1:] for r in splits.reached(df.limit(0)).collect()] == [(0, 0, 0, 0, 0.0)] * 3

@@ -78,21 +78,22 @@ def test_byte_pairs(spark):
 
 
 def test_fit():
+    """The sum is the largest of all choices of 0 to n documents of every length."""
     rng = random.Random(6)
-    for _ in range(60):
-        k = rng.randrange(1, 6)
-        lengths = np.array(sorted(rng.sample(range(1, 30), k)))
-        counts = np.array([rng.randrange(0, 4) for _ in range(k)])
-        budget = rng.randrange(0, 120)
+    for _ in range(1000):
+        lengths = np.array(sorted(rng.sample(range(1, rng.choice([7, 30, 200])), rng.randrange(1, 6)))) * rng.choice([1, 1, 2, 3])
+        counts = np.array([rng.randrange(0, 5) for _ in lengths])
+        budget = rng.randrange(0, int((lengths * counts).sum()) + 20)
         take = mixture.fit(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() <= budget
+        assert (take >= 0).all() and (take <= counts).all()
         reach = {0}
-        part = (counts * (budget / max(1, (lengths * counts).sum()))).astype(int) if (lengths * counts).sum() > budget else counts
-        for n, c, p in zip(lengths, counts, part):
-            reach = {x + int(n) * j for x in reach for j in range(int(p), int(c) + 1)}
+        for n, c in zip(lengths, counts):
+            reach = {x + int(n) * j for x in reach for j in range(int(c) + 1)}
         assert (take * lengths).sum() == max(x for x in reach if x <= budget)
-    big = mixture.fit(np.arange(1, 4000), np.full(3999, 1000), 1_234_567_890)
-    assert (big * np.arange(1, 4000)).sum() == 1_234_567_890
+    assert mixture.fit(np.array([3, 4]), np.array([4, 3]), 12).tolist() in ([0, 3], [4, 0])
+    for lengths, n, budget in ((np.arange(1, 4000), 1000, 1_234_567_890), (np.array([1000, 1001]), 10**6, 10**8 + 777), (np.array([30000, 30001, 49999]), 10**5, 10**9 + 13)):
+        take = mixture.fit(lengths, np.full(len(lengths), n), budget)
+        assert (take * lengths).sum() == budget and take.max() <= n
 
 
 def test_mixture(spark):
