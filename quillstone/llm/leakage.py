@@ -4,13 +4,19 @@ Two texts overlap if at least four words in five of the longer one occur in the
 
 Method: hashes of word n-grams of the evaluation side are partitioned, the training side is scanned for hits, and the
 containment of every evaluation text in every training text it hits is computed. The n-grams hashed are those that make
-the scan lossless: words (with their number of occurrence) are put in one global order, rarest first. If the longer text
-has L words, an overlapping pair shares at least ceil(0.8 L) of them, so its rarest shared word lies among the first
-floor(0.2 L) + 1 of either text. Where that word is frequent, it is hashed together with the second rarest shared word,
-which then lies among the first floor(0.2 L) + 2. Any total order is right; the one used takes counts of word hashes in
-2^20 cells, so that what every worker holds has a fixed size, whatever the corpus. A pair that hits must also agree in
-length and in a 256-bit sketch of its words (both necessary conditions) before its texts are read, and the words in order
-are then compared exactly.
+the scan lossless, and their number is linear in the text's length. If the longer text has L words, an overlapping pair
+shares m >= 0.8 L words in order. Words are rare or frequent (more than ``FREQUENT`` occurrences in all texts).
+
+* n = 1: put the words of a text in one global order, rarest first. The rarest word that a pair shares lies among the first
+  floor(L / 5) + 1 of either text. The rare ones of these are hashed (with their number of occurrence).
+* n = 2: if that word is frequent, so are all m shared words. Neighbouring words of the common sequence are parted
+  by at most (words of both texts) - 2 m gaps, so at least 3 m - (words of both) - 1 >= 0.4 L - 1 pairs of neighbours, both of them frequent, stand in
+  both texts. Of the pairs of neighbouring frequent words of a text, b in number, the rarest b - ceil(0.4 L - 1) + 1 are hashed; a text
+  with more than L / 5 rare words needs none.
+
+Any total order is right; the one used takes counts of word and pair hashes in 2^20 cells each, a byte a cell, so that what every worker
+holds has a fixed size (2 MB), whatever the corpus. A pair of texts that hits must also agree in length and in a 256-bit sketch of its
+words (both necessary conditions) before its texts are read, and the words in order are then compared exactly.
 
 Exact copies (after normalisation) are one class, compared once; the classes' pairs are expanded to rows at the end.
 
@@ -32,8 +38,9 @@ from ..functions import normalise as N
 from ..session import materialise
 
 CELLS = 1 << 20
-#: Words whose cell holds more than this many texts are hashed with their successor.
+#: Words whose cell holds more occurrences than this are hashed with their neighbour. Where it lies decides the work, not the result.
 FREQUENT = 192
+BLOCK = 1 << 12
 #: Full-width forms U+FF01 to U+FF5E and the ideographic blank, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -80,68 +87,95 @@ def _hashed(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "has_train", "has_eval", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
 
 
-def cell_counts(classes: DataFrame) -> np.ndarray:
-    """How many word occurrences of all class texts fall into each of ``CELLS`` cells: an array of fixed size."""
+def _grade(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: eight grades an octave."""
+    return np.minimum(np.ceil(8 * np.log2(n + 1.0)), 255).astype(np.uint8)
+
+
+def _neighbours(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash) of all pairs of neighbouring words of a text."""
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+    return at, _mix(h[at] * np.uint64(3) + h[at + 1])
+
+
+def _cell(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(44)).astype(np.int64)
+
+
+def grades(classes: DataFrame) -> np.ndarray:
+    """How often the words and the pairs of neighbours of all class texts fall into each of ``CELLS`` cells, as grades: two rows of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
+        n = np.zeros(2 * CELLS, np.int64)
         for b in batches:
             h, per = _flat(b, "h")
-            n += np.bincount((_occurrences(h, np.repeat(np.arange(len(per)), per)) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+            _, pairs = _neighbours(h, np.repeat(np.arange(len(per)), per))
+            n += np.r_[np.bincount(_cell(_mix(h)), minlength=CELLS), np.bincount(_cell(pairs), minlength=CELLS)]
         at = np.flatnonzero(n)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)].astype(np.int32)), pa.array(n[at[i : i + (1 << 16)]])], names=["cell", "n"])
 
-    got = _hashed(classes).select("h").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("long").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.clip(0, 2**31 - 1).astype(np.int32)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("x")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths(), np.int64))
+            out = np.zeros((b.num_rows, BLOCK), np.uint8)
+            out[row, flat.field("cell").to_numpy() % BLOCK] = _grade(flat.field("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([r.tobytes() for r in out], pa.binary())], names=["block", "grades"])
+
+    per = _hashed(classes).select("h").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("long").alias("n"))
+    blocks = per.groupBy((F.col("cell") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("cell", "n")).alias("x"))  # BLOCK entries at most
+    out = np.zeros(2 * CELLS, np.uint8)
+    for r in blocks.mapInArrow(pack, "block int, grades binary").collect():  # 512 rows at most
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["grades"], np.uint8)
+    return out.reshape(2, CELLS)
+
+
+def _prefix(items: np.ndarray, grade: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Places of the ``keep[text]`` rarest items of every text. Ties go by hash, so the order is total and the same everywhere."""
+    order = np.lexsort((items, grade, doc))
+    d = doc[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, d[1:] != d[:-1]], np.arange(len(d)), 0)) if len(d) else d
+    return order[np.arange(len(d)) - start < keep[d]]
 
 
 SIGNATURES = "sig long, cls long, len int, s0 long, s1 long, s2 long, s3 long, has_train boolean, has_eval boolean"
 
 
-def signatures(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+def signatures(classes: DataFrame, counted: np.ndarray) -> DataFrame:
     """The hashes by which texts can hit each other: see the module's text. Texts of under four words have none."""
-    shared = classes.sparkSession.sparkContext.broadcast(counts)  # 4 MB, a constant
+    shared = classes.sparkSession.sparkContext.broadcast(counted)  # 2 MB, a constant
+    limit = int(_grade(np.array([FREQUENT]))[0])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        words, neighbours = shared.value
         for b in batches:
-            h, per = _flat(b, "h")
+            h, size = _flat(b, "h")
             if not len(h):
                 continue
-            doc = np.repeat(np.arange(len(per)), per)
-            x = _occurrences(h, doc)
-            n = cells[(x >> np.uint64(44)).astype(np.int64)]
+            doc = np.repeat(np.arange(len(size)), size)
             # 256-bit sketch of the words
-            bit = (_mix(h) & np.uint64(255)).astype(np.int64)
-            sketch = np.zeros((len(per), 256), bool)
-            sketch[doc, bit] = True
-            packed = np.packbits(sketch, axis=1, bitorder="little").view(np.int64).reshape(len(per), 4)
-            # rarest first; any ties broken by hash, so the order is total and the same everywhere
-            order = np.lexsort((x, n, doc))
-            x, n, d = x[order], n[order], doc[order]
-            start = np.r_[0, np.cumsum(per)][:-1]
-            rank = np.arange(len(x)) - start[d]
-            size = per[d]
-            last = size // 5  # least rank a rarest shared word can have at most
+            sketch = np.zeros((len(size), 256), bool)
+            sketch[doc, (_mix(h) & np.uint64(255)).astype(np.int64)] = True
+            packed = np.packbits(sketch, axis=1, bitorder="little").view(np.int64).reshape(len(size), 4)
             able = size >= 4  # four words can be all but one of five
-            one = np.flatnonzero(able & (rank <= last) & (n <= FREQUENT))
-            sig, who = [x[one]], [d[one]]
-            often = able & (rank <= last) & (n > FREQUENT)
-            step = 1
-            while True:
-                i = np.flatnonzero(often & (rank + step <= last + 1))
-                if not len(i):
-                    break
-                sig.append(_mix(x[i] * np.uint64(3) + x[i + step]))
-                who.append(d[i])
-                step += 1
-            s, w = np.concatenate(sig), np.concatenate(who)
+            grade = words[_cell(_mix(h))]
+            often = grade > limit
+            x = _occurrences(h, doc)
+            one = _prefix(x, grade, doc, np.where(able, size // 5 + 1, 0))
+            one = one[~often[one]]
+            at, pair = _neighbours(h, doc)
+            able &= np.bincount(doc, often, len(size)) * 5 >= size * 4
+            both = often[at] & often[at + 1] & able[doc[at]]
+            at, pair = at[both], pair[both]
+            own = doc[at]
+            y = _occurrences(pair, own)
+            two = _prefix(y, neighbours[_cell(pair)], own, np.bincount(own, minlength=len(size)) - (2 * size - 1) // 5 + 1)
+            s, w = np.r_[x[one], _mix(y[two] ^ np.uint64(0x5851F42D4C957F2D))], np.r_[doc[one], own[two]]
             take = pa.array(w)
-            cols = [pa.array(s.view(np.int64)), b.column("cls").take(take), pa.array(per[w].astype(np.int32)), *(pa.array(packed[w, k]) for k in range(4)), b.column("has_train").take(take), b.column("has_eval").take(take)]
-            yield pa.RecordBatch.from_arrays(cols, names=["sig", "cls", "len", "s0", "s1", "s2", "s3", "has_train", "has_eval"])
+            cols = [pa.array(s.view(np.int64)), b.column("cls").take(take), pa.array(size[w].astype(np.int32)), *(pa.array(packed[w, k]) for k in range(4))]
+            yield pa.RecordBatch.from_arrays([*cols, b.column("has_train").take(take), b.column("has_eval").take(take)], names=["sig", "cls", "len", "s0", "s1", "s2", "s3", "has_train", "has_eval"])
 
     return _hashed(classes).mapInArrow(sign, SIGNATURES)
 
@@ -187,8 +221,8 @@ def class_overlaps(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = items.groupBy("digest").agg(F.min("id").alias("cls"), F.max(F.col("split") == "train").alias("has_train"), F.max(F.col("split") != "train").alias("has_eval"), F.first("words").alias("words"))
     classes = materialise(c, "classes")
     members = items.select("id", "origin", "source_name", "split", "digest").join(classes.select("digest", "cls", "has_train", "has_eval"), "digest").drop("digest")
-    counts = cell_counts(classes)
-    side = lambda s, flag: signatures(classes.where(flag), counts).select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "len", "s0", "s1", "s2", "s3")])
+    counted = grades(classes)
+    side = lambda s, flag: signatures(classes.where(flag), counted).select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "len", "s0", "s1", "s2", "s3")])
     j = side("e", "has_eval").join(side("t", "has_train"), "sig").where("cls_e <> cls_t")
     longest = F.greatest("len_e", "len_t")
     spare = lambda s: F.col(f"len_{s}") - F.ceil(longest * 4 / F.lit(5))
@@ -216,7 +250,28 @@ def overlapping_pairs(source_rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def report(source_rows: DataFrame, records: DataFrame) -> DataFrame:
-    """Per table, source and evaluation split: how many rows have a training row that overlaps, and the largest containment."""
-    p = overlapping_rows(source_rows, records)
-    per = p.groupBy("origin_e", "source_name_e", "split_e", "id_e").agg(F.count("*").alias("n"), F.max("containment").alias("c"))
-    return per.groupBy(F.col("origin_e").alias("origin"), F.col("source_name_e").alias("source_name"), F.col("split_e").alias("split")).agg(F.count("*").alias("rows_leaked"), F.sum("n").alias("pairs"), F.max("c").alias("max_containment"))
+    """Per table, source and evaluation split, and per table and source of the training rows it overlaps: rows, rows leaked, pairs, largest containment.
+
+    ``train_origin`` and ``train_source`` are ``any`` in the rows that count overlaps with whatever training row; these exist for every evaluation
+    source, with zeros where nothing leaks. Counts are made over classes of equal texts with their numbers of rows; pairs of rows are never made.
+    """
+    members, _, found = class_overlaps(sides(source_rows, records))
+    members = materialise(members, "members")
+    name = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    ev = members.where("split <> 'train'").groupBy("cls", "origin", name("source_name"), "split").agg(F.count("*").alias("n_e"), F.first("has_train").alias("has_train"))
+    tr = members.where("split = 'train'").groupBy("cls", F.col("origin").alias("train_origin"), F.coalesce("source_name", F.lit("")).alias("train_source")).agg(F.count("*").alias("n_t"))
+    ev, tr = materialise(ev, "evaluation"), materialise(tr, "training")
+    near = found.select("cls_e", "cls_t", (F.col("common") / F.col("len_e")).alias("c"))
+    same = ev.where("has_train").select(F.col("cls").alias("cls_e"), F.col("cls").alias("cls_t"), F.lit(1.0).alias("c")).distinct()
+    # an evaluation class against the rows of a training source: combined before rows of the class's own sources come in
+    hit = near.unionByName(same).join(tr.withColumnRenamed("cls", "cls_t"), "cls_t")
+    hit = hit.groupBy("cls_e", "train_origin", "train_source").agg(F.sum("n_t").alias("n_t"), F.max("c").alias("c"))
+    whole = hit.groupBy("cls_e").agg(F.sum("n_t").alias("n_t"), F.max("c").alias("c")).select("cls_e", F.lit("any").alias("train_origin"), F.lit("any").alias("train_source"), "n_t", "c")
+    key = ["origin", "source_name", "split"]
+    per = ev.join(hit.unionByName(whole), F.col("cls") == F.col("cls_e")).groupBy(*key, "train_origin", "train_source").agg(
+        F.sum("n_e").alias("rows_leaked"), F.sum(F.col("n_e") * F.col("n_t")).alias("pairs"), F.max("c").alias("max_containment")
+    )
+    rows = ev.groupBy(*key).agg(F.sum("n_e").alias("n_rows"))
+    none = rows.select(*key, F.lit("any").alias("train_origin"), F.lit("any").alias("train_source"), F.lit(0).cast("long").alias("rows_leaked"), F.lit(0).cast("long").alias("pairs"), F.lit(0.0).alias("max_containment"))
+    both = per.unionByName(none).groupBy(*key, "train_origin", "train_source").agg(*[F.max(c).alias(c) for c in ("rows_leaked", "pairs", "max_containment")])
+    return both.join(rows, key).select(*key, "train_origin", "train_source", "n_rows", "rows_leaked", (F.col("rows_leaked") / F.col("n_rows")).alias("part_leaked"), "pairs", "max_containment")

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quillstone.llm import bytepair, leakage, mixture, sentences, spans
 
@@ -157,7 +158,24 @@ def test_leakage(spark, monkeypatch):
     assert leakage.common_in_order(list("abcde"), list("axcye")) == 3
     assert leakage.overlapping_pairs(rows.limit(0), recs.limit(0)).count() == 0
     rep = leakage.report(rows, recs).collect()
-    assert sum(r.pairs for r in rep) == len(want) and all(0.8 <= r.max_containment <= 1 for r in rep)
+    every = [r for r in rep if r.train_origin == "any"]
+    assert sum(r.pairs for r in every) == len(want) == sum(r.pairs for r in rep if r.train_origin != "any")
+    assert all(0.8 <= r.max_containment <= 1 for r in rep if r.pairs) and sum(r.n_rows for r in every) == sum(s == "E" for _, _, s in items)
+    evaluation = {i for i, _, s in items if s == "E"}
+    assert sum(r.rows_leaked for r in every) == len({i for p in want for i in p if i in evaluation})
+
+
+def test_leakage_of_long_texts(spark, monkeypatch):
+    """Texts of 50,000 words of few kinds, one of them with an edit in every fifth word at most: signatures stay linear."""
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(40)}" for _ in range(50_000)]
+    near = [rng.choice(["x1", "x2"]) if rng.random() < 0.15 else w for w in long]
+    far = [rng.choice(["x1", "x2"]) if rng.random() < 0.3 else w for w in long]
+    rows = spark.createDataFrame([(i, "s", " ".join(t), s) for i, (t, s) in enumerate([(long, "train"), (near, "test"), (far, "test")])], "row_id long, source_name string, text string, split string")
+    recs = spark.createDataFrame([], "record_id long, source_name string, raw_text string, split string")
+    assert [tuple(r) for r in leakage.overlapping_pairs(rows, recs).collect()] == [(0, 1)]
+    classes = leakage.sides(rows, recs).select(F.col("id").alias("cls"), F.lit(True).alias("has_train"), F.lit(True).alias("has_eval"), "words")
+    assert leakage.signatures(classes, leakage.grades(classes)).count() <= 3 * 50_000
 
 
 def test_closing_particles():
