@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import graph
 
 #: The words that link two nodes of a path in a query text.
@@ -12,18 +13,34 @@ LINK_WORDS = {"enables": "enables", "characterized_by": "characterized by", "cau
 
 
 def explanations(nodes: DataFrame, edges: DataFrame, max_nodes: int = 4, exact_limit: int = 20) -> DataFrame:
-    """One row per record: status, chain, its types, all evidence of the chosen nodes, the least evidence that covers them, and the compact text."""
-    best = graph.best_path(graph.simple_paths(nodes, edges, max_nodes))
-    step = best.select("input_id", "status", F.posexplode(F.split("path", ">")).alias("pos", "node_id"))
+    """One row per record with a path that covers any core type.
+
+    Status, chain and types, the precondition that leads into it, all evidence of its nodes, the least evidence that covers them (with
+    the precondition), the compact text, what the path was chosen by, and a signature. A chain of one node is a partial result.
+    """
+    best = graph.best_paths(nodes, edges, max_nodes, exact_limit).where("core_coverage > 0")
+    best = materialise(best.withColumn("status", graph.status(F.col("complete"), F.col("core_coverage"))), "paths")
+    before = graph.supported_precondition(best, nodes, edges, exact_limit)
+    chosen = best.join(before.withColumnRenamed("cover", "with_precondition"), "input_id", "left")
+    chosen = materialise(chosen.withColumn("all", F.when(F.col("precondition").isNotNull(), F.concat(F.array("precondition"), "path")).otherwise(F.col("path"))), "chosen")
+    step = chosen.select("input_id", F.posexplode("all").alias("pos", "node_id"))
     n = step.join(nodes.select("input_id", "node_id", "type", "text", "evidence_ids"), ["input_id", "node_id"])
     cover = graph.evidence_cover(n.select("input_id", "evidence_ids"), exact_limit)
-    g = n.groupBy("input_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", "type", "text", "evidence_ids"))).alias("x"), F.first("status").alias("status"))  # max_nodes entries
+    g = n.groupBy("input_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id", "type", "text", "evidence_ids"))).alias("x"))  # max_nodes + 1 entries
     number = lambda e: F.regexp_extract(e, r"(\d+)$", 1).try_cast("int")
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda s: s.evidence_ids))), lambda a, b: number(a) - number(b))
-    row = g.select("input_id", "status", F.transform("x", lambda s: s.node_id).alias("chain"), F.transform("x", lambda s: s.type).alias("chain_types"), F.transform("x", lambda s: s.text).alias("texts"), ids.alias("evidence_ids"))
-    compact = F.array_join(F.zip_with("chain_types", "texts", lambda t, x: F.concat(t, F.lit(": "), x)), " -> ")
+    skip = F.when(F.col("precondition").isNotNull(), 1).otherwise(0)
+    chain = lambda f: F.slice(F.transform("x", lambda s: s[f]), skip + 1, F.size("x") - skip)
+    objective = F.struct("complete", "core_coverage", "continuity", "mean_shared", "explicit_ratio", "mean_score", "mean_confidence", F.size("path").alias("n_nodes"), "cover_size", "n_paths")
+    row = g.join(chosen, "input_id").select(
+        "input_id", "status", chain("node_id").alias("chain"), chain("type").alias("chain_types"), chain("text").alias("texts"), "precondition",
+        F.when(F.col("precondition").isNotNull(), F.element_at("x", 1).text).alias("precondition_text"), ids.alias("evidence_ids"), objective.alias("objective"),
+    )
+    part = F.array_join(F.zip_with("chain_types", "texts", lambda t, x: F.concat(t, F.lit(": "), x)), " -> ")
+    compact = F.concat(F.coalesce(F.concat(F.lit("Precondition: "), "precondition_text", F.lit(" -> ")), F.lit("")), part)
     out = row.join(cover.withColumnRenamed("cover", "minimum_evidence"), "input_id", "left").withColumn("compact_text", compact)
-    return out.withColumn("signature", F.sha2(F.concat_ws("|", F.array_join("chain", ","), F.array_join("evidence_ids", ","), "compact_text"), 256))
+    signed = F.concat_ws("|", F.coalesce("precondition", F.lit("")), F.array_join("chain", ","), F.array_join("evidence_ids", ","), "compact_text")
+    return out.withColumn("signature", F.sha2(signed, 256))
 
 
 def query_text(explained: DataFrame, edges: DataFrame) -> DataFrame:

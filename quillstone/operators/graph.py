@@ -6,9 +6,11 @@ All joins are within a record.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,75 +83,241 @@ def support_map(nodes: DataFrame) -> DataFrame:
 def simple_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int = 4) -> DataFrame:
     """All simple paths of a record with up to ``max_nodes`` nodes along edges, from nodes that have evidence, with the sums a ranking needs.
 
-    ``max_nodes`` bounds the joins, and the layer rules the length.
+    A listing of every path; ``best_path`` finds the first one without it. ``max_nodes`` bounds the joins, and the layer rules the length.
     """
     n = nodes.select("input_id", "node_id", F.col("type").alias("ntype"), F.coalesce("confidence", F.lit(0.5)).alias("conf"), F.size("evidence_ids").alias("n_ev"))
     e = edges.groupBy("input_id", "src", "dst").agg(F.max("structural_score").alias("score"), F.max(F.size("shared_evidence_ids")).alias("shared"))
     zero = F.lit(0.0)
-    step = n.where("n_ev > 0").select("input_id", F.array("node_id").alias("path"), F.array("ntype").alias("types"), zero.alias("score_sum"), F.lit(0).alias("shared_sum"), F.lit(0).alias("continuous"), F.col("conf").alias("conf_sum"), F.col("node_id").alias("last"))
+    step = n.where("n_ev > 0").select(
+        "input_id", F.array("node_id").alias("path"), F.array("ntype").alias("types"), zero.alias("score_sum"), F.lit(0).alias("shared_sum"),
+        F.lit(0).alias("continuous"), F.col("conf").alias("conf_sum"), F.col("node_id").alias("last"),
+    )
     found = step
     for _ in range(max_nodes - 1):
         j = step.join(e.withColumnRenamed("src", "last"), ["input_id", "last"]).where(~F.array_contains("path", F.col("dst")))
         j = j.join(n.select("input_id", F.col("node_id").alias("dst"), "ntype", "conf"), ["input_id", "dst"])
         step = j.select(
             "input_id", F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("ntype")).alias("types"), (F.col("score_sum") + F.col("score")).alias("score_sum"),
-            (F.col("shared_sum") + F.col("shared")).alias("shared_sum"), (F.col("continuous") + (F.col("shared") > 0).cast("int")).alias("continuous"), (F.col("conf_sum") + F.col("conf")).alias("conf_sum"), F.col("dst").alias("last"),
+            (F.col("shared_sum") + F.col("shared")).alias("shared_sum"), (F.col("continuous") + (F.col("shared") > 0).cast("int")).alias("continuous"),
+            (F.col("conf_sum") + F.col("conf")).alias("conf_sum"), F.col("dst").alias("last"),
         )
         found = found.unionByName(step)
     return found.drop("last")
 
 
-def ranked_paths(paths: DataFrame) -> DataFrame:
-    """Paths with completeness, core coverage and the mean terms they are ranked by."""
-    pos = lambda t: F.array_position("types", F.lit(t))
-    n = F.size("path")
-    hops = F.greatest(n - 1, F.lit(1))
-    complete = (F.element_at("types", 1) == "Entry") & (F.element_at("types", -1) == "Impact") & F.array_contains("types", "Behavior")
-    en, b, i = pos("Entry"), pos("Behavior"), pos("Impact")
-    cover = (
-        F.when((en > 0) & (b > en) & (i > b), 3).when(((en > 0) & (b > en)) | ((en > 0) & (i > en) & (b == 0)) | ((en == 0) & (b > 0) & (i > b)), 2)
-        .when((en > 0) | (b > 0) | (i > 0), 1).otherwise(0)
-    )
-    return paths.select(
-        "input_id", "path", "types", complete.alias("complete"), cover.alias("core_coverage"), F.round(F.col("continuous") / hops, 9).alias("continuity"),
-        F.round(F.col("shared_sum") / hops, 9).alias("mean_shared"), n.alias("n_nodes"), F.round(F.col("score_sum") / hops, 9).alias("mean_score"), F.round(F.col("conf_sum") / n, 9).alias("mean_confidence"),
-    )
+CORE = ("Entry", "Behavior", "Impact")
+
+
+def ordered_core(types: np.ndarray) -> np.ndarray:
+    """How many of Entry, Behavior and Impact stand in this order in each row of types (numbers of CORE, else negative): each is looked for after the last one found."""
+    n, width = types.shape
+    found, last = np.zeros(n, np.int64), np.full(n, -1)
+    for k in range(len(CORE)):
+        hit = (types == k) & (np.arange(width) > last[:, None])
+        there = hit.any(axis=1)
+        last = np.where(there, hit.argmax(axis=1), last)
+        found += there
+    return found
+
+
+def cover_sizes(masks: np.ndarray) -> np.ndarray:
+    """Size of the least set of bits that meets every mask of a row (-1, all bits, for places beyond the path).
 
+    One bit serves a block of masks if their conjunction isn't 0, so this is the least number of blocks the row can be divided into.
+    """
+    n, width = masks.shape
+    joint: dict[int, np.ndarray] = {}
+    for part in range(1, 1 << width):
+        low = (part & -part).bit_length() - 1
+        rest = part & (part - 1)
+        joint[part] = masks[:, low] if not rest else masks[:, low] & joint[rest]
+    best = {0: np.zeros(n, np.int64)}
+    for part in range(1, 1 << width):
+        low, rest = part & -part, part & (part - 1)
+        least, sub = np.full(n, width + 1), rest
+        while True:  # the block of the lowest place
+            least = np.minimum(least, np.where(joint[sub | low] != 0, best[rest ^ sub] + 1, width + 1))
+            if not sub:
+                break
+            sub = (sub - 1) & rest
+        best[part] = least
+    return best[(1 << width) - 1]
+
+
+FOUND = "path array<string>, types array<string>, complete boolean, core_coverage int, continuity double, mean_shared double, explicit_ratio double, cover_size int, mean_score double, mean_confidence double, n_paths long"
+
+
+def best_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int = 4, exact_limit: int = 20) -> DataFrame:
+    """The first path of each record and what it was chosen by: complete, covering, continuous, sharing evidence, explicit, short, little evidence, scored, confident, then by node ids.
+
+    Only paths whose nodes all have evidence count. ``edges`` may have a boolean column ``explicit`` (said by the extractor). Nodes and edges meet
+    in one row per record, and all paths of a batch of records grow together in arrays.
+    """
+    kind = nodes.schema["input_id"].dataType.simpleString()
+    e = edges if "explicit" in edges.columns else edges.withColumn("explicit", F.lit(False))
+    held = nodes.where(F.size("evidence_ids") > 0).groupBy("input_id").agg(F.collect_list(F.struct("node_id", "type", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), "evidence_ids")).alias("n"))
+    first = F.struct(F.coalesce("explicit", F.lit(False)), "structural_score")
+    pair = e.groupBy("input_id", "src", "dst").agg(F.max(first).alias("x"))
+    links = pair.groupBy("input_id").agg(F.collect_list(F.struct("src", "dst", F.col("x.col1").alias("explicit"), F.col("x.structural_score").alias("score"))).alias("e"))
+    rows = held.join(links, "input_id", "left")  # the graph of one record
 
-def best_path(paths: DataFrame) -> DataFrame:
-    """The first path of each record: complete, covering, continuous, sharing evidence, short, scored, confident, then by node ids; and its status."""
-    key = F.struct(~F.col("complete"), -F.col("core_coverage"), -F.col("continuity"), -F.col("mean_shared"), F.col("n_nodes"), -F.col("mean_score"), -F.col("mean_confidence"), F.col("path"))
-    g = ranked_paths(paths).groupBy("input_id").agg(F.min_by(F.struct("path", "types", "complete", "core_coverage", "mean_score"), key).alias("x"))
-    status = F.when(F.col("x.complete"), "complete").when(F.col("x.core_coverage") > 0, "partial").otherwise("empty")
-    return g.select("input_id", F.array_join("x.path", ">").alias("path"), F.array_join("x.types", ">").alias("types"), F.col("x.core_coverage").alias("core_coverage"), "x.mean_score", status.alias("status"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _search(b, max_nodes, exact_limit)
+
+    return rows.mapInArrow(run, f"input_id {kind}, {FOUND}")
+
+
+def _list(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    lists = b.column(name)
+    return np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0), np.int64)), lists.flatten()
+
+
+def _search(b: pa.RecordBatch, max_nodes: int, exact_limit: int) -> pa.RecordBatch:
+    rec, n = _list(b, "n")
+    ids, types = (np.array(n.field(c).to_pylist(), object) for c in ("node_id", "type"))
+    conf, evidence = n.field("confidence").to_numpy(zero_copy_only=False), n.field("evidence_ids")
+    code = np.unique(ids.astype(str), return_inverse=True)[1].astype(np.int64)  # in the order of the ids
+    core = np.select([types == t for t in CORE], range(len(CORE)), -1)
+    # evidence as bits, numbered within the record
+    owner = np.repeat(np.arange(len(ids)), np.asarray(evidence.value_lengths(), np.int64))
+    names = np.unique(np.array(evidence.flatten().to_pylist(), str), return_inverse=True)[1] if len(owner) else np.zeros(0, int)
+    pairs, place = np.unique(np.stack([rec[owner], names]), axis=1, return_inverse=True) if len(owner) else (np.zeros((2, 0), int), names)
+    bit = place.ravel() - np.searchsorted(pairs[0], rec[owner])
+    masks = np.zeros(len(ids), object)
+    for i, k in zip(owner, bit):
+        masks[i] |= 1 << int(k)
+    if not len(bit) or bit.max() < 63:
+        masks, every = masks.astype(np.int64), np.int64(-1)
+        count = np.bitwise_count
+    else:
+        every = -1
+        count = np.frompyfunc(lambda x: x.bit_count() if x >= 0 else 0, 1, 1)
+    # edges between nodes of the batch, sorted by source
+    er, e = _list(b, "e")
+    known = {(int(r), i): k for k, (r, i) in enumerate(zip(rec, ids))}
+    src, dst = (np.array([known.get((int(r), i), -1) for r, i in zip(er, e.field(c).to_pylist())], np.int64) for c in ("src", "dst"))
+    ok = np.flatnonzero((src >= 0) & (dst >= 0))
+    ok = ok[np.argsort(src[ok], kind="stable")]
+    src, dst = src[ok], dst[ok]
+    explicit, score = (np.nan_to_num(np.asarray(e.field(c).to_numpy(zero_copy_only=False), float))[ok] for c in ("explicit", "score"))
+    path = np.full((len(ids), max_nodes), -1, np.int64)
+    path[:, 0] = np.arange(len(ids))
+    sums = np.zeros((len(ids), 4))  # score, explicit, edges with shared evidence, shared evidence
+    all_paths, all_sums, size = [path], [sums], [np.ones(len(ids), int)]
+    for k in range(1, max_nodes):
+        last = path[:, k - 1]
+        lo, hi = np.searchsorted(src, last), np.searchsorted(src, last, side="right")
+        at = np.repeat(np.arange(len(path)), hi - lo)
+        edge = np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        fresh = (path[at] != dst[edge][:, None]).all(axis=1)
+        at, edge = at[fresh], edge[fresh]
+        path = path[at].copy()
+        path[:, k] = dst[edge]
+        shared = np.asarray(count(masks[src[edge]] & masks[dst[edge]]), float)
+        sums = sums[at] + np.stack([score[edge], explicit[edge], (shared > 0).astype(float), shared], axis=1)
+        all_paths.append(path)
+        all_sums.append(sums)
+        size.append(np.full(len(path), k + 1))
+    path, sums, size = np.concatenate(all_paths), np.concatenate(all_sums), np.concatenate(size)
+    inside = path >= 0
+    kinds = np.where(inside, core[path], -2)
+    final = kinds[np.arange(len(path)), size - 1]
+    complete = (kinds[:, 0] == 0) & (final == 2) & (kinds == 1).any(axis=1)
+    covered = ordered_core(kinds)
+    hops = np.maximum(size - 1, 1)
+    mean = np.round(sums / hops[:, None], 12)
+    sure = np.round(np.where(inside, conf[path], 0.0).sum(axis=1) / size, 12)
+    least = cover_sizes(np.where(inside, masks[path], every))
+    union = functools.reduce(operator.or_, [np.where(inside[:, k], masks[path[:, k]], 0) for k in range(max_nodes)])
+    for i in np.flatnonzero(np.asarray(count(union), int) > exact_limit):  # beyond the limit a cover is what the greedy choice finds
+        least[i] = len(minimum_cover([evidence[int(k)].as_py() for k in path[i, : size[i]]], exact_limit))
+    tie = [np.where(inside[:, k], code[path[:, k]], -1) for k in range(max_nodes)]
+    of = rec[path[:, 0]]
+    order = np.lexsort((*tie[::-1], -sure, -mean[:, 0], least, size, -mean[:, 1], -mean[:, 3], -mean[:, 2], -covered, ~complete, of))
+    head = order[np.r_[True, of[order][1:] != of[order][:-1]]] if len(order) else order
+    total = np.bincount(of, minlength=b.num_rows)[of[head]]
+    lists = lambda values: pa.array([[values[k] for k in p if k >= 0] for p in path[head]], pa.list_(pa.string()))
+    cols = [
+        b.column("input_id").take(pa.array(of[head])), lists(ids), lists(types), pa.array(complete[head]), pa.array(covered[head].astype(np.int32)),
+        pa.array(mean[head, 2]), pa.array(mean[head, 3]), pa.array(mean[head, 1]), pa.array(least[head].astype(np.int32)), pa.array(mean[head, 0]), pa.array(sure[head]), pa.array(total),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["input_id", *(c.strip().split()[0] for c in FOUND.split(", "))])
+
+
+def status(complete, core_coverage):
+    return F.when(complete, "complete").when(core_coverage > 0, "partial").otherwise("empty")
+
+
+def best_path(nodes: DataFrame, edges: DataFrame, max_nodes: int = 4, exact_limit: int = 20) -> DataFrame:
+    """The best path of each record as text, what it was chosen by, and its status."""
+    g = best_paths(nodes, edges, max_nodes, exact_limit)
+    return g.select(
+        "input_id", F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"), "core_coverage", F.round("mean_score", 9).alias("mean_score"), "cover_size",
+        F.round("continuity", 9).alias("continuity"), F.round("explicit_ratio", 9).alias("explicit_ratio"), status(F.col("complete"), F.col("core_coverage")).alias("status"),
+    )
 
 
-def minimum_cover(needs: list[list[str]], exact_limit: int = 20) -> list[str]:
-    """The least set of evidence ids that meets every need (a list of ids, one of which must be chosen).
+def supported_precondition(best: DataFrame, nodes: DataFrame, edges: DataFrame, exact_limit: int = 20) -> DataFrame:
+    """(input_id, precondition, cover): a Precondition with evidence that an edge leads from to a node of the chosen path, if there is any.
 
-    Exact, by size then natural order, up to ``exact_limit`` different ids; greedy beyond. Needs without ids are skipped.
+    By shared evidence, explicit edges, score, confidence, the size of the cover with it, and its id. ``best``: (input_id, path).
+    """
+    e = edges if "explicit" in edges.columns else edges.withColumn("explicit", F.lit(False))
+    n = nodes.where(F.size("evidence_ids") > 0).select("input_id", "node_id", "type", F.coalesce("confidence", F.lit(0.5)).alias("conf"), "evidence_ids")
+    on = best.select("input_id", "path", F.explode("path").alias("dst"))
+    p = n.where("type = 'Precondition'").select("input_id", F.col("node_id").alias("src"), "conf", F.col("evidence_ids").alias("own"))
+    j = e.select("input_id", "src", "dst", F.coalesce("explicit", F.lit(False)).alias("explicit"), "structural_score").join(on, ["input_id", "dst"]).where(~F.array_contains("path", F.col("src")))
+    j = j.join(p, ["input_id", "src"]).join(n.select("input_id", F.col("node_id").alias("dst"), F.col("evidence_ids").alias("theirs")), ["input_id", "dst"])
+    shared = F.size(F.array_intersect("own", "theirs"))
+    option = F.struct((-shared).alias("a"), (~F.col("explicit")).alias("b"), (-F.col("structural_score")).alias("c"), (-F.col("conf")).alias("d"))
+    per = j.groupBy("input_id", "src").agg(F.min(option).alias("k"))
+    path = best.select("input_id", F.explode("path").alias("node_id")).join(n.select("input_id", "node_id", "evidence_ids"), ["input_id", "node_id"])
+    both = per.join(path, "input_id").select("input_id", "src", "evidence_ids").unionByName(per.join(p, ["input_id", "src"]).select("input_id", "src", F.col("own").alias("evidence_ids")))
+    key = both.withColumn("input_id", F.struct("input_id", "src")).select("input_id", "evidence_ids")
+    cover = evidence_cover(key, exact_limit).select("input_id.input_id", "input_id.src", "cover").where("cover is not null")
+    rank = F.struct("k.a", "k.b", "k.c", "k.d", F.size("cover").alias("s"), "src")
+    return per.join(cover, ["input_id", "src"]).groupBy("input_id").agg(F.min_by(F.struct("src", "cover"), rank).alias("x")).select("input_id", F.col("x.src").alias("precondition"), "x.cover")
+
+
+def minimum_cover(needs: list[list[str]], exact_limit: int = 20) -> list[str] | None:
+    """The least set of evidence ids that meets every need (a list of ids, one of which must be chosen); None if a need has no id.
+
+    Every id is the mask of the needs it meets. Exact, by size and then by natural order, up to ``exact_limit`` different ids: level k
+    holds, for every mask that k ids reach, the first k ids that reach it. Above, the id that meets most open needs is taken until none is open.
     """
-    order = lambda e: (int(e[1:]) if e[1:].isdigit() else 10**9, e)
-    needs = [n for n in needs if n]
-    ids = sorted({e for n in needs for e in n}, key=order)
-    if not needs:
-        return []
+    masks: dict[str, int] = {}
+    for k, need in enumerate(needs):
+        for e in need or ():
+            masks[e] = masks.get(e, 0) | 1 << k
+    whole = (1 << len(needs)) - 1
+    ids = sorted(masks, key=lambda e: (int(e[1:]) if e[1:].isdigit() else 10**9, e))
+    if functools.reduce(operator.or_, masks.values(), 0) != whole:
+        return None
+    own = [masks[e] for e in ids]
     if len(ids) <= exact_limit:
-        for k in range(1, len(ids) + 1):
-            for pick in combinations(ids, k):
-                if all(set(n) & set(pick) for n in needs):
-                    return list(pick)
-    chosen: list[str] = []
-    left = [set(n) for n in needs]
+        level: dict[int, tuple[int, ...]] = {0: ()}
+        while whole not in level:
+            above: dict[int, tuple[int, ...]] = {}
+            for mask, chosen in level.items():
+                for i, m in enumerate(own):
+                    if m & ~mask:
+                        pick = tuple(sorted((*chosen, i)))
+                        if pick < above.get(mask | m, (len(own),)):
+                            above[mask | m] = pick
+            level = above
+        return [ids[i] for i in level[whole]]
+    picked, left = [], whole
     while left:
-        e = min(ids, key=lambda e: (-sum(e in n for n in left), order(e)))
-        chosen.append(e)
-        left = [n for n in left if e not in n]
-    return sorted(chosen, key=order)
+        i = max(range(len(own)), key=lambda i: ((own[i] & left).bit_count(), -i))
+        picked.append(ids[i])
+        left &= ~own[i]
+    return picked
 
 
 def evidence_cover(nodes: DataFrame, exact_limit: int = 20) -> DataFrame:
-    """(input_id, cover): the least evidence that supports every node of a record."""
+    """(input_id, cover): the least evidence that supports every node of a record; null if a node has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -20,11 +20,14 @@ def top_candidates(ranked: DataFrame, k: int, exact: bool = False) -> DataFrame:
     return top
 
 
-def capped(score: Column, mode: Column, cites_evidence: Column, cites_path: Column, citation: float = 0.25, strong: float = 0.55) -> Column:
-    """Scores without any valid citation are at most ``citation``; strong ones that cite no evidence of the path stay just below ``strong``. Generic mode is exempt."""
-    first = F.when(~cites_evidence & (score > citation), citation).otherwise(score)
-    second = F.when(cites_evidence & ~cites_path & (first >= strong), strong - 0.01).otherwise(first)
-    return F.when(mode == "generic", score).otherwise(second)
+def capped(score: Column, mode: Column, cites_evidence: Column, cites_path: Column, has_path: Column, citation: float = 0.25, strong: float = 0.55) -> Column:
+    """Scores after the citation rules.
+
+    Without any valid citation a score is at most ``citation`` (all modes but generic). A strong score stays just below ``strong``
+    in the modes that show the path (structure, full) if the path has evidence and none of it is cited.
+    """
+    first = F.when((mode != "generic") & ~cites_evidence & (score > citation), citation).otherwise(score)
+    return F.when(mode.isin("structure", "full") & has_path & ~cites_path & (first >= strong), strong - 0.01).otherwise(first)
 
 
 def parse_response(raw: Column) -> Column:

@@ -35,6 +35,12 @@ def units(s: SparkSession, d: str, **how) -> DataFrame:
     return segment.segment(table(s, d, "documents").withColumnRenamed("doc_id", "input_id"), "input_id", "text", **how)
 
 
+def stop_units(s: SparkSession, d: str) -> DataFrame:
+    """Documents cut after every period and blank: units that SQL can make too."""
+    u = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("input_id"), F.posexplode(F.split("text", r"\. ")).alias("p", "text"))
+    return u.select("input_id", (F.col("p") + 1).alias("ord"), F.concat(F.lit("E"), F.col("p") + 1).alias("evidence_id"), "text")
+
+
 def based(s: SparkSession, d: str, name: str) -> DataFrame:
     return table(s, d, name).withColumn("base", N.base_id(F.col("input_id"))).where("base is not null")
 
@@ -141,11 +147,11 @@ def queries() -> dict:
         "dedupe_edges": lambda s, d: graph.dedupe_edges(edges(s, d).select("input_id", F.substring("src", 1, 2).alias("src"), F.substring("dst", 1, 2).alias("dst"), "type", F.round("structural_score", 5).alias("score")), F.desc("score")),
         "dangling_edges": lambda s, d: graph.dangling_edges(edges(s, d).select("input_id", F.concat("src", F.when(F.col("input_id") % 7 == 0, "x").otherwise("")).alias("src"), "dst", "type"), nodes(s, d)),
         "simple_paths": lambda s, d: graph.simple_paths(nodes(s, d), edges(s, d)).select("input_id", F.array_join("path", ">").alias("path"), F.round("score_sum", 5).alias("score_sum"), "shared_sum", "continuous"),
-        "best_path": lambda s, d: graph.best_path(graph.simple_paths(nodes(s, d), edges(s, d))),
+        "best_path": lambda s, d: graph.best_path(nodes(s, d), edges(s, d)),
         "evidence_cover": lambda s, d: graph.evidence_cover(nodes(s, d)),
         "rule_nodes": lambda s, d: extract.nodes(units(s, d)),
         "rule_graph_edges": lambda s, d: graph.layer_edges(extract.nodes(units(s, d))),
-        "explicit_impacts": lambda s, d: extract.explicit_impacts(table(s, d, "documents").select(F.col("doc_id").alias("input_id"), F.lit(1).alias("ord"), F.lit("E1").alias("evidence_id"), "text")).select("input_id", "impact", "evidence_ids"),
+        "explicit_impacts": lambda s, d: extract.explicit_impacts(stop_units(s, d)).select("input_id", "impact", "evidence_ids", "ord"),
         "impact_keywords": lambda s, d: doc(s, d).select("doc_id", F.array_sort(extract.impact_types(F.col("text"))).alias("impacts"), extract.primary_impact(F.col("text")).alias("impact")),
         "vulnerability_types": lambda s, d: table(s, d, "techniques").select("technique_id", extract.vulnerability_type(F.col("text"), F.col("name")).alias("v")).select("technique_id", "v.type", "v.subtype"),
         "stratified_sample": lambda s, d: weighted(s, d).select("sample_id", "input_id", "technique_id", "stratum_size", "sampled", F.round("selection_probability", 6).alias("selection_probability"), F.round("analysis_weight", 6).alias("analysis_weight")),
@@ -163,7 +169,7 @@ def queries() -> dict:
         "contract_edges": lambda s, d: contracts.counts(contracts.graph_edges(edges(s, d), nodes(s, d).where("node_id <> 'N3'"))),
         "rerank_topk": lambda s, d: rerank.top_candidates(ranked_candidates(s, d), 3, exact=True),
         "rerank_merge": lambda s, d: rerank_result(s, d),
-        "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
+        "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0, F.col("retrieval_rank") % 3 > 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
         "explanations": lambda s, d: explanation.explanations(nodes(s, d), edges(s, d)).select("input_id", "status", "chain", "chain_types", "evidence_ids", "minimum_evidence", "compact_text"),
         "explanation_queries": lambda s, d: explanation.query_text(explanation.explanations(nodes(s, d), edges(s, d)), edges(s, d)),
         "rerank_prompts": lambda s, d: rerank.prompts(rerank.top_candidates(ranked_candidates(s, d), 5), segment.segment(based(s, d, "records").groupBy("base").agg(F.max("raw_text").alias("t")).withColumnRenamed("base", "input_id"), "input_id", "t"), table(s, d, "techniques")),
@@ -175,6 +181,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     ws = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    squash = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '{ws}', ' ', 'g'))"
+    snaked = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
     nid = "regexp_replace(regexp_replace(upper({0}), '[^\\p{{L}}\\p{{Nd}}]+', '_', 'g'), '^_+|_+$', '', 'g')"
     nd = """nd as (select l_orderkey input_id, 'N' || row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) node_id,
         (['Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'])[l_linenumber % 5 + 1] as type, 'flag ' || l_returnflag || ' ' || l_linestatus || ' part' || (l_partkey % 7) as text,
@@ -191,13 +199,20 @@ def oracle_sql() -> dict[str, str]:
         round(0.55 * {jac.format('a.ev', 'b.ev')} + 0.25 * {jac.format(toks.format('a.text'), toks.format('b.text'))} + 0.20 * (a.conf + b.conf) / 2, 6) score
         from nd a join (values {rules}) r(x, y, t) on a.type = r.x join nd b on a.input_id = b.input_id and b.type = r.y)"""
     paths = f"""with {nd}, {ed}, e2 as (select input_id, src, dst, max(score) score, max(len(shared)) shared from ed group by 1, 2, 3),
-        p1 as (select input_id, [node_id] path, [type] types, 0::double score_sum, 0 shared_sum, 0 continuous, conf conf_sum, node_id last from nd),
-        """ + ", ".join(f"p{k + 1} as (select p.input_id, list_append(path, dst) path, list_append(types, n.type) types, score_sum + score score_sum, shared_sum + shared shared_sum, continuous + cast(shared > 0 as int) continuous, conf_sum + n.conf conf_sum, dst as last from p{k} p join e2 e on e.input_id = p.input_id and e.src = p.last and not list_contains(path, dst) join nd n on n.input_id = e.input_id and n.node_id = dst)" for k in (1, 2, 3)) + ", pa as (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)"
-    pos = {t: f"coalesce(list_position(types, '{t}'), 0)" for t in ("Entry", "Behavior", "Impact")}
-    en, be, im = pos["Entry"], pos["Behavior"], pos["Impact"]
-    rank_path = paths + f""", pk as (select *, types[1] = 'Entry' and types[-1] = 'Impact' and list_contains(types, 'Behavior') complete,
-        case when {en} > 0 and {be} > {en} and {im} > {be} then 3 when ({en} > 0 and {be} > {en}) or ({en} > 0 and {im} > {en} and {be} = 0) or ({en} = 0 and {be} > 0 and {im} > {be}) then 2 when {en} > 0 or {be} > 0 or {im} > 0 then 1 else 0 end core, greatest(len(path) - 1, 1) hops from pa),
-        po as (select *, round(score_sum / hops, 9) mean_score, row_number() over (partition by input_id order by complete desc, core desc, round(continuous::double / hops, 9) desc, round(shared_sum::double / hops, 9) desc, len(path), round(score_sum / hops, 9) desc, round(conf_sum / len(path), 9) desc, path) n from pk)"""
+        p1 as (select input_id, [node_id] path, [type] types, 0::double score_sum, 0 shared_sum, 0 continuous, conf conf_sum, node_id last, [ev] evs from nd),
+        """ + ", ".join(f"p{k + 1} as (select p.input_id, list_append(path, dst) path, list_append(types, n.type) types, score_sum + score score_sum, shared_sum + shared shared_sum, continuous + cast(shared > 0 as int) continuous, conf_sum + n.conf conf_sum, dst as last, list_append(evs, n.ev) evs from p{k} p join e2 e on e.input_id = p.input_id and e.src = p.last and not list_contains(path, dst) join nd n on n.input_id = e.input_id and n.node_id = dst)" for k in (1, 2, 3)) + ", pa as (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4)"
+    # the order of core types: each is looked for after the last one found
+    after = {"en": "list_position(types, 'Entry')", "be": "list_position(types[coalesce(en, 0) + 1:], 'Behavior') + coalesce(en, 0)", "im": "list_position(types[greatest(coalesce(en, 0), coalesce(be, 0)) + 1:], 'Impact')"}
+    meet = lambda *k: "len(" + "".join("list_intersect(" for _ in k[1:]) + f"evs[{k[0]}]" + "".join(f", evs[{x}])" for x in k[1:]) + ") > 0"
+    two = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    any_of = lambda *c: "(" + " or ".join(c) + ")"
+    cover = f"""case len(path) when 1 then 1 when 2 then case when {meet(1, 2)} then 1 else 2 end
+        when 3 then case when {meet(1, 2, 3)} then 1 when {any_of(*[meet(*k) for k in two if 4 not in k])} then 2 else 3 end
+        else case when {meet(1, 2, 3, 4)} then 1 when {any_of(meet(1, 2, 3), meet(1, 2, 4), meet(1, 3, 4), meet(2, 3, 4), *[f"({meet(*k)} and {meet(*sorted({1, 2, 3, 4} - set(k)))})" for k in two[:3]])} then 2 when {any_of(*[meet(*k) for k in two])} then 3 else 4 end end"""
+    rank_path = paths + f""", pe as (select *, {after['en']} en from pa), pb as (select *, {after['be']} be from pe), pi as (select *, {after['im']} im from pb),
+        pk as (select *, types[1] = 'Entry' and types[-1] = 'Impact' and list_contains(types, 'Behavior') complete, cast(en is not null as int) + cast(be is not null as int) + cast(im is not null as int) core,
+            greatest(len(path) - 1, 1) hops, {cover} cover_size from pi),
+        po as (select *, round(score_sum / hops, 9) mean_score, row_number() over (partition by input_id order by complete desc, core desc, round(continuous::double / hops, 9) desc, round(shared_sum::double / hops, 9) desc, len(path), cover_size, round(score_sum / hops, 9) desc, round(conf_sum / len(path), 9) desc, path) n from pk)"""
     lab = "(select base, list_sort(list(distinct l)) labels from (select base, unnest(labels) l from {0}) where l is not null group by 1)"
     rec = f"rc as (select *, {S.base('input_id')} base from records where {S.base('input_id')} is not null)"
     srw = f"sr as (select *, coalesce({S.base('base_input_id')}, {S.base('source_id')}) base, try_cast(nullif(regexp_extract({nid.format('source_id')}, '_AUGU?MENTED_(\\d+)$', 1), '') as int) aug from source_rows), sq as (select * from sr where base is not null)"
@@ -208,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
     smp = f"""{go}, hs as (select *, sha256('20260805' || chr(31) || input_id || chr(31) || technique_id) h from gold), hk as (select *, row_number() over (partition by technique_id order by h, input_id) k, count(*) over (partition by technique_id) stratum_size from hs),
         sa as (select 'LSA-' || upper(substr(h, 1, 12)) sample_id, input_id, technique_id, stratum_size, least(stratum_size, 8) sampled from hk where k <= 8)"""
     rate = "select {0} decision, n, round(n::double / sum(n) over ({1}), 6) as raw_rate, round(w / sum(w) over ({1}), 6) as weighted_rate from (select {0} decision, count(*) n, sum(stratum_size::double / sampled) w from sa join de using (input_id, technique_id) group by {0} decision)"
-    imp = " ".join(f"case when regexp_matches(lower(coalesce(text, '')), '{'|'.join(w)}') then '{k}' end," for k, w in extract.IMPACT_WORDS.items()).rstrip(",")
+    imp = " ".join(f"case when regexp_matches(lower(trim(regexp_replace(coalesce(text, ''), '{ws}', ' ', 'g'))), '{'|'.join(w)}') then '{k}' end," for k, w in extract.IMPACT_WORDS.items()).rstrip(",")
     return {
         "canonical_text": f"select doc_id, trim(regexp_replace(coalesce(text, ''), '{ws}', ' ', 'g')) as canonical from documents",
         "id_normalise": f"select row_id, {nid.format('source_id')} as input_id, {S.base('source_id')} as base_id, try_cast(nullif(regexp_extract({nid.format('source_id')}, '_AUGU?MENTED_(\\d+)$', 1), '') as int) as augmentation from source_rows",
@@ -232,9 +247,19 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_edges": f"with {nd}, {ed} select input_id, substr(src, 1, 2) as src, substr(dst, 1, 2) as dst, type, max(round(score, 5)) as score from ed group by 1, 2, 3, 4",
         "dangling_edges": f"with {nd}, {ed} select input_id, src || 'x' as src, dst, type, 'src' as missing from ed where input_id % 7 = 0",
         "simple_paths": paths + " select input_id, array_to_string(path, '>') as path, round(score_sum, 5) as score_sum, cast(shared_sum as int) as shared_sum, cast(continuous as int) as continuous from pa",
-        "best_path": rank_path + " select input_id, array_to_string(path, '>') as path, array_to_string(types, '>') as types, core as core_coverage, mean_score, case when complete then 'complete' when core > 0 then 'partial' else 'empty' end as status from po where n = 1",
+        "best_path": rank_path + " select input_id, array_to_string(path, '>') as path, array_to_string(types, '>') as types, core as core_coverage, mean_score, cover_size, round(continuous::double / hops, 9) as continuity, cast(0 as double) as explicit_ratio, case when complete then 'complete' when core > 0 then 'partial' else 'empty' end as status from po where n = 1",
         "impact_keywords": f"select doc_id, list_sort(list_filter([{imp}], lambda x: x is not null)) as impacts, coalesce(list_filter([{imp}], lambda x: x is not null)[1], 'unspecified') as impact from documents",
-        "explicit_impacts": "with e as (select doc_id input_id, text, case when regexp_matches(text, '(?i)" + extract.UNKNOWN_IMPACT + "') then 1 else 0 end v from documents where text is not null) " + " union all ".join(f"select input_id, '{k}' as impact, ['E1'] as evidence_ids from e where v = 0 and regexp_matches(text, '(?i){p}')" for k, p in extract.EXPLICIT_IMPACTS),
+        "explicit_impacts": "with l as (select doc_id input_id, string_split(text, '. ') u from documents where text is not null), e as (select input_id, unnest(u) text, generate_subscripts(u, 1) ord from l), "
+            "k as (select * from e where not regexp_matches(text, '(?i)" + extract.UNKNOWN_IMPACT + "')), h as (" + " union all ".join(f"select input_id, ord, {n} no, '{k}' impact from k where regexp_matches(text, '(?i){p}')" for n, (k, p) in enumerate(extract.EXPLICIT_IMPACTS)) + "), "
+            "g as (select input_id, impact, list_transform(list_sort(list(ord)), lambda o: 'E' || o) evidence_ids, min({'ord': ord, 'no': no}) f from h group by 1, 2) "
+            "select input_id, impact, evidence_ids, cast(row_number() over (partition by input_id order by f) as int) as ord from g",
+        "vulnerability_types": "with x as (select technique_id, lower(" + squash("text") + ") t, lower(" + squash("name") + ") s from techniques), "
+            "y as (select *, t || chr(10) || s b, " + snaked.format("t") + " st, " + snaked.format("s") + " ss from x) select technique_id, case "
+            + " ".join(f"when regexp_matches(b, '{p}') then '{a}'" for p, (a, _), _ in extract.weakness_patterns()) + " else coalesce(nullif(st, ''), 'unspecified') end as type, case "
+            + " ".join(f"when regexp_matches(b, '{p}') then " + (f"coalesce(nullif(ss, ''), '{e}')" if k == "" else f"'{k or ''}'") for p, (_, k), e in extract.weakness_patterns()) + " else ss end as subtype from y",
+        "name_normalise": "select technique_id, " + snaked.format("lower(trim(name, ' '))") + " as snake, regexp_replace(trim(name, ' '), '[^A-Za-z0-9._-]+', '_', 'g') as file_name, "
+            "case when length(c) > 48 then array_to_string((regexp_split_to_array(c, '[ \t\n\x0B\f\r]+'))[1:8], ' ') else c end as phrase, case when lower(trim(description, ' ')) not in ('', 'null', 'none', 'n/a') then trim(description, ' ') end as description "
+            "from (select *, trim(regexp_split_to_array(trim(text, ' '), '[.;。；]')[1], ' ') c from techniques)",
         "stratified_sample": f"with {smp} select sample_id, input_id, technique_id, stratum_size, cast(sampled as bigint) as sampled, round(sampled::double / stratum_size, 6) as selection_probability, round(stratum_size::double / sampled, 6) as analysis_weight from sa",
         "reviewer_order": f"with {smp} select sample_id, cast(row_number() over (order by sha256('7' || chr(31) || 'reviewer_1' || chr(31) || sample_id), sample_id) as int) as display_order from sa",
         "confusion": f"with {rev} select d1 as first, d2 as second, count(*) as n from rv where d1 is not null and d2 is not null group by 1, 2",
@@ -258,8 +283,9 @@ def oracle_sql() -> dict[str, str]:
             pr as (select subset, method, run, count(*) n, avg(mrr) mrr, {', '.join(f"avg(cast(h{k} > 0 as double)) hit_{k}, avg(h{k}::double / ngd) recall_{k}, avg(ap_{k}) ap_{k}" for k in (1, 5))} from pi group by 1, 2, 3)
             select subset, method, max(n) as n_inputs, round(avg(mrr), 6) as mrr, {', '.join(f"round(avg({x}_{k}), 6) as {x}_{k}" for x in ("hit", "recall", "ap") for k in (1, 5))} from pr group by 1, 2 having max(n) >= 2""",
         "rerank_topk": f"with {ranked} select input_id, technique_id, cast(rank as int) as retrieval_rank from rk where rank <= 3 and input_id in (select input_id from rk where rank = 3)",
-        "citation_caps": f"""with x as (select {S.base('input_id')} base, technique_id, mode, score_text / 20 s, coalesce(retrieval_rank % 2 = 0, null) e, retrieval_rank % 4 = 0 p from rerank),
-            y as (select *, case when not e and s > 0.25 then 0.25 else s end f from x), z as (select *, case when mode = 'generic' then s when e and not p and f >= 0.55 then 0.55 - 0.01 else f end c from y)
+        "citation_caps": f"""with x as (select {S.base('input_id')} base, technique_id, mode, score_text / 20 s, retrieval_rank r from rerank),
+            y as (select *, case when mode <> 'generic' and r % 2 <> 0 and s > 0.25 then 0.25 else s end f from x),
+            z as (select *, case when mode in ('structure', 'full') and r % 3 > 0 and r % 4 <> 0 and f >= 0.55 then 0.54 else f end c from y)
             select base, technique_id, round(c, 6) as capped from z where c is not null and not isnan(c)""",
         "contract_labels": """with x as (select 'no labels' problem, record_id from records where coalesce(len(labels), 0) <= 0 union all select 'invalid label', record_id from records where len(list_filter(labels, lambda x: not regexp_full_match(coalesce(x, ''), 'T[0-9]{4}(\\.[0-9]{3})?'))) > 0
             union all select 'not sorted and distinct', record_id from records where labels is not null and labels <> list_sort(list_distinct(labels))) select problem, count(*) as n, count(distinct record_id) as inputs from x group by 1""",

@@ -96,10 +96,10 @@ def test_graph(spark):
     )
     e = graph.layer_edges(n)
     assert rows(e.select("src", "dst", "type", "structural_score")) == [("B1", "I1", "causes", round(0.2 * 0.55, 6)), ("EN1", "B1", "enables", 0.415)]
-    best = {r.input_id: (r.path, r.status) for r in graph.best_path(graph.simple_paths(n, e)).collect()}
+    best = {r.input_id: (r.path, r.status) for r in graph.best_path(n, e).collect()}
     assert best == {"x": ("EN1>B1>I1", "complete")}
     assert graph.minimum_cover([["E1", "E2"], ["E2"], ["E3"]]) == ["E2", "E3"] == graph.minimum_cover([["E1", "E2"], ["E2"], ["E3"]], 0)
-    assert graph.minimum_cover([[], []]) == []
+    assert graph.minimum_cover([["E1"], []]) is None and graph.minimum_cover([]) == [] and graph.minimum_cover([["E12"], ["E3"]], 0) == ["E3", "E12"]
     assert graph.dangling_edges(e, n.where("node_id <> 'B1'")).count() == 2
     x = explanation.explanations(n, e).first()
     assert x.status == "complete" and x.evidence_ids == ["E1", "E2", "E3"] and x.minimum_evidence == ["E2", "E3"]
@@ -109,6 +109,59 @@ def test_graph(spark):
     assert {r.node_id: r.evidence_ids for r in graph.drop_alias_evidence(n, ev).collect()}["B1"] == ["E2"]
 
 
+def test_best_paths_by_brute_force(spark):
+    """Every simple path of random graphs, ranked one by one."""
+    rng = random.Random(4)
+    kinds, nodes, edges = ("Precondition", "Entry", "VulnType", "Behavior", "Impact"), [], []
+    for r in range(60):
+        n = rng.randrange(1, 7)
+        many = 70 if r % 5 == 0 else 6
+        for i in range(n):
+            nodes.append((f"r{r}", f"N{i}", rng.choice(kinds), "t", [f"E{k}" for k in rng.sample(range(1, many), rng.randrange(0 if rng.random() < 0.2 else 1, 4))], rng.choice([0.2, 0.5, 0.9, None])))
+        for _ in range(rng.randrange(0, 12)):
+            edges.append((f"r{r}", f"N{rng.randrange(n)}", f"N{rng.randrange(n + 1)}", rng.choice(["enables", "causes"]), rng.choice([0.1, 0.5, 0.7]), rng.random() < 0.3))
+    nd = spark.createDataFrame(nodes, "input_id string, node_id string, type string, text string, evidence_ids array<string>, confidence double")
+    ed = spark.createDataFrame(edges, "input_id string, src string, dst string, type string, structural_score double, explicit boolean")
+    got = {x.input_id: x for x in graph.best_paths(nd, ed).collect()}
+
+    def core(types):
+        at, found = -1, 0
+        for t in graph.CORE:
+            if t in types[at + 1 :]:
+                at, found = types.index(t, at + 1), found + 1
+        return found
+
+    for r in {x[0] for x in nodes}:
+        own = {x[1]: x for x in nodes if x[0] == r and x[4]}
+        best = {}
+        for x in edges:
+            if x[0] == r and x[1] in own and x[2] in own:
+                best[x[1], x[2]] = max(best.get((x[1], x[2]), (False, 0.0)), (x[5], x[4]))
+        paths, step = [], [(i,) for i in own]
+        while step and len(step[0]) <= 4:
+            paths += step
+            step = [(*p, b) for p in step for a, b in best if a == p[-1] and b not in p]
+
+        def key(p):
+            types = [own[i][2] for i in p]
+            links = [best[e] for e in zip(p, p[1:])]
+            shared = [len(set(own[a][4]) & set(own[b][4])) for a, b in zip(p, p[1:])]
+            mean = lambda v: round(sum(v) / max(len(p) - 1, 1), 12)
+            done = types[0] == "Entry" and types[-1] == "Impact" and "Behavior" in types
+            sure = round(sum(0.5 if own[i][5] is None else own[i][5] for i in p) / len(p), 12)
+            return (not done, -core(types), -mean([s > 0 for s in shared]), -mean(shared), -mean([x for x, _ in links]), len(p), len(graph.minimum_cover([own[i][4] for i in p])), -mean([s for _, s in links]), -sure, p)
+
+        if not own:
+            assert r not in got
+            continue
+        want = min(map(key, paths))
+        x = got[r]
+        assert tuple(x.path) == want[-1] and x.n_paths == len(paths) and (x.core_coverage, x.cover_size, x.complete) == (-want[1], want[6], not want[0])
+    assert graph.best_paths(nd.limit(0), ed).count() == 0
+    before = {x.input_id: x for x in explanation.explanations(nd, ed.withColumn("shared_evidence_ids", F.array().cast("array<string>"))).collect()}
+    assert any(x.precondition for x in before.values()) and all(x.precondition not in x.chain for x in before.values() if x.precondition)
+
+
 def test_segmentation(spark):
     f = segment.evidence_units
     one = "Many affected systems. Remote attackers can read arbitrary files in this product."
@@ -119,8 +172,15 @@ def test_segmentation(spark):
     long = " ".join(["word"] * 400)
     assert " ".join(f(long)) == long and all(len(u) <= 420 for u in f(long)) and len(f(long, max_chars=60, min_chars=5, max_evidence=3)) == 3
     assert f("") == []
+    assert f("a " + "x" * 900 + " b") == ["a " + "x" * 900 + " b"]  # a word is never cut
+    quoted = 'The manual says to "never do this." The next part of the text comes after it.'
+    assert f(quoted) == ['The manual says to "never do this."', "The next part of the text comes after it."]
+    halves = "the parser does not check lengths of fields; an attacker can read memory of it"
+    assert f(halves) == [halves] and f(halves, aggressive=True) == ["the parser does not check lengths of fields;", "an attacker can read memory of it"]
+    listed = "versions before the first one; 2.3; 4.5; 6.7; and all the others that nobody has counted"
+    assert f(listed, aggressive=True) == [listed]
     with pytest.raises(ValueError):
-        f("x" * 900)
+        f("x", min_chars=30, max_chars=50)
     df = spark.createDataFrame([("a", two), ("b", None), ("c", "")], "input_id string, text string")
     s = rows(segment.spans(segment.segment(df, "input_id", "text"), "input_id").select("evidence_id", "start", "end"))
     assert s == [("E1", 0, 49), ("E2", 50, 91)]
@@ -128,13 +188,13 @@ def test_segmentation(spark):
 
 def test_extraction(spark):
     e = spark.createDataFrame(
-        [("x", 1, "E1", "A buffer overflow in the parser allows a remote attacker to send a crafted packet."), ("x", 2, "E2", "This leads to remote code execution."), ("y", 1, "E1", "nothing"), ("z", 1, "E1", "causes a crash with unknown impact")],
+        [("x", 1, "E1", "A buffer overflow in the parser allows a remote attacker to send a crafted packet."), ("x", 2, "E2", "This leads to remote code execution."), ("y", 1, "E1", "nothing"), ("z", 1, "E1", "causes a crash with unknown impact"), ("z", 2, "E2", "a denial of service and privilege escalation")],
         "input_id string, ord int, evidence_id string, text string",
     )
     n = {r.node_id: r for r in extract.nodes(e).collect() if r.input_id == "x"}
     assert set(n) == {"PRECONDITION::P1", "ENTRY::EN1", "VULNTYPE::VT1", "BEHAVIOR::B1", "IMPACT::I1"}
     assert n["IMPACT::I1"].text == "code_execution" and n["IMPACT::I1"].evidence_ids == ["E2"] and n["BEHAVIOR::B1"].text.endswith("impact=code_execution")
-    assert rows(extract.explicit_impacts(e).select("input_id", "impact")) == [("x", "code_execution")]
+    assert rows(extract.explicit_impacts(e).select("input_id", "impact", "evidence_ids", "ord")) == [("x", "code_execution", ["E2"], 1), ("z", "denial_of_service", ["E2"], 2), ("z", "privilege_escalation", ["E2"], 1)]
     v = spark.createDataFrame([("SQL Injection", ""), ("heap overflow", "Stack Based"), ("remote code execution", "x"), ("bypass", ""), ("Odd Thing", None)], "t string, s string")
     assert [tuple(r.v) for r in v.select(extract.vulnerability_type(F.col("t"), F.col("s")).alias("v")).collect()] == [("injection", "sql_injection"), ("memory_corruption", "stack_based"), ("unspecified", ""), ("auth_bypass", "auth_bypass"), ("odd_thing", "")]
 
@@ -175,8 +235,8 @@ def test_rerank(spark):
     m = rerank.merge_scores(c, s, 0.4)
     assert rows(m.select("rerank_rank", "technique_id", "final_score")) == [(1, "T2", 0.64), (2, "T1", 0.36)]
     assert contracts.reranking(m, c, 0.4).count() == 0 and contracts.reranking(m.where("rerank_rank = 1"), c, 0.4).first().problem == "candidate was lost"
-    caps = spark.createDataFrame([(0.9, "full", False, False), (0.9, "full", True, False), (0.9, "full", True, True), (0.9, "generic", False, False), (0.25, "full", False, False)], "s double, m string, e boolean, p boolean")
-    assert [r.x for r in caps.select(F.round(rerank.capped(F.col("s"), F.col("m"), F.col("e"), F.col("p")), 6).alias("x")).collect()] == [0.25, 0.54, 0.9, 0.9, 0.25]
+    caps = spark.createDataFrame([(0.9, "full", False, False, True), (0.9, "full", True, False, True), (0.9, "full", True, True, True), (0.9, "generic", False, False, True), (0.25, "full", False, False, True), (0.9, "evidence", True, False, True), (0.9, "structure", True, False, False)], "s double, m string, e boolean, p boolean, h boolean")
+    assert [r.x for r in caps.select(F.round(rerank.capped(F.col("s"), F.col("m"), F.col("e"), F.col("p"), F.col("h")), 6).alias("x")).collect()] == [0.25, 0.54, 0.9, 0.9, 0.25, 0.9, 0.9]
     ev = spark.createDataFrame([("x", 1, "E1", "text")], "input_id string, ord int, evidence_id string, text string")
     cat = spark.createDataFrame([("T1", "n", "t"), ("T2", "n", None)], "technique_id string, name string, text string")
     p = rerank.prompts(c, ev, cat)
