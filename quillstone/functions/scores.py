@@ -46,3 +46,9 @@ def split_target(support: Column, part: int, whole: int, least: int = 2) -> Colu
     """Wanted count of a label on the smaller side: half-even rounding, at least 1 and not all, 0 for rare labels."""
     want = F.bround(support * part / F.lit(whole), 0).cast("int")
     return F.when(support >= least, F.greatest(F.lit(1), F.least(support.cast("int") - 1, want))).otherwise(0)
+
+
+def within(c: Column, low: float, high: float, open_end: bool = False) -> Column:
+    """A number of the range, or null; NaN and infinity are in no range."""
+    ok = c.isNotNull() & ~F.isnan(c) & (c >= low) & ((c < high) if open_end else (c <= high)) & (F.abs(c) < float("inf"))
+    return F.when(ok, c)

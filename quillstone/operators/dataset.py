@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import random
-from collections import Counter, defaultdict
+import functools
+import hashlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,72 +84,90 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("xor"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))).alias("sum"))
 
 
-def split_objective(counts: dict[str, int], targets: dict[str, int], support: dict[str, int], least: int) -> float:
-    """Sum of squared deviation over support, and a million for each supported label that one side lacks."""
-    total = 0.0
-    for label, s in support.items():
-        c = counts.get(label, 0)
-        total += (c - targets[label]) ** 2 / s
-        if s >= least and (c == 0 or c == s):
-            total += 1e6
-    return total
+def split_targets(support: dict[str, int], part: float, least: int) -> dict[str, int]:
+    """How many holders of each label the smaller side should get: half-even rounding, at least one and not all; none of rarer labels."""
+    return {k: (max(1, min(n - 1, round(n * part))) if n >= least else 0) for k, n in support.items()}
 
 
-def stratified_split(records: list[tuple[str, list[str]]], part: int, seed: int, least: int = 2, passes: int = 20) -> set[str]:
-    """Ids of the smaller side: greedy by the rarest remaining label, then swaps that lower the objective.
+def _tie(seed: int, *parts: str) -> str:
+    return hashlib.sha256("\x1f".join([str(seed), *parts]).encode()).hexdigest()
 
-    A sequential search over one labelled evaluation set (thousands of records), run on the driver by design; corpora are
-    split by the operator for related records instead.
+
+def stratified_split(records: list[tuple[str, list[str]]], part: int, seed: int, least: int = 2, passes: int = 20, pool: int = 256) -> set[str]:
+    """Ids of the smaller side: rarest open label first, then swaps that lower the deviation from the labels' targets.
+
+    A search over one labelled evaluation set (thousands of records) whose every step depends on the last, so it runs on the driver; corpora
+    are split by the operator for related records instead. Equal choices go by a hash of seed and ids.
     """
-    support = Counter(x for _, ls in records for x in set(ls))
-    n = len(records)
-    targets = {k: (max(1, min(s - 1, round(s * part / n))) if s >= least else 0) for k, s in support.items()}
-    rng = random.Random(seed)
-    order = {i: rng.random() for i, _ in sorted(records)}
-    labels = {i: set(ls) for i, ls in records}
-    holders = defaultdict(set)
-    for i, ls in labels.items():
-        for x in ls:
-            holders[x].add(i)
-    need = {False: {k: support[k] - t for k, t in targets.items()}, True: dict(targets)}
-    room = {True: part, False: n - part}
-    side: dict[str, bool] = {}
-
-    def place(i: str, label: str | None) -> None:
-        keys = [s for s in (True, False) if room[s] > 0]
-        s = max(keys, key=lambda s: ((need[s].get(label, 0) if label else 0), room[s], s))
-        side[i] = s
-        room[s] -= 1
-        for x in labels[i]:
-            need[s][x] -= 1
-            holders[x].discard(i)
-
-    while any(holders.values()):
-        label = min((k for k, v in holders.items() if v), key=lambda k: (len(holders[k]), k))
-        place(min(holders[label], key=lambda i: (order[i], i)), label)
-    for i in sorted(labels, key=lambda i: (order[i], i)):
-        if i not in side:
-            place(i, None)
-    counts = Counter(x for i, s in side.items() if s for x in labels[i])
-    now = split_objective(counts, targets, support, least)
+    ids = sorted(i for i, _ in records)
+    at = {i: k for k, i in enumerate(ids)}
+    names = sorted({x for _, ls in records for x in ls})
+    has = np.zeros((len(ids), len(names)), bool)
+    column = {x: k for k, x in enumerate(names)}
+    for i, ls in records:
+        has[at[i], [column[x] for x in ls]] = True
+    side = _rarest_first(ids, names, has, part, seed)
+    support = has.sum(axis=0)
+    goal = np.array([split_targets({x: int(n)}, part / len(ids), least)[x] for x, n in zip(names, support)], float)
+
+    def cost(c: np.ndarray) -> np.ndarray:
+        """Per label: squared deviation over support, and a million where one side would lack a label that both should have."""
+        return (c - goal) ** 2 / np.maximum(support, 1) + 1e6 * ((support >= least) & ((c == 0) | (c == support)))
+
     for _ in range(passes):
-        ins, outs = [i for i, s in side.items() if not s], [i for i, s in side.items() if s]
-        gain = lambda i, sign: sum(sign * (targets[x] - counts[x]) / support[x] for x in labels[i])
-        ins = sorted(ins, key=lambda i: (-gain(i, 1), i))[:256]
-        outs = sorted(outs, key=lambda i: (-gain(i, -1), i))[:256]
-        best = (now - 1e-12, None)
-        for a in outs[:64]:
-            for b in ins[:64]:
-                if labels[a] == labels[b]:
-                    continue
-                c = counts.copy()
-                c.subtract(labels[a])
-                c.update(labels[b])
-                o = split_objective(c, targets, support, least)
-                if o < best[0]:
-                    best = (o, (a, b, c))
-        if best[1] is None:
+        c = has[side].sum(axis=0).astype(float)
+        if (c == goal).all():
+            break
+        use = has @ ((c - goal) / np.maximum(support, 1))  # what the deviation loses when a record leaves
+        best = lambda rows, sign, word: sorted(rows, key=lambda k: (-sign * use[k], _tie(seed, word, ids[k]), ids[k]))[:pool]
+        out, new = best(np.flatnonzero(side), 1, "swap-out"), best(np.flatnonzero(~side), -1, "swap-in")
+        a, b = has[out].astype(float), has[new].astype(float)
+        gain = (a * (cost(c - 1) - cost(c))) @ (1 - b).T + (1 - a) @ (b * (cost(c + 1) - cost(c))).T
+        if not gain.size or gain.min() >= -1e-12:
             break
-        a, b, counts = best[1]
-        side[a], side[b], now = False, True, best[0]
-    return {i for i, s in side.items() if s}
+        near = np.argwhere(gain <= gain.min() + 1e-12)
+        i, j = min(((out[x], new[y]) for x, y in near), key=lambda p: (_tie(seed, "swap", ids[p[0]], ids[p[1]]), ids[p[0]], ids[p[1]]))
+        side[i], side[j] = False, True
+    return {ids[k] for k in np.flatnonzero(side)}
+
+
+def _rarest_first(ids: list[str], names: list[str], has: np.ndarray, part: int, seed: int) -> np.ndarray:
+    """True for the records of the smaller side: the label with the fewest open holders gives its next one to the side that wants it most."""
+    n = len(ids)
+    order = [sorted(np.flatnonzero(has[:, k]), key=lambda i, x=x: (_tie(seed, "iterative-sample", x, ids[i]), ids[i])) for k, x in enumerate(names)]
+    bare = sorted(np.flatnonzero(~has.any(axis=1)), key=lambda i: (_tie(seed, "unlabelled", ids[i]), ids[i]))
+    capacity = np.array([part, n - part])  # the smaller side first
+    want = has.sum(axis=0)[None, :] * (capacity / n)[:, None]
+    open_, taken = has.sum(axis=0).astype(float), np.zeros(n, bool)
+    next_, side = [0] * len(names), np.zeros(n, bool)
+    for _ in range(n):
+        k = int(np.argmin(np.where(open_ > 0, open_, np.inf))) if (open_ > 0).any() else None
+        queue = bare if k is None else order[k]
+        at = 0 if k is None else next_[k]
+        while taken[queue[at]]:
+            at += 1
+        i = queue[at]
+        if k is not None:
+            next_[k] = at + 1
+        able = [s for s in (0, 1) if capacity[s] > 0]
+        s = max(able, key=lambda s: (want[s, k] if k is not None else 0.0, capacity[s], -s))
+        taken[i], side[i] = True, s == 0
+        capacity[s] -= 1
+        want[s, has[i]] -= 1.0
+        open_[has[i]] -= 1
+    return side
+
+
+def label_balance(assigned: DataFrame, part: float, small: str, least: int = 2) -> DataFrame:
+    """Per label of (base, labels, split): support, holders on either side, the target of the smaller side and the error."""
+    per = assigned.select("split", F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("support"), F.sum((F.col("split") == small).cast("int")).alias("n_small"))
+    want = F.when(F.col("support") >= least, F.greatest(F.lit(1), F.least(F.col("support") - 1, F.bround(F.col("support") * part, 0).cast("long")))).otherwise(0).cast("long")
+    return per.select("label", "support", "n_small", (F.col("support") - F.col("n_small")).alias("n_large"), want.alias("target"), (F.col("n_small") - want).alias("error"))
+
+
+def not_partitioned(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
+    """(key, problem): keys of the whole that no part has or that two have, and keys of parts that the whole lacks. Empty if the parts make up the whole."""
+    held = functools.reduce(DataFrame.unionAll, [p.select(key) for p in parts]).groupBy(key).agg(F.count("*").alias("n"))
+    j = whole.select(key).distinct().withColumn("_in", F.lit(True)).join(held, key, "full_outer")
+    problem = F.when(F.col("n").isNull(), "in no part").when(F.col("_in").isNull(), "not in the whole").when(F.col("n") > 1, "in several parts")
+    return j.select(key, problem.alias("problem")).where("problem is not null")

@@ -87,9 +87,9 @@ def first_hits(samples: DataFrame) -> DataFrame:
 def per_technique(rel: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """Per method and technique: support, and recall at k over the runs with the runs' deviation."""
     support = gold.select("input_id", "technique_id").distinct().groupBy("technique_id").agg(F.count("*").alias("support"))
-    runs = rel.select(*RUN).distinct()
+    runs = rel.agg(F.collect_set(F.struct(*RUN)).alias("x"))  # one row: the runs of a report
     hit = rel.where((F.col("rel") == 1) & (F.col("rank") <= k)).groupBy(*RUN, "technique_id").agg(F.count("*").alias("h"))
-    pairs = runs.withColumn("_one", F.lit(1)).join(support.withColumn("_one", F.lit(1)), "_one").drop("_one")  # runs x catalogue
+    pairs = support.select("technique_id", "support", F.inline(runs.scalar()))  # runs x catalogue
     r = pairs.join(hit, [*RUN, "technique_id"], "left").withColumn("recall", F.coalesce("h", F.lit(0)) / F.col("support"))
     return r.groupBy("method", "technique_id").agg(F.max("support").alias("support"), F.avg("recall").alias("recall"), F.coalesce(F.stddev_samp("recall"), F.lit(0.0)).alias("sd_runs"))
 

@@ -6,22 +6,42 @@ scored candidates of ``rerank`` four methods (one per score) with two runs (best
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.scores import min_max
+from ..functions.scores import min_max, within
 from ..functions.text import technique_id, tokens
 from ..operators import audit, dataset, metrics, retrieval, significance
 from ..session import table
 from . import sqltext as S
 
-METHODS = {"edge": "mean_edge_score", "llm": "llm_score", "path": "path_cost", "text": "score_text"}
-ALPHAS = [0.0, 0.3, 0.6, 1.0]
-#: The grids of the reference's experiment.
-WHOLE_ALPHAS = [0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0]
-WHOLE_LENGTHS = (5, 10, 15, 20, 30, 50)
-WHOLE_BETAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+METHODS = ("edge", "llm", "path", "text")
+#: The grids of the reference's experiment, and the length of a candidate list.
+ALPHAS = [0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0]
+LENGTHS = (5, 10, 15, 20, 30, 50)
+BETAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+TOP = 20
+#: Scores are rounded to fewer digits than by default (12), for sums in another order to give equal texts in SQL.
+DIGITS = 6
+
+
+#: The range of llm_score in each mode.
+LLM_RANGES = {"full": (0.0, 1.0), "structure": (0.0, 100.0), "evidence": (-10.0, 10.0), "generic": (-10.0, 10.0)}
+
+
+def valid_scores() -> dict[str, Column]:
+    """The score of each method, more being better; null where it is outside of its range."""
+    llm = F.coalesce(*[F.when(F.lower(N.squeeze(F.col("mode"))) == m, within(F.col("llm_score"), lo, hi)) for m, (lo, hi) in LLM_RANGES.items()])
+    return {"edge": within(F.col("mean_edge_score"), 0.0, 1.0), "llm": llm, "path": -within(F.col("path_cost"), 0.0, 1e6, True), "text": within(F.col("score_text"), 0.0, float("inf"))}
+
+
+def valid_sql() -> dict[str, str]:
+    llm = " or ".join(f"mode = '{m}' and llm_score between {lo} and {hi}" for m, (lo, hi) in LLM_RANGES.items())
+    return {
+        "edge": "case when mean_edge_score between 0 and 1 then mean_edge_score end", "llm": f"case when {llm} then llm_score end",
+        "path": "case when path_cost >= 0 and path_cost < 1000000 then -path_cost end", "text": "case when score_text >= 0 and isfinite(score_text) then score_text end",
+    }
 
 
 def merged(s: SparkSession, d: str) -> DataFrame:
@@ -42,9 +62,8 @@ def gold(s: SparkSession, d: str) -> DataFrame:
 
 def rankings(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "rerank").withColumn("input_id", N.base_id(F.col("input_id")))
-    value = {m: (-F.col(c) if m == "path" else F.col(c)) for m, c in METHODS.items()}
-    real = lambda c: F.when(~F.isnan(c) & (F.abs(c) < 1e6) & (F.abs(c) != 999) & (c != -1), c)
-    g = r.groupBy("input_id", "technique_id").agg(*[x for m, v in value.items() for x in (F.max(real(v)).alias(f"{m}1"), F.min(real(v)).alias(f"{m}2"))])
+    value = valid_scores()
+    g = r.groupBy("input_id", "technique_id").agg(*[x for m, v in value.items() for x in (F.max(v).alias(f"{m}1"), F.min(v).alias(f"{m}2"))])
     long = g.select("input_id", "technique_id", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("run"), F.col(f"{m}{k}").alias("score")) for m in METHODS for k in (1, 2)])))
     from pyspark.sql import Window
 
@@ -56,23 +75,18 @@ def samples(s: SparkSession, d: str) -> DataFrame:
     return metrics.per_input(metrics.relevance(rankings(s, d), gold(s, d)))
 
 
-def scores(s: SparkSession, d: str, view: str, whole: bool = False) -> DataFrame:
-    """Scores of pairs that share a token, or with ``whole`` of every record with every technique, as the reference has them."""
-    q = merged(s, d).select("query_id", F.col(view).alias("text"))
-    items = catalogue(s, d)
-    return retrieval.cosine_scores(q, items, digits=6, least=items.count() if whole else 0)
-
+def views(s: SparkSession, d: str) -> DataFrame:
+    return merged(s, d).select("query_id", F.col("raw_text").alias("text"), "structure")
 
-def fused(s: SparkSession, d: str, alpha: float = 0.6, whole: bool = False) -> DataFrame:
-    return retrieval.fuse_views(scores(s, d, "raw_text", whole), scores(s, d, "structure"), alpha, digits=6)  # zeros of one view suffice
 
-
-def sweep(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    lengths = WHOLE_LENGTHS if whole else (5, 10)
-    g = retrieval.grid(fused(s, d, whole=whole), WHOLE_ALPHAS if whole else ALPHAS, lengths[-1], digits=6).withColumnRenamed("query_id", "input_id")
-    g = g.select(F.col("alpha").cast("string").alias("method"), F.explode(F.array(*map(F.lit, lengths))).alias("run"), "input_id", "technique_id", "rank").where("rank <= run")
-    rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), (lengths[-1],))
-    return rel.groupBy("method", "run").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_{lengths[-1]}"), 6).alias(m) for m in ("coverage", "macro_recall", "precision", "map", "mrr")])
+def sweep(s: SparkSession, d: str) -> DataFrame:
+    """Means of every alpha and list length. Lists are ranked once, to the greatest length, and measured at every length in one pass."""
+    g = retrieval.retrieve_grid(views(s, d), catalogue(s, d), ALPHAS, LENGTHS[-1], digits=DIGITS).withColumnRenamed("query_id", "input_id")
+    g = g.select(F.col("alpha").cast("string").alias("method"), F.lit(0).alias("run"), "input_id", "technique_id", "rank")
+    names = ("coverage", "macro_recall", "precision", "map", "mrr")
+    rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), LENGTHS)
+    per = rel.groupBy("method").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_{k}"), 6).alias(f"{m}_{k}") for k in LENGTHS for m in names])
+    return per.select("method", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("run"), *[F.col(f"{m}_{k}").alias(m) for m in names]) for k in LENGTHS])))
 
 
 def winner(table_of_runs: DataFrame, tolerance: float = 0.005) -> DataFrame:
@@ -85,7 +99,7 @@ def winner(table_of_runs: DataFrame, tolerance: float = 0.005) -> DataFrame:
     return near.orderBy("run", F.desc("coverage"), F.desc("mrr"), F.desc("macro_recall"), F.abs(a - 0.5), a).limit(1)
 
 
-def beta_grid(s: SparkSession, d: str, betas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+def beta_grid(s: SparkSession, d: str, betas: tuple[float, ...] = BETAS) -> DataFrame:
     """Rankings per beta: beta of the text score and the rest of the llm score, both scaled within a record."""
     r = rankings(s, d).where("method in ('text', 'llm')").withColumn("v", F.coalesce("score", F.lit(0.0)))
     g = r.groupBy("run", "input_id", "technique_id").agg(F.max(F.when(F.col("method") == "text", F.col("v"))).alias("t"), F.max(F.when(F.col("method") == "llm", F.col("v"))).alias("l"))
@@ -98,8 +112,8 @@ def beta_grid(s: SparkSession, d: str, betas: tuple[float, ...] = (0.0, 0.25, 0.
     return g.select(F.col("beta").cast("string").alias("method"), "run", "input_id", "technique_id", F.row_number().over(w).alias("rank"))
 
 
-def beta_table(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    m = metrics.per_input(metrics.relevance(beta_grid(s, d, WHOLE_BETAS) if whole else beta_grid(s, d), gold(s, d)))
+def beta_table(s: SparkSession, d: str) -> DataFrame:
+    m = metrics.per_input(metrics.relevance(beta_grid(s, d), gold(s, d)))
     per = m.groupBy("method", "run").agg(F.avg("hit_1").alias("h"), F.avg("mrr").alias("m"))
     return per.groupBy("method").agg(F.round(F.avg("h"), 6).alias("hit_1"), F.round(F.avg("m"), 6).alias("mrr"), F.round(F.coalesce(F.stddev_samp("h"), F.lit(0.0)), 6).alias("sd_runs"))
 
@@ -124,28 +138,20 @@ def queries() -> dict:
     def by_text(s, d):
         return catalogue(s, d)
 
-    def top_fused(s, d, whole=False):
-        return retrieval.top_n(fused(s, d, whole=whole), "query_id", "technique_id", 5, F.desc("score_fused"), F.desc("score_text"), F.desc("score_structure"))
-
-    def best_beta(s, d, whole=False):
-        return beta_table(s, d, whole).orderBy(F.desc("hit_1"), F.desc("mrr"), "sd_runs", F.col("method").cast("double").desc()).limit(1)
+    def top_fused(s, d):
+        return retrieval.retrieve_grid(views(s, d), by_text(s, d), [0.6], TOP, digits=DIGITS).drop("alpha")
 
-    def scaled(s, d, whole=False):
-        return scores(s, d, "raw_text", whole).withColumn("scaled", F.round(min_max(F.col("score"), "query_id"), 6))
+    def best_beta(s, d):
+        return beta_table(s, d).orderBy(F.desc("hit_1"), F.desc("mrr"), "sd_runs", F.col("method").cast("double").desc()).limit(1)
 
     return {
         "token_stats": lambda s, d: table(s, d, "documents").select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct")),
         "idf_table": lambda s, d: rounded(retrieval.idf(by_text(s, d))),
         "tf_weights": lambda s, d: rounded(retrieval.weights(by_text(s, d), retrieval.idf(by_text(s, d)), "technique_id", "text")),
-        "retrieve_topn": lambda s, d: retrieval.retrieve(merged(s, d).select("query_id", F.col("raw_text").alias("text")), by_text(s, d), 5, digits=6),
+        "retrieve_topn": lambda s, d: retrieval.retrieve(views(s, d), by_text(s, d), TOP, digits=DIGITS),
         "retrieve_fused": top_fused,
-        "retrieve_fused_whole": lambda s, d: top_fused(s, d, True),
-        "parent_collapse_whole": lambda s, d: retrieval.collapse_to_parent(fused(s, d, whole=True)),
-        "score_minmax_whole": lambda s, d: scaled(s, d, True),
-        "alpha_topn_sweep_whole": lambda s, d: sweep(s, d, True),
-        "sweep_winner_whole": lambda s, d: winner(sweep(s, d, True)),
-        "parent_collapse": lambda s, d: retrieval.collapse_to_parent(fused(s, d)),
-        "score_minmax": scaled,
+        "parent_collapse": lambda s, d: retrieval.retrieve_parents(views(s, d), by_text(s, d), 0.6, digits=DIGITS),
+        "score_minmax": lambda s, d: rounded(retrieval.retrieve_scaled(views(s, d), by_text(s, d), digits=DIGITS)),
         "alpha_topn_sweep": sweep,
         "sweep_winner": lambda s, d: winner(sweep(s, d)),
         "rank_metrics": lambda s, d: rounded(samples(s, d)),
@@ -167,8 +173,6 @@ def queries() -> dict:
         "bootstrap_interval": lambda s, d: significance.bootstrap(metrics.over_runs(samples(s, d), "mrr"), "mrr", 5000),
         "beta_sweep": beta_table,
         "beta_winner": best_beta,
-        "beta_sweep_whole": lambda s, d: beta_table(s, d, True),
-        "beta_winner_whole": lambda s, d: best_beta(s, d, True),
         "gold_index_status": lambda s, d: audit.gold_index_status(gold(s, d), table(s, d, "techniques")),
         "coverage_status": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)),
         "coverage_by_k": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)).groupBy("k", "status").agg(F.count("*").alias("n")),
@@ -192,12 +196,11 @@ def oracle_sql() -> dict[str, str]:
         s{name} as (select query_id, technique_id, round(greatest(0, least(1, dot / (na * nb))), 6) score from (select query_id, technique_id, sum(a.w * b.w) dot from w{name} a join tw b using (token) group by 1, 2) join n{name} using (query_id) join tn using (technique_id))"""
 
     both = f"with {merged_}, {cat}, {vocab}, {view('t', 'raw_text')}, {view('s', 'structure')}"
-    fu = both + ", f as (select query_id, technique_id, round_even(0.6::double * coalesce(a.score, 0) + 0.4::double * coalesce(b.score, 0), 6) score_fused, coalesce(a.score, 0) score_text, coalesce(b.score, 0) score_structure from st a full join ss b using (query_id, technique_id))"
+    every = "(select query_id from m) cross join (select technique_id from it)"
+    fu = both + f", f as (select query_id, technique_id, round_even(0.6::double * coalesce(a.score, 0) + 0.4::double * coalesce(b.score, 0), 6) score_fused, coalesce(a.score, 0) score_text, coalesce(b.score, 0) score_structure from {every} left join st a using (query_id, technique_id) left join ss b using (query_id, technique_id))"
     go = f"gold as (select distinct {S.base('input_id')} input_id, upper(trim(l)) technique_id from (select input_id, unnest(labels) l from records) where {S.base('input_id')} is not null and upper(trim(l)) in (select technique_id from techniques))"
-    vals = {"edge": "mean_edge_score", "llm": "llm_score", "path": "-path_cost", "text": "score_text"}
-    real = "case when not isnan({0}) and abs({0}) < 1e6 and abs({0}) <> 999 and {0} <> -1 then {0} end"
     ra = "rk as (select *, row_number() over (partition by method, run, input_id order by score desc nulls last, technique_id) rank from (" + " union all ".join(
-        f"select '{m}' as method, {k} as run, {S.base('input_id')} input_id, technique_id, {agg}({real.format('(' + v + ')')}) score from rerank group by 3, 4" for m, v in vals.items() for k, agg in ((1, "max"), (2, "min"))
+        f"select '{m}' as method, {k} as run, {S.base('input_id')} input_id, technique_id, {agg}({v}) score from rerank group by 3, 4" for m, v in valid_sql().items() for k, agg in ((1, "max"), (2, "min"))
     ) + "))"
 
     def met(src: str = "rk") -> str:
@@ -223,9 +226,10 @@ def oracle_sql() -> dict[str, str]:
         nc as (select input_id, count(*) n from t1 group by 1), fh as (select input_id, min(rank) first_hit from t1 join gold using (input_id, technique_id) group by 1),
         cs as (select input_id, k, first_hit, case when ai = 0 then 'gold_not_indexed' when n is null then 'no_candidates' when first_hit is null then 'absent' when first_hit <= k then 'covered' else 'beyond_k' end status
             from pe left join nc using (input_id) left join fh using (input_id) cross join (select unnest([1, 3, 5]) k))"""
+    doubles = lambda v: "[" + ", ".join(f"{x}::double" for x in v) + "]"
     grid = fu + f""", {go}, g0 as (select cast(alpha as varchar) method, query_id input_id, technique_id, row_number() over (partition by alpha, query_id order by round_even(alpha * score_text + (1 - alpha) * score_structure, 6) desc, score_text desc, score_structure desc, technique_id) rank
-            from f cross join (select unnest([0.0::double, 0.3::double, 0.6::double, 1.0::double]) alpha)),
-        g1 as (select method, run, input_id, technique_id, rank from g0 cross join (select unnest([5, 10]) run) where rank <= run),
+            from f cross join (select unnest({doubles(ALPHAS)}) alpha)),
+        g1 as (select method, run, input_id, technique_id, rank from g0 cross join (select unnest({list(LENGTHS)}) run) where rank <= run),
         ng as (select input_id, count(*) n_gold from gold group by 1),
         re as (select k.*, n_gold, cast(g.technique_id is not null as int) rel from g1 k join ng using (input_id) left join gold g on g.input_id = k.input_id and g.technique_id = k.technique_id),
         rs as (select *, sum(rel) over (partition by method, run, input_id order by rank) seen from re),
@@ -234,22 +238,22 @@ def oracle_sql() -> dict[str, str]:
     beta = f"""with {go}, {ra}, b0 as (select run, input_id, technique_id, max(coalesce(score, 0)) filter (where method = 'text') t, max(coalesce(score, 0)) filter (where method = 'llm') l from rk where method in ('text', 'llm') group by 1, 2, 3),
         b1 as (select run, input_id, technique_id, {', '.join(f"round(case when abs(max({x}) over w - min({x}) over w) <= 1e-15 then 0 else ({x} - min({x}) over w) / (max({x}) over w - min({x}) over w) end, 9) {x}" for x in 'tl')} from b0 window w as (partition by run, input_id)),
         b2 as (select cast(beta as varchar) method, run, input_id, technique_id, row_number() over (partition by beta, run, input_id order by round(beta * t + (1 - beta) * l, 7) desc, l desc, t desc, technique_id) rank
-            from b1 cross join (select unnest([0.0::double, 0.25::double, 0.5::double, 0.75::double, 1.0::double]) beta)), {met('b2')},
+            from b1 cross join (select unnest({doubles(BETAS)}) beta)), {met('b2')},
         bp as (select method, run, avg(hit_1) h, avg(mrr) m from pm group by 1, 2),
         bt as (select method, round(avg(h), 6) hit_1, round(avg(m), 6) mrr, round(coalesce(stddev_samp(h), 0), 6) sd_runs from bp group by 1)"""
     fill = f"""with {merged_}, {cat}, {vocab}, {view('t', 'raw_text')},
         a0 as (select query_id, technique_id, coalesce(score, 0) score from (select query_id from m) cross join (select technique_id from it) left join st using (query_id, technique_id)),
         a1 as (select *, row_number() over (partition by query_id order by score desc, technique_id) rank from a0)"""
-    made = {
+    return {
         "token_stats": f"select doc_id, cast(len({tok.format('text')}) as int) as n_tokens, cast(len(list_distinct({tok.format('text')})) as int) as n_distinct from documents",
         "idf_table": f"with {cat}, {vocab} select token, df, round(idf, 6) as idf from vo",
         "tf_weights": f"with {cat}, {vocab} select technique_id, token, round(w, 6) as w from tw",
-        "retrieve_topn": fill + " select query_id, technique_id, score, cast(rank as int) as rank from a1 where rank <= 5",
-        "retrieve_fused": fu + " select query_id, technique_id, score_fused, score_text, score_structure, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score_fused desc, score_text desc, score_structure desc, technique_id) rank from f) where rank <= 5",
+        "retrieve_topn": fill + " select query_id, technique_id, score, cast(rank as int) as rank from a1 where rank <= 20",
+        "retrieve_fused": fu + " select query_id, technique_id, score_fused, score_text, score_structure, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score_fused desc, score_text desc, score_structure desc, technique_id) rank from f) where rank <= 20",
         "parent_collapse": fu + """, pc as (select *, split_part(technique_id, '.', 1) p, row_number() over (partition by query_id, split_part(technique_id, '.', 1) order by score_fused desc, score_text desc, score_structure desc, technique_id) n from f)
             select query_id, p as technique_id, max(score_fused) filter (where n = 1) as score_fused, max(score_text) filter (where n = 1) as score_text, max(score_structure) filter (where n = 1) as score_structure,
             max(technique_id) filter (where n = 1) as representative_technique_id, list_sort(list(distinct technique_id)) as source_technique_ids from pc group by 1, 2""",
-        "score_minmax": f"with {merged_}, {cat}, {vocab}, {view('t', 'raw_text')} select query_id, technique_id, score, round(case when abs(max(score) over w - min(score) over w) <= 1e-15 then 0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end, 6) as scaled from st window w as (partition by query_id)",
+        "score_minmax": fill + " select query_id, technique_id, score, round(case when abs(max(score) over w - min(score) over w) <= 1e-15 then 0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end, 6) as scaled from a0 window w as (partition by query_id)",
         "alpha_topn_sweep": grid + " select * from sw",
         "sweep_winner": grid + " select * from sw where coverage >= (select max(coverage) from sw) - 0.005 - 1e-12 order by run, coverage desc, mrr desc, macro_recall desc, abs(cast(method as double) - 0.5), cast(method as double) limit 1",
         "rank_metrics": mm + " select method, run, input_id, n_gold, round(mrr, 6) as mrr, first_hit, " + ", ".join(f"hits_{k}, round(hit_{k}, 6) as hit_{k}, round(precision_{k}, 6) as precision_{k}, round(recall_{k}, 6) as recall_{k}, round(ap_{k}, 6) as ap_{k}" for k in (1, 3, 5)) + " from pm",
@@ -275,14 +279,3 @@ def oracle_sql() -> dict[str, str]:
         "technique_parents": f"with {go} select distinct g.technique_id, coalesce(parent_technique_id, case when exists (select 1 from techniques p where p.technique_id = split_part(g.technique_id, '.', 1) and not coalesce(p.revoked, false) and not coalesce(p.deprecated, false)) then split_part(g.technique_id, '.', 1) end, g.technique_id) as parent_id from gold g join techniques t on t.technique_id = g.technique_id",
         "label_frequency": f"with {go} select technique_id, count(*) as support from gold group by 1",
     }
-    # every record with every technique, and the whole grids; the texts above stay as they are
-    every = "(select query_id from m) cross join (select technique_id from it)"
-    dense = {"from st a full join ss b using": f"from {every} left join st a using (query_id, technique_id) left join ss b using", "from st window": f"from (select query_id, technique_id, coalesce(score, 0) score from {every} left join st using (query_id, technique_id)) window"}
-    doubles = lambda v: "[" + ", ".join(f"{x}::double" for x in v) + "]"
-    dense |= {doubles(ALPHAS): doubles(WHOLE_ALPHAS), "[5, 10]": str(list(WHOLE_LENGTHS)), doubles((0.0, 0.25, 0.5, 0.75, 1.0)): doubles(WHOLE_BETAS)}
-    for name in ("beta_sweep", "beta_winner", "retrieve_fused", "parent_collapse", "score_minmax", "alpha_topn_sweep", "sweep_winner"):
-        text = made[name]
-        for old, new in dense.items():
-            text = text.replace(old, new)
-        made[f"{name}_whole"] = text
-    return made

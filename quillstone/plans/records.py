@@ -107,7 +107,7 @@ def queries() -> dict:
     def iterative(s, d):
         m = dataset.merge_sources(based(s, d, "records")).select("base", "labels").orderBy("base").collect()  # one labelled evaluation set
         small = dataset.stratified_split([(r.base, list(r.labels)) for r in m], max(1, len(m) // 5), 20260805)
-        return s.createDataFrame([(r.base, "development" if r.base in small else "test") for r in m], "base string, split string")
+        return s.createDataFrame([(r.base, list(r.labels), "development" if r.base in small else "test") for r in m], "base string, labels array<string>, split string")
 
     def subset_labels(s, d):
         return audit.label_subsets(gold(s, d), final_decisions(s, d))
@@ -136,7 +136,9 @@ def queries() -> dict:
         "label_resolution": lambda s, d: dataset.resolve_labels(table(s, d, "records").select(F.explode("labels").alias("label")).unionByName(table(s, d, "techniques").select(F.lower("name").alias("label"))), table(s, d, "techniques")),
         "onehot_to_long": lambda s, d: dataset.onehot_to_long(table(s, d, "techniques").select("technique_id", F.col("is_subtechnique").cast("int").alias("sub"), F.col("revoked").cast("int").alias("revoked"), F.col("deprecated").cast("int").alias("deprecated")), "technique_id", ["sub", "revoked", "deprecated"]),
         "source_counts": lambda s, d: dataset.merge_sources(based(s, d, "records")).select(F.explode("source_membership").alias("source_name")).groupBy("source_name").agg(F.count("*").alias("n")),
-        "iterative_split": iterative,
+        "iterative_split": lambda s, d: iterative(s, d).select("base", "split"),
+        "split_balance": lambda s, d: dataset.label_balance(iterative(s, d), 0.2, "development"),
+        "split_union": lambda s, d: dataset.not_partitioned(based(s, d, "records"), [based(s, d, "records").where(F.col("source_position") % 3 == k).select("base").distinct() for k in (0, 1)], "base"),
         "segment_documents": units,
         "segment_clauses": lambda s, d: units(s, d, aggressive=True),
         "evidence_spans": lambda s, d: segment.spans(units(s, d), "input_id"),
@@ -187,10 +189,11 @@ def oracle_sql() -> dict[str, str]:
     nd = """nd as (select l_orderkey input_id, 'N' || row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) node_id,
         (['Precondition', 'Entry', 'VulnType', 'Behavior', 'Impact'])[l_linenumber % 5 + 1] as type, 'flag ' || l_returnflag || ' ' || l_linestatus || ' part' || (l_partkey % 7) as text,
         list_sort(list_distinct(['E' || (l_suppkey % 12 + 1), 'E' || (l_partkey % 12 + 1)])) ev, round(l_discount * 10, 6) conf from lineitem)"""
-    ranked = f"rk as (select input_id, technique_id, row_number() over (partition by input_id order by score desc nulls last, technique_id) rank from (select {S.base('input_id')} input_id, technique_id, max(case when not isnan(score_text) and abs(score_text) < 1e6 and abs(score_text) <> 999 and score_text <> -1 then score_text end) score from rerank group by 1, 2))"
-    vals = {"edge": "mean_edge_score", "llm": "llm_score", "path": "-path_cost", "text": "score_text"}
+    from .ranking import valid_sql
+
+    ranked = f"rk as (select input_id, technique_id, row_number() over (partition by input_id order by score desc nulls last, technique_id) rank from (select {S.base('input_id')} input_id, technique_id, max({valid_sql()['text']}) score from rerank group by 1, 2))"
     ranks = "rk2 as (select *, row_number() over (partition by method, run, input_id order by score desc nulls last, technique_id) rank from (" + " union all ".join(
-        f"select '{m}' as method, {k} as run, {S.base('input_id')} input_id, technique_id, {agg}(case when not isnan({v}) and abs({v}) < 1e6 and abs({v}) <> 999 and ({v}) <> -1 then {v} end) score from rerank group by 3, 4" for m, v in vals.items() for k, agg in ((1, "max"), (2, "min"))
+        f"select '{m}' as method, {k} as run, {S.base('input_id')} input_id, technique_id, {agg}({v}) score from rerank group by 3, 4" for m, v in valid_sql().items() for k, agg in ((1, "max"), (2, "min"))
     ) + "))"
     toks = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1))"
     jac = "coalesce(len(list_intersect({0}, {1}))::double / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
@@ -237,6 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "split_targets": f"with {go} select technique_id, count(*) as support, case when count(*) >= 2 then cast(greatest(1, least(count(*) - 1, round_even(count(*)::double / 5, 0))) as int) else 0 end as target from gold group by 1",
         "split_overlap": f"with {srw} select distinct base from sq where lower(trim(split)) in ('train', 'training') and base in (select base from sq where lower(trim(split)) = 'test')",
         "id_alignment": f"with {rec}, rr as (select distinct {S.base('input_id')} base from rerank) select distinct base, 'left' as side from rc where base not in (select base from rr) union all select base, 'right' from rr where base not in (select base from rc)",
+        "split_union": f"with {rec}, h as (select base, count(distinct source_position % 3) filter (where source_position % 3 < 2) n from rc group by 1) select base, case when n = 0 then 'in no part' else 'in several parts' end as problem from h where n <> 1",
         "duplicate_keys": f"with {rec} select base, source_name, count(*) as n from rc group by 1, 2 having count(*) > 1",
         "remaining_ids": f"with {srw}, {rec} select row_id, base from sq where base not in (select base from rc)",
         "onehot_to_long": "select technique_id, 'sub' as label from techniques where is_subtechnique union all select technique_id, 'revoked' from techniques where revoked union all select technique_id, 'deprecated' from techniques where deprecated",
