@@ -39,7 +39,7 @@ from ..session import materialise
 
 CELLS = 1 << 20
 #: Words whose cell holds more occurrences than this are hashed with their neighbour. Where it lies decides the work, not the result.
-FREQUENT = 192
+FREQUENT = 1 << 14
 BLOCK = 1 << 12
 #: Full-width forms U+FF01 to U+FF5E and the ideographic blank, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
