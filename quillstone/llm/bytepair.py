@@ -3,11 +3,13 @@
 Method: length-bucketed padded numpy matrices. The distinct pieces of an Arrow batch become rows of byte ids, padded
 to the bucket's width; every round looks all adjacent pairs up in an open-addressing hash table, merges the leftmost
 pair of least rank in each row and compacts the rows. Rows that have no pair left leave the matrix. Pieces above
-``LONG`` bytes merge all non-overlapping occurrences of their least pair a round, which gives the same ids, since a
-pair made by a merge always ranks after it; so a very long piece costs rounds by distinct pairs, not by length.
+``LONG`` bytes merge all non-overlapping occurrences of their least pair a round, so a very long piece costs rounds by
+distinct pairs, not by length. That gives the same ids if a pair with a merged token always ranks after the merge that makes the token, which is
+checked when a vocabulary is read; for one without this property all pieces go the first way.
 
 Defined cases: null and empty texts give an empty list; names of special tokens are plain text; a text of any length is
-encoded whole; a column that already has the result's name is replaced. The vocabulary is read from a path by every Python worker once.
+encoded whole; a column that already has the result's name is replaced. The vocabulary's path is a path of
+the driver; its content (a few MB, whatever the corpus) goes to the workers as a broadcast value.
 """
 
 from __future__ import annotations
@@ -82,12 +84,17 @@ class PairTable:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, content: bytes):
+        spec = json.loads(content)["model"]
         vocab = spec["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
-        self.table = PairTable(left, right, np.array([vocab[a + b] for a, b in pairs], np.int32))
+        merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.table = PairTable(left, right, merged)
+        made = np.full(max(vocab.values()) + 1, -1, np.int64)  # the merge that makes a token
+        made[merged] = np.arange(len(merged))
+        rank = np.arange(len(pairs))
+        self.ordered = len(np.unique(merged)) == len(merged) and bool(((made[left] < rank) & (made[right] < rank)).all())
         letters = _byte_letters()
         self.byte_id = np.zeros(256, np.int32)
         for ch, b in letters.items():
@@ -155,7 +162,7 @@ class Encoder:
         width = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(length, 1))).astype(int))
         for w in np.unique(width):
             where = np.flatnonzero(width == w)
-            if w > LONG:
+            if w > LONG and self.ordered:
                 for i in where:
                     self.known[pieces[i]] = self.merge_long(self.byte_id[np.frombuffer(raw[i], np.uint8)].copy())
                 continue
@@ -187,8 +194,14 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(content: bytes) -> Encoder:
+    return Encoder(content)
+
+
+def _shared(df: DataFrame, path: str | None):
+    """The content of a vocabulary file as a broadcast value."""
+    with open(path or default_vocabulary(), "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def _slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -206,11 +219,11 @@ def _slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Itera
 
 def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with an array<int> column of token ids in place of ``text``; all other columns stay as they are."""
-    where = path or default_vocabulary()
+    vocabulary = _shared(df, path)
     kept = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(vocabulary.value)
         for whole in batches:
             for b in _slices(whole, text):
                 flat, ends = enc.encode(b.column(text).to_pylist())
@@ -223,11 +236,11 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str
 
 def count_tokens(df: DataFrame, text: str = "text", n: str = "n_tokens", path: str | None = None) -> DataFrame:
     """``df`` with a bigint column of token counts in place of ``text``; the ids stay in the worker."""
-    where = path or default_vocabulary()
+    vocabulary = _shared(df, path)
     kept = [c for c in df.columns if c not in (text, n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(vocabulary.value)
         for whole in batches:
             for b in _slices(whole, text):
                 _, ends = enc.encode(b.column(text).to_pylist())

@@ -15,7 +15,7 @@ def queries():
         "p2_found": lambda s, d: rankfusion.unanimous_winners(t(s, d, "rerank")),
         "p2_ranking": lambda s, d: rankfusion.fused_ranking(rankfusion.latest_candidates(t(s, d, "rerank"))).select("input_id", "technique_id", F.round("stationary", 9).alias("stationary"), "fused_rank"),
         "p3_found": lambda s, d: sentences.segment(t(s, d, "sentences")).select("input_id", "sent_start", "sent_end"),
-        "p3_units": lambda s, d: sentences.segment(t(s, d, "sentences")),
+        "p3_units": lambda s, d: sentences.units(t(s, d, "sentences")),
         "p4_found": lambda s, d: annotators.clear_majorities(t(s, d, "audit_reviews")),
         "p4_consensus": lambda s, d: annotators.consensus(t(s, d, "audit_reviews")).where("is_consensus").select("sample_id", "decision", "votes", "n_votes", F.round("posterior", 6).alias("posterior")),
         "p4_reliability": lambda s, d: annotators.reliability(t(s, d, "audit_reviews")),

@@ -62,13 +62,21 @@ THAI = (
 THAI_OPENS = set(
     "โปรด กรุณา คะแนน บันทึก ฟังก์ชัน ผู้โจมตี ผู้ใช้ ผู้ดูแล ผู้ผลิต พบ ตรวจพบ พบว่า หาก ถ้า เมื่อ หลังจาก ขณะ ดังนั้น อย่างไรก็ตาม นอกจากนี้ เนื่องจาก "
     "สำหรับ การ ความ ระบบ บริษัท ช่องโหว่ ปัญหา รุ่น ไฟล์ เขา เรา ท่าน รายงาน ปิด เปิด ติดตั้ง อัปเดต เครื่อง แนวทาง ผลกระทบ".split()
-)
+)
+#: Words of everyday Thai that open a sentence: who (pronouns, relatives, persons), when, and how it follows from the last one.
+THAI_OPENS |= set(
+    "ฉัน ดิฉัน ผม กระผม ข้าพเจ้า คุณ เธอ มัน พวกเขา พวกเรา หล่อน ใคร ทุกคน บางคน หลายคน พ่อ แม่ พี่ น้อง ลูก ปู่ ย่า ตา ยาย ลุง ป้า น้า อา เพื่อน ครู หมอ เด็ก คน แมว หมา "
+    "วันนี้ พรุ่งนี้ เมื่อวาน เมื่อวานนี้ เมื่อคืน คืนนี้ ตอนนี้ ตอนแรก ขณะนี้ ปัจจุบัน ต่อมา ต่อจากนั้น จากนั้น หลังจากนั้น ก่อนหน้านี้ ในที่สุด ปีนี้ ปีที่แล้ว เดือนนี้ สัปดาห์นี้ เช้านี้ เย็นนี้ วันหนึ่ง "
+    "เพราะฉะนั้น เพราะเหตุนี้ ด้วยเหตุนี้ แต่ทว่า ถึงแม้ แม้ว่า ทั้งนี้ อนึ่ง ประการแรก ตัวอย่างเช่น กล่าวคือ สรุปแล้ว แน่นอน บางที อาจจะ ทำไม อะไร ที่ไหน เมื่อไร อย่างไร ห้าม อย่า ขอ เชิญ".split()
+)
 #: Particles that close a sentence whatever follows, but a word that carries it on.
 THAI_CLOSES = set("ครับ ครับผม คับ ค่ะ คะ นะ นะคะ นะครับ จ้ะ จ๊ะ จ้า ไหม มั้ย หรือไม่ หรือเปล่า เถอะ เถิด สิ ซิ ล่ะ".split())
 LAO_CLOSES = set("ເດີ ແດ່ ບໍ ບໍ່ ເນາະ ນໍ ຫວາ".split())
 #: Words after a closing particle that carry the sentence on all the same.
 STILL_GOES_ON = set("ก็ จึง ด้วย แล้ว ກໍ ຈຶ່ງ ດ້ວຍ ແລ້ວ".split())
 LAO_OPENS = set("ກະລຸນາ ຖ້າ ຫາກ ເມື່ອ ຫຼັງຈາກ ດັ່ງນັ້ນ ແນວໃດກໍຕາມ ນອກຈາກນີ້ ເນື່ອງຈາກ ສໍາລັບ ສຳລັບ ລະບົບ ຜູ້ໃຊ້ ຜູ້ໂຈມຕີ ຜູ້ດູແລ ບໍລິສັດ ບັນຫາ ການ ຄວາມ ພົບ ເຮົາ ພວກເຮົາ ເຂົາ ລາຍງານ ໄຟລ໌ ຊ່ອງໂຫວ່".split())
+#: Words of everyday Lao that open a sentence.
+LAO_OPENS |= set("ຂ້ອຍ ຂ້າພະເຈົ້າ ເຈົ້າ ລາວ ມັນ ພວກເຂົາ ທ່ານ ໃຜ ທຸກຄົນ ພໍ່ ແມ່ ອ້າຍ ເອື້ອຍ ນ້ອງ ລູກ ປູ່ ຍ່າ ລຸງ ປ້າ ໝູ່ ຄູ ທ່ານໝໍ ເດັກນ້ອຍ ຄົນ ແມວ ໝາ ມື້ນີ້ ມື້ອື່ນ ມື້ວານ ມື້ວານນີ້ ຄືນນີ້ ຕອນນີ້ ປັດຈຸບັນ ຕໍ່ມາ ຈາກນັ້ນ ຫຼັງຈາກນັ້ນ ໃນທີ່ສຸດ ປີນີ້ ເດືອນນີ້ ອາທິດນີ້ ເພາະສະນັ້ນ ເຖິງແມ່ນວ່າ ເປັນຫຍັງ ຫ້າມ ຢ່າ ຂໍ ເຊີນ".split())
 LAO_GOES_ON = set("ຄື ໃນ ຂອງ ທີ່ ຊຶ່ງ ແລະ ຫຼື ແຕ່ ກັບ ຈາກ ຍັງ ໄປ ເພື່ອ ໂດຍ ກ່ອນ ວ່າ ເປັນ ໃຫ້ ຈະ ຕ້ອງ ຄວນ ຖືກ ຕາມ ແບບ ເຊັ່ນ ສໍາລັບ ສຳລັບ ການ ຄວາມ ທຸກ ບາງ ຫຼາຍ".split())
 LAO = "ສົ່ງ ຂໍ້ມູນ ບໍລິການ ອ່ານ ໄດ້ ແກ້ໄຂ ມີ ນີ້ ນັ້ນ ຢູ່ ມາ ຂຶ້ນ ລົງ ໄວ້ ກວດສອບ ປັບປຸງ ຕິດຕັ້ງ ເປີດ ປິດ ໃຊ້ ງານ ທັນທີ ລຸ້ນ ເຄື່ອງ ເຄືອຂ່າຍ ລະຫັດຜ່ານ ຄຳສັ່ງ ຂອບໃຈ".split()
 THAI_GOES_ON = set("คือ ใน ของ ที่ ซึ่ง และ หรือ แต่ กับ จาก ยัง ไป เพื่อ โดย ก่อน ว่า เป็น ให้ จะ ต้อง ควร ไม่ ถูก ตาม แบบ เช่น ระบุ พอร์ต รหัส ฟังก์ชัน ปรับปรุง สำหรับ การ ความ เวอร์ชัน รุ่น ทุก บาง หลาย".split())
@@ -110,6 +118,8 @@ HAN = re.compile(r"[㐀-鿿豈-﫿]")
 SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 SPACELESS_RUN = re.compile(f"(?:{SPACELESS.pattern})+")
 TOKEN = re.compile(r"[^\s]+")
+BARE = re.compile(r"[^\s.,!?;:।؟،]+")
+INITIAL = re.compile(r"\w\.(?!\w)")
 
 
 def _pairs(t: str, b: int, e: int) -> list[tuple[int, int]]:
@@ -142,7 +152,11 @@ def _pairs(t: str, b: int, e: int) -> list[tuple[int, int]]:
             elif not after.isalnum() and held_of["'"] + held_of["‘"]:
                 close("'‘", i)
         elif ch == '"':
-            close('"', i) if held_of['"'] else push('"', i)
+            before, after = t[i - 1] if i > b else " ", t[i + 1] if i + 1 < e else " "
+            if held_of['"'] and not ((before.isspace() or before in PAIRS) and not after.isspace()):
+                close('"', i)
+            elif not (before.isdigit() and not after.isalnum()):  # else it stands for inches
+                push('"', i)  # one that was open has no partner
         elif ch in OPENED_BY and any(held_of[o] for o in OPENED_BY[ch]):
             close(OPENED_BY[ch], i)
         elif ch in PAIRS or ch == "‘":
@@ -161,13 +175,15 @@ def _abbreviation(t: str, b: int, dot: int) -> str:
     while i > b and (t[i - 1].isalpha() or (t[i - 1] == "." and i - 1 > b and t[i - 2].isalpha())):
         i -= 1
     word = t[i:dot]
-    for _ in range(4):  # single letters before: "т. е", "до н. э", "p. ej"
-        m = re.search(r"(?:^|[\s(\[«\"„“,])(\w)\.[\s\xa0]+$", t[max(b, i - 6) : i])
-        if not m or not m[1].isalpha():
-            break
-        i = max(b, i - 6) + m.start(1)
-        word = m[1] + "." + word
-    return word
+    while True:  # single letters before: "т. е", "до н. э", "p. ej"
+        j = i
+        while j > b and t[j - 1].isspace():
+            j -= 1
+        single = j < i and j - b >= 2 and t[j - 1] == "." and t[j - 2].isalpha()
+        if not single or (j - b > 2 and not (t[j - 3].isspace() or t[j - 3] in '([«"„“,')):
+            return word
+        i = j - 2
+        word = t[i] + "." + word
 
 
 def _opens(t: str, k: int, e: int, soft: bool) -> bool:
@@ -218,7 +234,7 @@ def _ends(t: str, b: int, e: int, i: int, j: int, g: int, quoted: bool) -> bool:
     if not _opens(t, k, e, soft):
         return False
     if closed and quoted and ch.isalpha() and not ch.isupper() and not ch.islower():
-        word = re.match(r"[^\s.,!?;:।؟،]+", t[k:e])
+        word = BARE.match(t, k, e)
         if word and (word[0] in CASELESS_GOES_ON):
             return False
     if run == "." and not closed:
@@ -236,14 +252,16 @@ def _plain_stop(t: str, b: int, i: int, ch: str, e: int, k: int) -> bool:
         return False
     if low in SOMETIMES or re.fullmatch(r"(?:\w\.)+\w", low):
         return ch.isupper() or (ch.isalpha() and not ch.islower()) or ch in '("«„“[¿¡'
-    if len(word) == 1 and word.isalpha() and (word.isupper() or re.match(r"\w\.(?!\w)", t[k:e])):
+    if len(word) == 1 and word.isalpha() and (word.isupper() or INITIAL.match(t, k, e)):
         return False  # an initial, or the first part of an abbreviation such as "z. B."
-    number = re.search(r"(?:^|\s)(\d{1,2})$", t[max(b, i - 4) : i])
-    if number:
-        nxt = re.match(r"\w+", t[k:e])
+    d = i
+    while d > b and t[d - 1].isdigit():
+        d -= 1
+    if 1 <= i - d <= 2 and (d == b or t[d - 1].isspace()):
+        nxt = re.compile(r"\w+").match(t, k, e)
         if nxt and nxt[0].lower() in ORDINAL_NOUNS:
             return False
-        if i - b < 8 and t[b:i].strip() == number[1]:  # the number of a list item
+        if not t[b:d].strip():  # the number of a list item
             return False
     return True
 

@@ -4,14 +4,14 @@ Two operators.
 
 ``unit_dedup`` is the method named for the problem: lines or paragraphs are hashed, digests are grouped globally, the
 earliest ranked occurrence is kept and the rest is removed, with original offsets. It cannot find a run that starts or
-ends inside a unit, which the problem asks for, so the required result comes from ``shared_runs``:
+ends inside a unit, which the problem asks for, so the required result comes from ``sharing_pairs`` and ``spans``:
 
-``shared_runs`` takes the same steps with units that no edit elsewhere can shift. Units are the windows of ``GRAM`` code
+These take the same steps with units that no edit elsewhere can shift. Units are the windows of ``GRAM`` code
 points whose hash is the least of ``WINDOW`` neighbouring ones (winnowing); with ``GRAM + WINDOW - 1 = 200`` every run of
 200 code points contains a unit that is chosen in every text that has the run. Digests held by one text only are dropped,
 and the rest are grouped globally with up to 100 code points on either side; a pair of occurrences counts only where
 these are equal, character by character, over at least 200 code points. Exact copies of whole texts are one class,
-compared once, whose pairs are made at the end.
+compared once, whose pairs are made at the end. ``spans`` needs no pairs: see ``extents``.
 
 Defined cases: null and empty texts share nothing; texts are compared as stored, without any normalisation; a run that
 is repeated within one text is not shared with itself; the length is counted in code points.
@@ -194,21 +194,60 @@ def sharing_pairs(documents: DataFrame) -> DataFrame:
     return both.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b"))
 
 
-def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, spans): the merged spans (s, e) of every class of texts that stand in another document too."""
+#: Up to this many different surroundings of a unit are compared with each other; more of them by all their runs. Both ways are exact.
+COMPARED = 128
+
+
+def extents(occ: DataFrame, compared: int = COMPARED) -> DataFrame:
+    """(digest, cid, left, right): how far from a unit the runs reach that stand in another class too, per different surroundings ``cid`` of it.
+
+    Classes with equal surroundings are one row, whatever their number. Surroundings of one class only are compared with the unit's other
+    surroundings, or, where there are many, each of their at most 101 runs of ``RUN`` code points is hashed and grouped, so the work for a unit
+    grows in proportion to its surroundings.
+    """
+    ctx = occ.groupBy("digest", "cid").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), *[F.first(c).alias(c) for c in ("before", "unit", "after")])
+    per = ctx.groupBy("digest").agg(F.count("*").alias("k"))
+    ctx = materialise(ctx.join(per, "digest"), "surroundings")
+    both = ctx.where("lo <> hi").select("digest", "cid", F.length("before").alias("left"), F.length("after").alias("right"))
+    few = ctx.where(F.col("k").between(2, compared))
+    side = lambda s: few.select("digest", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "lo", "hi", "before", "unit", "after")])
+    # one side has surroundings of its own; the other side is in another class
+    j = side("a").where("lo_a = hi_a").join(side("b"), "digest").where("cid_a <> cid_b and unit_a = unit_b and (lo_b <> lo_a or hi_b <> lo_a)")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = np.fromiter((_equal_tail(x, y) for x, y in zip(b.column("before_a").to_pylist(), b.column("before_b").to_pylist())), np.int32, b.num_rows)
+            right = np.fromiter((_equal_head(x, y) for x, y in zip(b.column("after_a").to_pylist(), b.column("after_b").to_pylist())), np.int32, b.num_rows)
+            at = np.flatnonzero(left + GRAM + right >= RUN)
+            i = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(i), b.column("cid").take(i), pa.array(left[at]), pa.array(right[at])], names=["digest", "cid", "left", "right"])
+
+    near = j.select("digest", F.col("cid_a").alias("cid"), "before_a", "before_b", "after_a", "after_b").mapInArrow(check, "digest long, cid string, left int, right int")
+    text = F.concat("before", "unit", "after")
+    # runs with n code points before the unit, where that many stand before and the rest after it
+    n = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(REACH) - F.length("after")), F.length("before"))).alias("n")
+    possible = F.length("before") + F.length("after") >= REACH
+    many = ctx.where((F.col("k") > compared) & possible).select("digest", "cid", "lo", "hi", text.alias("text"), F.length("before").alias("size"), n)
+    runs = many.select("digest", "cid", "lo", "hi", "n", F.md5(F.substr("text", F.col("size") - F.col("n") + 1, F.lit(RUN))).alias("run"))
+    shared = runs.groupBy("digest", "run").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("digest", "run")
+    found = runs.where("lo = hi").join(shared, ["digest", "run"], "left_semi").groupBy("digest", "cid").agg(F.max("n").alias("left"), (F.lit(REACH) - F.min("n")).alias("right"))
+    every = both.unionByName(near).unionByName(found)
+    return every.groupBy("digest", "cid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+
+
+def spans(documents: DataFrame, compared: int = COMPARED) -> tuple[DataFrame, DataFrame]:
+    """(members, spans): the merged spans (s, e) of every class of texts that stand in another document too. No pairs of documents are made."""
     members, classes = _classes(documents)
-    occ = occurrences(classes)
-    m = materialise(matches(occ), "matches")
-    side = lambda s: m.select("digest", F.col(f"cls_{s}").alias("cls"), F.col(f"rep_{s}").alias("rep"), "head", "tail")
-    reach = side("a").unionByName(side("b")).groupBy("digest", "cls", "rep", "head").agg(F.max("tail").alias("tail"))
-    surroundings = Window.partitionBy("digest", "cls", "before", "after")
-    placed = occ.select("digest", "cls", "pos", "more", F.min("pos").over(surroundings).alias("rep"))
-    each = placed.join(reach, ["digest", "cls", "rep"]).select("cls", (F.col("pos") - F.col("head")).alias("s"), (F.col("pos") + F.col("more") + GRAM + F.col("tail")).alias("e"))
+    cid = F.md5(F.concat_ws(":", F.length("before"), F.concat("before", "unit", "after")))
+    occ = materialise(occurrences(classes).withColumn("cid", cid), "placed")
+    each = occ.select("digest", "cid", "cls", "pos", "more").join(extents(occ, compared), ["digest", "cid"])
+    each = each.select("cls", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("more") + GRAM + F.col("right")).alias("e"))
     n = members.groupBy("cls").agg(F.count("*").alias("n"))
     whole = n.where("n > 1").join(classes, "cls").select("cls", F.lit(0).cast("long").alias("s"), F.length("text").cast("long").alias("e"))
     each = each.unionByName(whole).groupBy("cls", "s").agg(F.max("e").alias("e"))
-    w = Window.partitionBy("cls").orderBy("s")
-    each = each.withColumn("new", (F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("s")).cast("int")).withColumn("span", F.sum("new").over(w))
+    w = Window.partitionBy("cls").orderBy("s")  # the spans of one text
+    gap = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("s")
+    each = each.withColumn("new", gap.cast("int")).withColumn("span", F.sum("new").over(w))
     return members, each.groupBy("cls", "span").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
@@ -218,9 +257,9 @@ def shared_spans(documents: DataFrame) -> DataFrame:
     return members.join(found, "cls").select("doc_id", F.col("s").alias("span_start"), F.col("e").alias("span_end"))
 
 
-def shared_amount(documents: DataFrame) -> DataFrame:
+def shared_amount(documents: DataFrame, compared: int = COMPARED) -> DataFrame:
     """Per document: its code points, how many of them stand elsewhere too, in how many merged spans, and the longest of these."""
-    members, found = spans(documents)
+    members, found = spans(documents, compared)
     size = F.col("e") - F.col("s")
     per = found.groupBy("cls").agg(F.sum(size).alias("shared_chars"), F.count("*").alias("n_spans"), F.max(size).alias("longest_span"))
     got = members.join(per, "cls").select("doc_id", "shared_chars", "n_spans", "longest_span")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import annotators, rankfusion, splits, survivorship
 
@@ -42,6 +43,10 @@ def test_survivorship(spark):
     one = m["CVE_2020_1"]
     assert (one.raw_text, one.raw_text_from, one.labels, one.labels_from, one.severity, one.affected) == ("text", "b", ["T1"], "a", "high", ["x"])
     assert m["CVE_2020_5"].raw_text is None and m["CVE_2020_5"].raw_text_from is None and m["CVE_2020_4"].raw_text_source == "nowhere"
+    assert json.loads(one.provenance) == {"severity": "high", "affected": '["x"]', "updated_at": "2087-01-01T00:00:00Z"} and set(one.provenance_from.values()) == {"a"}
+    assert m["CVE_2020_4"].provenance is None and one.sentences is None
+    told = df.withColumn("sentences", F.create_map(F.lit("E1"), F.col("raw_text")))
+    assert {r.base_input_id: r.sentences for r in survivorship.merged_records(told, specs(spark)).collect()}["CVE_2020_1"] == {"E1": "text"}
     got = {tuple(r) for r in survivorship.dominant_contents(df, specs(spark)).collect()}
     assert got == {("CVE_2020_2", "c"), ("CVE_2020_3", "e"), ("CVE_2020_3", "f")}
     assert survivorship.dominant_contents(df.limit(0), specs(spark)).count() == 0 == survivorship.merged_records(df.limit(0), specs(spark).limit(0)).count()

@@ -76,6 +76,14 @@ def test_byte_pairs(spark):
     n = {r.doc_id: r.n_tokens for r in bytepair.count_tokens(df).collect()}
     assert all(n[i] == len(x) for i, x in got.items())
     assert bytepair.encode_texts(df.limit(0)).count() == 0
+    enc = bytepair.encoder(open(path, "rb").read())
+    assert enc.ordered
+    enc.ordered, enc.known = False, {}  # the way of a vocabulary in another order: the same ids
+    try:
+        ids, ends = enc.encode(texts)
+        assert [list(x) for x in np.split(ids, ends[:-1])] == [ref.encode_ordinary(t or "") for t in texts]
+    finally:
+        enc.ordered = True
 
 
 def test_fit():
@@ -183,11 +191,21 @@ def test_closing_particles():
     cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
     assert cut("ส่งข้อมูลแล้วครับ วันนี้ฝนตก") == ["ส่งข้อมูลแล้วครับ", "วันนี้ฝนตก"]
     assert cut("ส่งข้อมูลแล้วค่ะ และอ่านได้") == ["ส่งข้อมูลแล้วค่ะ และอ่านได้"]
-    assert cut("ส่งข้อมูล วันนี้ฝนตก") == ["ส่งข้อมูล วันนี้ฝนตก"]
+    assert cut("ส่งข้อมูล ใหม่ๆฝนตก") == ["ส่งข้อมูล ใหม่ๆฝนตก"]  # no closing particle, no opening word
     assert cut("ສົ່ງຂໍ້ມູນແດ່ ມື້ນີ້ຝົນຕົກ") == ["ສົ່ງຂໍ້ມູນແດ່", "ມື້ນີ້ຝົນຕົກ"]
     assert cut("ອ່ານຂໍ້ມູນໄດ້ ກະລຸນາຕິດຕັ້ງ") == ["ອ່ານຂໍ້ມູນໄດ້", "ກະລຸນາຕິດຕັ້ງ"]
 
 
+def test_everyday_sentences_and_inches():
+    """Sentences without any word of the domain, and marks that look like quotes."""
+    cut = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
+    assert cut("ฉันชอบกินข้าว วันนี้อากาศดี แม่ไปตลาด") == ["ฉันชอบกินข้าว", "วันนี้อากาศดี", "แม่ไปตลาด"]
+    assert cut("ຂ້ອຍມັກກິນເຂົ້າ ມື້ນີ້ອາກາດດີ ແມ່ໄປຕະຫຼາດ") == ["ຂ້ອຍມັກກິນເຂົ້າ", "ມື້ນີ້ອາກາດດີ", "ແມ່ໄປຕະຫຼາດ"]
+    assert cut('The cable is 5" long. Replace it. Use a 7" one.') == ['The cable is 5" long.', "Replace it.", 'Use a 7" one.']
+    assert cut('He said "stop. Then "Go on. Now." and left. Done.') == ['He said "stop.', 'Then "Go on. Now." and left.', "Done."]
+    assert cut("Siehe z.           B. das Handbuch. Gut.") == ["Siehe z.           B. das Handbuch.", "Gut."]
+
+
 def test_lattice_sees_whole_runs(monkeypatch):
     """A run of 41 letters whose last 40 are cut into other words."""
     monkeypatch.setitem(sentences._LEX, "thai", {"กข", "ขก", "ขค", "กขค"})
@@ -213,6 +231,8 @@ def test_spans(spark):
     got = [tuple(r) for r in spans.sharing_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     amount = {r.doc_id: r for r in spans.shared_amount(df).collect()}
+    by_runs = {r.doc_id: r for r in spans.shared_amount(df, 1).collect()}  # surroundings are never compared
+    assert by_runs == amount
     for i, t in enumerate(texts):
         inside = set()
         others = set().union(*(g for j, g in enumerate(grams) if j != i))
@@ -240,6 +260,7 @@ def test_spans_in_periodic_text(spark):
     got = [tuple(r) for r in spans.sharing_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     amount = {r.doc_id: r.shared_chars for r in spans.shared_amount(df).collect()}
+    assert amount == {r.doc_id: r.shared_chars for r in spans.shared_amount(df, 1).collect()}
     for i, t in enumerate(texts):
         others = set().union(*(g for j, g in enumerate(grams) if j != i))
         inside = {x for k in range(len(t) - 199) if t[k : k + 200] in others for x in range(k, k + 200)}
