@@ -83,16 +83,21 @@ def gold_index_status(gold: DataFrame, catalogue: DataFrame) -> DataFrame:
     return j.select("technique_id", s.alias("status"))
 
 
-def coverage_status(gold: DataFrame, rankings: DataFrame, indexed: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """(input_id, k, status) for every input with gold, in order of precedence: no gold in the index, no candidates, absent, covered, beyond k."""
+def coverage_status(gold: DataFrame, rankings: DataFrame, indexed: DataFrame, ks: tuple[int, ...], records: DataFrame | None = None) -> DataFrame:
+    """(input_id, k, first_hit, status) for every input with gold, in order of precedence.
+
+    No gold in the index, no candidate record, an empty list of candidates, absent, covered, beyond k. ``records``: the inputs that have a
+    candidate record; by default those with a candidate.
+    """
     g = gold.join(indexed.select("technique_id", F.lit(1).alias("_in")), "technique_id", "left")
     per = g.groupBy("input_id").agg(F.max(F.coalesce("_in", F.lit(0))).alias("any_indexed"))
     n = rankings.groupBy("input_id").agg(F.count("*").alias("n_candidates"))
+    held = (rankings if records is None else records).select("input_id").distinct().withColumn("_held", F.lit(True))
     first = rankings.join(gold, ["input_id", "technique_id"], "left_semi").groupBy("input_id").agg(F.min("rank").alias("first_hit"))
-    j = per.join(n, "input_id", "left").join(first, "input_id", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    j = per.join(n, "input_id", "left").join(held, "input_id", "left").join(first, "input_id", "left").withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     s = (
-        F.when(F.col("any_indexed") == 0, "gold_not_indexed").when(F.col("n_candidates").isNull(), "no_candidates").when(F.col("first_hit").isNull(), "absent")
-        .when(F.col("first_hit") <= F.col("k"), "covered").otherwise("beyond_k")
+        F.when(F.col("any_indexed") == 0, "gold_not_indexed").when(F.col("_held").isNull(), "no_candidates").when(F.col("n_candidates").isNull(), "no_candidate_in_list")
+        .when(F.col("first_hit").isNull(), "absent").when(F.col("first_hit") <= F.col("k"), "covered").otherwise("beyond_k")
     )
     return j.select("input_id", "k", "first_hit", s.alias("status"))
 

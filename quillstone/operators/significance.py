@@ -136,16 +136,33 @@ def bootstrap(samples: DataFrame, metric: str, repetitions: int = 5000, confiden
     return samples.select("method", "input_id", metric).groupBy("method").applyInPandas(run, "method string, estimate double, low double, high double")
 
 
+def bootstrap_differences(pairs: DataFrame, repetitions: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """Per pair of methods: the mean difference over inputs with its bootstrap interval; draws follow the order of input ids."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("input_id")
+        d = (pdf["left_value"] - pdf["right_value"]).astype(float).tolist()
+        lo, hi = bootstrap_interval(d, repetitions, confidence, seed)
+        return pd.DataFrame({"left_method": [key[0]], "right_method": [key[1]], "difference": [sum(d) / len(d)], "low": [lo], "high": [hi]})
+
+    return pairs.groupBy("left_method", "right_method").applyInPandas(run, "left_method string, right_method string, difference double, low double, high double")
+
+
 def stratified_bootstrap(rows: DataFrame, stratum: str, value: str, weight: str, order: str, repetitions: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """Weighted mean of ``value`` with an interval from resampling within strata: one row. The input is a drawn sample, not a corpus."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        strata = [list(zip(g[value].astype(float), g[weight].astype(float))) for _, g in pdf.sort_values([stratum, order]).groupby(stratum)]
-        rng = random.Random(seed)
-        mean = lambda rows: sum(v * w for v, w in rows) / sum(w for _, w in rows)
-        draws = sorted(mean([s[rng.randrange(len(s))] for s in strata for _ in s]) for _ in range(repetitions))
+        strata = [(g[value].to_numpy(float), g[weight].to_numpy(float)) for _, g in pdf.sort_values([stratum, order]).groupby(stratum)]
+        v, w = (np.concatenate([s[k] for s in strata]) for k in (0, 1))
+        sizes = np.array([len(s[0]) for s in strata])
+        start, n = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+        rng, draws = random.Random(seed), np.empty(repetitions)
+        for i in range(repetitions):  # one generator over strata in order; a draw is one array
+            at = start + np.fromiter(map(rng.randrange, n.tolist()), np.int64, len(n))
+            draws[i] = (v[at] * w[at]).sum() / w[at].sum()
+        draws = np.sort(draws).tolist()
         tail = (1 - confidence) / 2
-        return pd.DataFrame({"n": [len(pdf)], "estimate": [mean([x for s in strata for x in s])], "low": [quantile(draws, tail)], "high": [quantile(draws, 1 - tail)]})
+        return pd.DataFrame({"n": [len(pdf)], "estimate": [float((v * w).sum() / w.sum())], "low": [quantile(draws, tail)], "high": [quantile(draws, 1 - tail)]})
 
     return rows.select(stratum, value, weight, order).groupBy(F.lit(1)).applyInPandas(run, "n long, estimate double, low double, high double")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..functions.scores import min_max, within
 from ..functions.text import technique_id, tokens
-from ..operators import audit, dataset, metrics, retrieval, significance
+from ..operators import audit, dataset, metrics, reports, retrieval, significance
 from ..session import table
 from . import sqltext as S
 
@@ -135,6 +135,10 @@ def queries() -> dict:
         p = significance.mcnemar(pairs(s, d, "hit_1", 1)).select("left_method", "right_method", F.round("p_value", 6).alias("p_value"))
         return significance.holm(p, "p_value", "left_method", "right_method")
 
+    def scored_only(s, d):
+        """One run whose lists hold scored candidates only, so that some records have an empty list."""
+        return rankings(s, d).where("method = 'llm' and run = 2 and score is not null")
+
     def by_text(s, d):
         return catalogue(s, d)
 
@@ -173,6 +177,16 @@ def queries() -> dict:
         "bootstrap_interval": lambda s, d: significance.bootstrap(metrics.over_runs(samples(s, d), "mrr"), "mrr", 5000),
         "beta_sweep": beta_table,
         "beta_winner": best_beta,
+        "first_hit_shares": lambda s, d: rounded(reports.first_hit_shares(samples(s, d))),
+        "metric_summary": lambda s, d: rounded(reports.summary(samples(s, d), metrics.per_technique(rel(s, d), gold(s, d)), "text")),
+        "metrics_intervals": lambda s, d: reports.with_intervals(samples(s, d), ["mrr", "hit_1"]),
+        "bootstrap_difference": lambda s, d: significance.bootstrap_differences(pairs(s, d)),
+        "retrieval_baseline": lambda s, d: reports.retrieval_baseline(rankings(s, d).where("method = 'llm'"), rankings(s, d).where("method = 'text'"), "retrieved"),
+        "evaluation_ids": lambda s, d: reports.evaluation_ids(rankings(s, d).where("score is not null"), gold(s, d)),
+        "strict_id_problems": lambda s, d: reports.strict_id_problems(rankings(s, d).where("score is not null"), gold(s, d)),
+        "coverage_by_view": lambda s, d: reports.coverage_by_view(gold(s, d), scored_only(s, d), rankings(s, d), table(s, d, "techniques"), (1, 3, 5)),
+        "coverage_reasons": lambda s, d: reports.coverage_by_view(gold(s, d), scored_only(s, d), rankings(s, d), table(s, d, "techniques"), (1, 3, 5)).groupBy("view", "k", "status").agg(F.count("*").alias("n")),
+        "technique_coverage": lambda s, d: reports.technique_coverage(gold(s, d), scored_only(s, d), table(s, d, "techniques"), (1, 3, 5)),
         "gold_index_status": lambda s, d: audit.gold_index_status(gold(s, d), table(s, d, "techniques")),
         "coverage_status": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)),
         "coverage_by_k": lambda s, d: audit.coverage_status(gold(s, d), rankings(s, d).where("method = 'text' and run = 1"), by_text(s, d), (1, 3, 5)).groupBy("k", "status").agg(F.count("*").alias("n")),
@@ -220,6 +234,16 @@ def oracle_sql() -> dict[str, str]:
     tech = mm + """, su as (select technique_id, count(*) support from gold group by 1), ru as (select distinct method, run from re),
         hi as (select method, run, technique_id, count(*) h from re where rel = 1 and rank <= 5 group by 1, 2, 3),
         pt as (select method, technique_id, max(support) support, avg(coalesce(h, 0)::double / support) recall, coalesce(stddev_samp(coalesce(h, 0)::double / support), 0) sd_runs from ru cross join su left join hi using (method, run, technique_id) group by 1, 2)"""
+    every_metric = ["mrr", *[f"{m}_{k}" for m in ("hit", "precision", "recall", "ap") for k in (1, 3, 5)]]
+    views_ = f"""with {go}, {ra}, up as (select distinct technique_id, coalesce(parent_technique_id, case when split_part(technique_id, '.', 1) in (select technique_id from techniques where not coalesce(revoked, false) and not coalesce(deprecated, false)) then split_part(technique_id, '.', 1) end, technique_id) parent_id from techniques),
+        gp as (select * from gold join up using (technique_id)), r1 as (select * from rk where method = 'llm' and run = 2), r2 as (select * from r1 where score is not null),
+        golds as (select 'exact' as view, input_id, technique_id from gold union all select distinct 'parent', input_id, parent_id from gp),
+        ranks as (select 'exact' as view, input_id, technique_id, rank from r2 union all select 'parent', input_id, parent_id, row_number() over (partition by input_id order by r) from (select input_id, parent_id, min(rank) r from r2 join up using (technique_id) group by 1, 2)),
+        act as (select distinct technique_id from techniques where not coalesce(revoked, false) and not coalesce(deprecated, false)),
+        pv as (select view, input_id, max(cast(technique_id in (select technique_id from act) as int)) ai from golds group by 1, 2),
+        nv as (select view, input_id, count(*) n from ranks group by 1, 2), fv as (select view, input_id, min(rank) first_hit from ranks join golds using (view, input_id, technique_id) group by 1, 2),
+        st as (select view, input_id, k, first_hit, case when ai = 0 then 'gold_not_indexed' when input_id not in (select input_id from rk) then 'no_candidates' when n is null then 'no_candidate_in_list' when first_hit is null then 'absent' when first_hit <= k then 'covered' else 'beyond_k' end status
+            from pv left join nv using (view, input_id) left join fv using (view, input_id) cross join (select unnest([1, 3, 5]) k))"""
     bucket = "case when first_hit is null then 'miss' when first_hit = 1 then '1' when first_hit <= 3 then '2-3' when first_hit <= 5 then '4-5' when first_hit <= 10 then '6-10' when first_hit <= 20 then '11-20' else '>20' end"
     cov = f"""with {go}, {ra}, t1 as (select * from rk where method = 'text' and run = 1), {cat},
         pe as (select input_id, max(cast(it.technique_id is not null as int)) ai from gold left join it using (technique_id) group by 1),
@@ -273,6 +297,17 @@ def oracle_sql() -> dict[str, str]:
         "quantile_interval": over + " select method, round(quantile_cont(cast(mrr as double), 0.025), 6) as low, round(quantile_cont(cast(mrr as double), 0.975), 6) as high, round(quantile_cont(cast(mrr as double), 0.5), 6) as median from ov group by 1",
         "beta_sweep": beta + " select * from bt",
         "beta_winner": beta + " select * from bt order by hit_1 desc, mrr desc, sd_runs, cast(method as double) desc limit 1",
+        "first_hit_shares": mm + f", bu as (select method, run, {bucket} bucket from pm), na as (select method, run, count(*) n from pm group by 1, 2), al as (select unnest(['1', '2-3', '4-5', '6-10', '11-20', '>20', 'miss']) bucket) select method, bucket, round(avg(c::double / n), 6) as share from (select na.method, na.run, n, al.bucket, (select count(*) from bu where bu.method = na.method and bu.run = na.run and bu.bucket = al.bucket) c from na cross join al) group by 1, 2",
+        "metric_summary": tech + ", ov as (select method, input_id, " + ", ".join(f"avg({x}) {x}" for x in every_metric) + " from pm group by 1, 2), sr as (" + " union all ".join(f"select method, 'input' averaging, '{x}' metric, avg(v) estimate, coalesce(stddev_samp(v), 0) run_sd from (select method, run, avg({x}) v from pm group by 1, 2) group by 1" for x in every_metric)
+            + " union all " + " union all ".join(f"select method, 'label', 'micro_{w}_{k}', sum(hits_{k})::double / {('(count(*) * ' + str(k) + ')') if w == 'precision' else 'sum(n_gold)'}, null from pm group by 1" for w in ("precision", "recall") for k in (1, 3, 5))
+            + " union all select method, 'technique', 'technique_recall', avg(recall), null from pt group by 1), nn as (select method, count(*) n_inputs from ov group by 1) select method, averaging, metric, round(estimate, 6) as estimate, round(run_sd, 6) as run_sd, n_inputs, round(estimate - max(case when method = 'text' then estimate end) over (partition by averaging, metric), 6) as delta from sr join nn using (method)",
+        "retrieval_baseline": f"with {ra} select method, run, input_id, technique_id, cast(rank as int) as rank from rk where method = 'llm' union all select 'retrieved', run, input_id, technique_id, cast(rank as int) from rk where method = 'text' and run = 1",
+        "evaluation_ids": f"with {go}, {ra} select input_id from rk where score is not null and input_id in (select input_id from gold) group by 1 having count(distinct method || run) = (select count(distinct method || run) from rk)",
+        "strict_id_problems": f"with {go}, {ra}, p as (select input_id, count(distinct method || run) n from rk where score is not null group by 1) select input_id, 'missing in a run' as problem from p where n < (select count(distinct method || run) from rk where score is not null) union all select input_id, 'no gold' from p where input_id not in (select input_id from gold)",
+        "coverage_by_view": views_ + " select view, input_id, k, first_hit, status from st",
+        "coverage_reasons": views_ + " select view, k, status, count(*) as n from st group by 1, 2, 3",
+        "technique_coverage": views_ + ", j as (select g.technique_id, g.parent_id, e.rank e, p.rank p from gp g left join ranks e on e.view = 'exact' and e.input_id = g.input_id and e.technique_id = g.technique_id left join ranks p on p.view = 'parent' and p.input_id = g.input_id and p.technique_id = g.parent_id) "
+            "select technique_id, parent_id, count(*) as support, " + ", ".join(f"cast(count(*) filter (where {c} <= {k}) as bigint) as {n}_{k}" for c, n in (("e", "exact"), ("p", "parent")) for k in (1, 3, 5)) + " from j group by 1, 2",
         "gold_index_status": f"with {go} select distinct g.technique_id, case when revoked then 'revoked' when deprecated then 'deprecated' else 'indexed' end as status from gold g join techniques t on t.technique_id = g.technique_id",
         "coverage_status": cov + " select input_id, k, first_hit, status from cs",
         "coverage_by_k": cov + " select k, status, count(*) as n from cs group by 1, 2",
