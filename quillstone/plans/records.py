@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..functions.scores import confidence, split_target, token_budget
 from ..functions.text import canonical, evidence_ids, file_name, jaccard, label_parts, short_phrase, snake, text_or_null, token_set, truncated, without_markup
-from ..operators import audit, contracts, dataset, explanation, extract, graph, metrics, rerank, segment
+from ..operators import audit, contracts, dataset, explanation, extract, extraction, graph, metrics, rerank, segment
+from ..sources import labels as label_files
 from ..streaming.resume import windowed_counts
 from ..session import table
 from . import sqltext as S
@@ -35,6 +36,73 @@ def units(s: SparkSession, d: str, **how) -> DataFrame:
     return segment.segment(table(s, d, "documents").withColumnRenamed("doc_id", "input_id"), "input_id", "text", **how)
 
 
+def items(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as extractor items: the ship date's day tells the field, evidence may be unknown, confidences missing or out of range."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    fields = F.array(*map(F.lit, extraction.FIELDS))
+    texts = F.array(*map(F.lit, ITEM_TEXTS))
+    at = lambda n, c: F.element_at(texts, (F.col(c) % n + 1).cast("int"))
+    ev = F.array(F.concat(F.lit("E"), F.col("l_suppkey") % 9 + 1), F.concat(F.lit("E"), F.col("l_partkey") % 9 + 1), F.lit("E77"))
+    conf = F.when(F.col("l_linenumber") % 4 == 0, F.lit(None)).otherwise(F.col("l_discount") * 20 - 0.3)
+    return table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("input_id"), F.element_at(fields, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("field"), F.row_number().over(w).alias("pos"),
+        at(len(ITEM_TEXTS), "l_partkey").alias("a"), at(len(ITEM_TEXTS), "l_suppkey").alias("b"), at(len(ITEM_TEXTS), "l_quantity").alias("c"), ev.alias("evidence_ids"), conf.cast("double").alias("confidence"),
+    )
+
+
+ITEM_TEXTS = ("Remote Code Execution", "null", "", "SQL injection", "a crafted request", "buffer overflow", "denial of service", " leak of  data ", "bypass")
+UNIT_TEXTS = ("allows remote code execution", "causes a crash", "the impact is unknown and causes a hang", "nothing to see", "privilege escalation and denial of service")
+
+
+def item_evidence(s: SparkSession, d: str) -> DataFrame:
+    """Units E1 to E6 of every order, with texts by key."""
+    o = table(s, d, "lineitem").select(F.col("l_orderkey").alias("input_id")).distinct().select("input_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ord"))
+    return o.select("input_id", "ord", F.concat(F.lit("E"), "ord").alias("evidence_id"), F.element_at(F.array(*map(F.lit, UNIT_TEXTS)), ((F.col("input_id") + F.col("ord")) % len(UNIT_TEXTS) + 1).cast("int")).alias("text"))
+
+
+def item_relations(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as relations between items, their references in several spellings."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    names = F.array(*map(F.lit, REFERENCES))
+    pick = lambda c: F.element_at(names, (F.col(c) % len(REFERENCES) + 1).cast("int"))
+    kinds = F.array(*map(F.lit, ("enables", "Causes", "characterized by", "related", "leads-to")))
+    return table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("input_id"), F.row_number().over(w).alias("pos"), pick("l_partkey").alias("src"), F.element_at(kinds, (F.col("l_quantity") % 5 + 1).cast("int")).alias("type"), pick("l_suppkey").alias("dst"),
+        F.array(F.concat(F.lit("E"), F.col("l_partkey") % 8 + 1)).alias("evidence_ids"), F.col("l_discount").alias("confidence"),
+    )
+
+
+REFERENCES = ("B1", "I1", "EN1", "behavior_1", "IMPACT::I01", "P1", "Entry: 2", "vt2", "x9", "Behaviour-2", "I2", "B3")
+
+
+def label_lines(s: SparkSession, d: str) -> DataFrame:
+    """Records as lines of label files: lists, other keys, and texts."""
+    r = table(s, d, "records").select("record_id", "input_id", "labels")
+    k = F.col("record_id") % 3
+    line = F.when(k == 0, F.to_json(F.struct("input_id", "labels"))).when(k == 1, F.to_json(F.struct(F.col("input_id").alias("cve_id"), F.col("labels").alias("gold"))))
+    return r.select(line.otherwise(F.to_json(F.struct("input_id", F.array_join("labels", ", ").alias("labels")))).alias("line"))
+
+
+def run_lines(s: SparkSession, d: str) -> DataFrame:
+    """Two runs as lines of ranking files; records with an id of even length have no rerank ranks."""
+    from pyspark.sql import Window
+
+    from .ranking import rankings
+
+    r = rankings(s, d).where("method in ('text', 'llm')")
+    of = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    g = r.groupBy("run", "input_id", "technique_id").agg(of("text", "rank").alias("retrieval_rank"), F.round(of("text", "score"), 6).alias("score_fused"), F.round(of("llm", "score"), 6).alias("llm_score"))
+    g = g.withColumn("final_score", F.round(F.coalesce("llm_score", F.lit(0.0)) / 100, 6))
+    w = Window.partitionBy("run", "input_id").orderBy(F.desc("final_score"), "technique_id")
+    g = g.withColumn("rerank_rank", F.when(F.length("input_id") % 2 == 1, F.row_number().over(w)))
+    c = F.sort_array(F.collect_list(F.struct("technique_id", "retrieval_rank", "score_fused", "final_score", "llm_score", "rerank_rank")))  # one record's candidates
+    return g.groupBy("run", "input_id").agg(c.alias("candidates")).select(F.lit("m").alias("method"), "run", F.to_json(F.struct("input_id", "candidates")).alias("line"))
+
+
 def stop_units(s: SparkSession, d: str) -> DataFrame:
     """Documents cut after every period and blank: units that SQL can make too."""
     u = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("input_id"), F.posexplode(F.split("text", r"\. ")).alias("p", "text"))
@@ -109,6 +177,16 @@ def queries() -> dict:
         small = dataset.stratified_split([(r.base, list(r.labels)) for r in m], max(1, len(m) // 5), 20260805)
         return s.createDataFrame([(r.base, list(r.labels), "development" if r.base in small else "test") for r in m], "base string, labels array<string>, split string")
 
+    def numbered_items(s, d):
+        from pyspark.sql import Window
+
+        return items(s, d).withColumn("no", F.row_number().over(Window.partitionBy("input_id", "field").orderBy("pos")))
+
+    def links(s, d):
+        k, e = extraction.kept_items(items(s, d), item_evidence(s, d)), item_evidence(s, d)
+        r = extraction.completed_relations(extraction.kept_relations(item_relations(s, d), k, e), extraction.completed_behaviors(k, e), extraction.completed_impacts(k, e))
+        return r.select("input_id", "src", "type", "dst", "evidence_ids", F.round("confidence", 6).alias("confidence"))
+
     def subset_labels(s, d):
         return audit.label_subsets(gold(s, d), final_decisions(s, d))
 
@@ -165,6 +243,27 @@ def queries() -> dict:
         "resolved_decisions": lambda s, d: audit.resolved(reviews(s, d)).groupBy("resolution", "final_decision").agg(F.count("*").alias("n")),
         "label_subsets": subset_labels,
         "subset_metrics": subset_metrics,
+        "extraction_items": lambda s, d: extraction.kept_items(items(s, d), item_evidence(s, d)).select("input_id", "field", "no", "a", "b", "c", "evidence_ids", F.round("confidence", 6).alias("confidence")),
+        "extraction_relations": lambda s, d: extraction.kept_relations(item_relations(s, d), extraction.kept_items(items(s, d), item_evidence(s, d)), item_evidence(s, d)),
+        "extraction_impacts": lambda s, d: extraction.completed_impacts(extraction.kept_items(items(s, d), item_evidence(s, d)), item_evidence(s, d)).select("input_id", "no", "type", "evidence_ids", F.round("confidence", 6).alias("confidence")),
+        "extraction_behaviors": lambda s, d: extraction.completed_behaviors(extraction.kept_items(items(s, d), item_evidence(s, d)), item_evidence(s, d)).select("input_id", "no", F.col("c").alias("impact")),
+        "extraction_links": links,
+        "extraction_problems": lambda s, d: contracts.counts(extraction.problems(items(s, d), item_relations(s, d), item_evidence(s, d))),
+        "node_texts": lambda s, d: extraction.graph_nodes(items(s, d).withColumnRenamed("pos", "no")).select("input_id", "node_id", "type", "text", "evidence_ids"),
+        "node_references": lambda s, d: item_relations(s, d).select("src").distinct().select("src", extraction.node_ref(F.col("src")).alias("ref")),
+        "resolved_relations": lambda s, d: extraction.resolved_relations(item_relations(s, d), extraction.graph_nodes(numbered_items(s, d)))[0].select("input_id", "pos", "src", "dst", "type"),
+        "unresolved_relations": lambda s, d: extraction.resolved_relations(item_relations(s, d), extraction.graph_nodes(numbered_items(s, d)))[1].select("input_id", "pos", "src", "dst"),
+        "extractor_edges": lambda s, d: extraction.all_edges(extraction.graph_nodes(numbered_items(s, d)), item_relations(s, d)).select("input_id", "src", "dst", "type", "explicit", F.round("structural_score", 5).alias("structural_score")),
+        "labels_evaluation": lambda s, d: label_files.load_labels(label_lines(s, d), "evaluation"),
+        "labels_sweep": lambda s, d: label_files.load_labels(label_lines(s, d), "sweep", parent=True),
+        "labels_audit": lambda s, d: label_files.load_labels(label_lines(s, d), "audit"),
+        "label_report": lambda s, d: label_files.label_report(label_lines(s, d), "sweep"),
+        "label_problems": lambda s, d: contracts.counts(label_files.label_problems(label_lines(s, d), "audit")),
+        "ranking_runs": lambda s, d: label_files.load_rankings(run_lines(s, d)),
+        "ranking_problems": lambda s, d: contracts.counts(label_files.ranking_problems(run_lines(s, d), 20).drop("method", "run")),
+        "ranking_lengths": lambda s, d: label_files.length_histogram(run_lines(s, d)),
+        "unknown_candidates": lambda s, d: label_files.unknown_candidates(run_lines(s, d), table(s, d, "techniques").where("not coalesce(is_subtechnique, false)")),
+        "inconsistent_runs": lambda s, d: label_files.inconsistent_runs(run_lines(s, d)),
         "contract_sentences": lambda s, d: contracts.counts(contracts.sentences(table(s, d, "sentences").dropDuplicates(["input_id"]))),
         "contract_labels": lambda s, d: contracts.counts(contracts.labels(table(s, d, "records").withColumn("input_id", F.col("record_id").cast("string")))),
         "contract_nodes": lambda s, d: contracts.counts(contracts.graph_nodes(nodes(s, d))),
@@ -227,7 +326,72 @@ def oracle_sql() -> dict[str, str]:
         sa as (select 'LSA-' || upper(substr(h, 1, 12)) sample_id, input_id, technique_id, stratum_size, least(stratum_size, 8) sampled from hk where k <= 8)"""
     rate = "select {0} decision, n, round(n::double / sum(n) over ({1}), 6) as raw_rate, round(w / sum(w) over ({1}), 6) as weighted_rate from (select {0} decision, count(*) n, sum(stratum_size::double / sampled) w from sa join de using (input_id, technique_id) group by {0} decision)"
     imp = " ".join(f"case when regexp_matches(lower(trim(regexp_replace(coalesce(text, ''), '{ws}', ' ', 'g'))), '{'|'.join(w)}') then '{k}' end," for k, w in extract.IMPACT_WORDS.items()).rstrip(",")
+    lst = lambda v: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + "]"
+    line_no = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
+    texts = lambda c: f"({lst(ITEM_TEXTS)})[{c} % {len(ITEM_TEXTS)} + 1]"
+    it = f"""it as (select l_orderkey input_id, ({lst(extraction.FIELDS)})[l_linenumber % 5 + 1] field, {line_no} pos, {texts('l_partkey')} a, {texts('l_suppkey')} b, {texts('cast(l_quantity as int)')} c,
+        l_suppkey % 9 + 1 e1, l_partkey % 9 + 1 e2, case when l_linenumber % 4 = 0 then null else l_discount * 20 - 0.3 end conf from lineitem)"""
+    impact_of = lambda c: "list_filter([" + ", ".join(f"case when regexp_matches(lower({squash(c)}), '{'|'.join(w)}') then '{k}' end" for k, w in extract.IMPACT_WORDS.items()) + "], lambda x: x is not null)"
+    weakness = lambda pick: "case " + " ".join(f"when regexp_matches(lower({squash('a')}) || chr(10) || lower({squash('b')}), '{p}') then {pick(a, k, e)}" for p, (a, k), e in extract.weakness_patterns())
+    nonnull = lambda c: f"case when lower(trim({c}, ' ')) not in ('', 'null', 'none', 'n/a') then trim({c}, ' ') end"
+    kt = f"""{it}, ke as (select *, case when e1 <= 6 and e2 <= 6 and e1 <> e2 then ['E' || e1, 'E' || e2] when e1 <= 6 then ['E' || e1] when e2 <= 6 then ['E' || e2] end ev from it),
+        kt as (select input_id, field, pos, ev, least(1, greatest(0, coalesce(conf, 0.8))) conf, row_number() over (partition by input_id, field order by pos) no,
+            case field when 'preconditions' then a when 'entry' then trim(a, ' ') when 'vuln_type' then {weakness(lambda a, k, e: f"'{a}'")} else coalesce(nullif({snaked.format(squash('a'))}, ''), 'unspecified') end
+                when 'behaviors' then {squash('a')} else coalesce(({impact_of('a')})[1], 'unspecified') end a,
+            case field when 'entry' then {squash('b')} when 'vuln_type' then {weakness(lambda a, k, e: f"coalesce(nullif({snaked.format(squash('b'))}, ''), '{e}')" if k == "" else f"'{k or ''}'")} else {snaked.format(squash('b'))} end
+                when 'behaviors' then {nonnull('b')} else b end b,
+            case when field = 'behaviors' then ({impact_of(nonnull('c'))})[1] end c from ke where ev is not null)"""
+    prefix_of = "case field " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in extraction.FIELDS.items()) + " end"
+    # what the references mean, written out
+    plain_refs = dict(zip(REFERENCES, ("B1", "I1", "EN1", "B1", "I1", "P1", "EN2", "VT2", None, "B2", "I2", "B3")))
+    meant = lambda c: "case " + c + " " + " ".join(f"when '{k}' then '{v}'" for k, v in plain_refs.items() if v) + " end"
+    rl = f"""rl as (select l_orderkey input_id, {line_no} pos, ({lst(REFERENCES)})[l_partkey % {len(REFERENCES)} + 1] src, (['enables', 'Causes', 'characterized by', 'related', 'leads-to'])[cast(l_quantity as int) % 5 + 1] typ,
+        ({lst(REFERENCES)})[l_suppkey % {len(REFERENCES)} + 1] dst, l_partkey % 8 + 1 e, l_discount conf from lineitem)"""
+    pair_type = "case " + " ".join(f"when {{0}} = '{a}' and {{1}} = '{b}' then '{t}'" for (a, b), t in extraction.PAIRS.items()) + " end"
+    kr = f"""{kt}, {rl}, kp as (select input_id, {prefix_of} p, pos, no from kt),
+        al as (select input_id, p || ref ref, p || coalesce(min(case when ref = no then no end), min(no)) new from (select input_id, p, no ref, no from kp union all select input_id, p, pos, no from kp) group by 1, p, ref),
+        kx as (select r.input_id, r.pos, s.new src, d.new dst, e, conf from rl r join al s on s.input_id = r.input_id and s.ref = {meant('src')} join al d on d.input_id = r.input_id and d.ref = {meant('dst')} where e <= 6 and typ <> 'related'),
+        ky as (select *, {pair_type.format("regexp_extract(src, '^[A-Z]+')", "regexp_extract(dst, '^[A-Z]+')")} typ from kx),
+        kr as (select input_id, src, typ as type, dst, ['E' || first(e order by pos)] evidence_ids, first(conf order by pos) confidence from ky where typ is not null group by 1, 2, 3, 4)"""
+    eu = f"""eu as (select input_id, ord, ({lst(UNIT_TEXTS)})[(input_id + ord) % {len(UNIT_TEXTS)} + 1] text from (select distinct l_orderkey input_id from lineitem) cross join (select unnest(range(1, 7)) ord)),
+        eh as (""" + " union all ".join(f"select input_id, ord, {n} no, '{k}' impact from eu where not regexp_matches(text, '(?i){extract.UNKNOWN_IMPACT}') and regexp_matches(text, '(?i){p}')" for n, (k, p) in enumerate(extract.EXPLICIT_IMPACTS)) + """),
+        es as (select input_id, impact, list_transform(list_sort(list(ord)), lambda o: 'E' || o) ev, min(ord * 100 + no) f from eh group by 1, 2), eo as (select *, row_number() over (partition by input_id order by f) n from es)"""
+    words = lst(extract.IMPACT_WORDS)
+    ki = f"""{kr}, {eu}, own as (select *, max(a <> 'unspecified') over (partition by input_id) told from kt where field = 'impacts'),
+        i0 as (select input_id, a t, ev, conf, 0 s, no n, 0 z from own where told or a <> 'unspecified'),
+        i1 as (select input_id, impact t, ev, 0.95 conf, 1 s, n, 0 z from eo),
+        i2 as (select input_id, unnest(list_distinct(list_concat({impact_of('c')}, list_concat({impact_of('a')}, {impact_of('b')})))) t, ev, no n from kt where field = 'behaviors'),
+        i3 as (select input_id, unnest({impact_of('b')}) t, ev, no n from kt where field = 'entry'),
+        i4 as (select * from i1 union all select input_id, t, ev, 0.95, 2, n, list_position({words}, t) from i2 union all select input_id, t, ev, 0.95, 3, n, list_position({words}, t) from i3),
+        i5 as (select * from i4 where not exists (select 1 from i0 where i0.input_id = i4.input_id and i0.t = i4.t) qualify row_number() over (partition by input_id, t order by s, n, z) = 1),
+        ki as (select *, row_number() over (partition by input_id order by s, n, z) no from (select * from i0 union all select * from i5))"""
+    strip = lambda c: f"regexp_replace({c}, '^{ws}|{ws}$', '', 'g')"
+    tid = "^T[0-9]{4}(\\.[0-9]{3})?$".replace("\\\\", "\\")
+    ln = "ln as (select record_id, record_id % 3 k, nullif(trim(input_id, ' '), '') i, labels, array_to_string(labels, ', ') j from records)"
+    lr = "lr as (select *, row_number() over (partition by run, input_id order by final desc, technique_id) rr, row_number() over (partition by run, input_id order by technique_id) p from (select run, input_id, technique_id, max(rank) filter (where method = 'text') t, round(max(score) filter (where method = 'text'), 6) ts, round(max(score) filter (where method = 'llm'), 6) l, round(coalesce(round(max(score) filter (where method = 'llm'), 6), 0) / 100, 6) final from rk2 where method in ('text', 'llm') group by 1, 2, 3))"
     return {
+        "extraction_items": f"with {kt} select input_id, field, cast(no as int) as no, a, b, c, ev as evidence_ids, round(conf, 6) as confidence from kt",
+        "extraction_relations": f"with {kr} select * from kr",
+        "extraction_impacts": f"with {ki} select input_id, cast(no as int) as no, t as type, ev as evidence_ids, round(conf, 6) as confidence from ki",
+        "extraction_behaviors": f"with {kt}, {eu}, m as (select kt.input_id, kt.no, first(impact order by n) i from kt join eo on eo.input_id = kt.input_id and len(list_intersect(eo.ev, kt.ev)) > 0 where field = 'behaviors' and c is null group by 1, 2) select input_id, cast(no as int) as no, coalesce(c, i) as impact from kt left join m using (input_id, no) where field = 'behaviors'",
+        "extraction_links": f"with {ki}, b as (select * from kt where field = 'behaviors'), n as (select b.input_id, 'B' || b.no src, 'I' || i.no dst, list_filter(b.ev, lambda x: list_contains(i.ev, x)) evidence_ids, least(b.conf, i.conf) confidence from b join ki i on i.input_id = b.input_id and len(list_intersect(b.ev, i.ev)) > 0) "
+            "select input_id, src, type, dst, evidence_ids, round(confidence, 6) as confidence from kr union all select input_id, src, 'causes', dst, evidence_ids, round(confidence, 6) from n where not exists (select 1 from kr where kr.input_id = n.input_id and kr.src = n.src and kr.dst = n.dst and kr.type = 'causes')",
+        "node_references": f"with {rl} select distinct src, {meant('src')} as ref from rl",
+        "node_texts": f"with {it}, t as (select *, nullif(trim(a, ' '), '') x, nullif(trim(b, ' '), '') y, nullif(trim(c, ' '), '') z from it) select input_id, case field " + " ".join(f"when '{k}' then '{v[2]}'" for k, v in extraction.FIELDS.items()) + " end || pos as node_id, case field " + " ".join(f"when '{k}' then '{v[1]}'" for k, v in extraction.FIELDS.items()) + " end as type, "
+            "case when field = 'behaviors' then concat_ws('; ', 'action=' || x, 'target=' || y, 'impact=' || z) else concat_ws(case when field = 'vuln_type' then ': ' else '; ' end, x, case when y is distinct from x then y end) end as text, "
+            "list_transform(list_sort(list_distinct([e1, e2, 77])), lambda e: 'E' || e) as evidence_ids from t",
+        "resolved_relations": f"with {it}, {rl}, n as (select input_id, field, row_number() over (partition by input_id, field order by pos) no from it), f as (" + " union all ".join(f"select input_id, unnest(['{v[2]}' || no, '{v[0]}' || no, upper('{v[1]}') || ':' || no, upper('{v[1]}') || '_' || no, upper('{v[1]}') || no]) name, '{v[2]}' || no node from n where field = '{k}'" for k, v in extraction.FIELDS.items()) + ") "
+            "select r.input_id, cast(r.pos as int) as pos, s.node as src, d.node as dst, typ as type from rl r join f s on s.input_id = r.input_id and s.name = upper(r.src) join f d on d.input_id = r.input_id and d.name = upper(r.dst)",
+        "unresolved_relations": f"with {it}, {rl}, n as (select input_id, field, row_number() over (partition by input_id, field order by pos) no from it), f as (" + " union all ".join(f"select input_id, unnest(['{v[2]}' || no, '{v[0]}' || no, upper('{v[1]}') || ':' || no, upper('{v[1]}') || '_' || no, upper('{v[1]}') || no]) name from n where field = '{k}'" for k, v in extraction.FIELDS.items()) + ") "
+            "select input_id, cast(pos as int) as pos, src, dst from rl r where not exists (select 1 from f where f.input_id = r.input_id and name = upper(r.src)) or not exists (select 1 from f where f.input_id = r.input_id and name = upper(r.dst))",
+        "labels_evaluation": f"with {ln}, e as (select i, unnest(case when k = 0 then labels else regexp_split_to_array(j, '[,;\\s]+') end) l from ln where k <> 1 and i is not null) select i as input_id, list_sort(list(distinct upper(trim(l, ' ')))) as labels from e where regexp_full_match(upper(trim(l, ' ')), '{tid[1:-1]}') group by 1",
+        "labels_sweep": f"with {ln}, e as (select i, unnest(coalesce(case when k = 2 then [j] else labels end, [])) l from ln where i is not null), v as (select i, split_part(upper(trim(l, ' ')), '.', 1) t from e) select ids.i as input_id, list_sort(coalesce(list(distinct t) filter (where regexp_full_match(t, 'T[0-9]{{4}}')), [])) as labels from (select distinct i from ln where i is not null) ids left join v on v.i = ids.i group by 1",
+        "labels_audit": f"with {ln}, e as (select i, unnest(coalesce(case when k = 2 then [j] else labels end, [])) l from ln where i is not null and k <> 1) select ids.i as input_id, list_sort(coalesce(list(distinct trim(l, ' ')) filter (where trim(l, ' ') <> ''), [])) as labels from (select distinct i from ln where i is not null and k <> 1) ids left join e on e.i = ids.i group by 1",
+        "label_report": f"with {ln}, e as (select *, case when k = 2 then [j] else coalesce(labels, []) end v from ln), b as (select *, len(list_filter(v, lambda x: not coalesce(regexp_full_match(upper(trim(x, ' ')), '{tid[1:-1]}'), false))) bad from e) select count(*) as rows, count(distinct i) as ids, count(*) - count(distinct i) as duplicate_rows, cast(count(*) filter (where k = 2 and j is not null) as bigint) as texts_repaired, cast(sum(bad) as bigint) as labels_dropped, cast(count(*) filter (where bad = len(v)) as bigint) as rows_without_label from b",
+        "ranking_runs": f"with {ranks}, {lr}, o as (select *, row_number() over (partition by run, input_id order by case when length(input_id) % 2 = 1 then rr end, final desc, coalesce(l, 0) desc, case when length(input_id) % 2 = 0 then coalesce(ts, 0) end desc, p) rank from lr) select 'm' as method, run, input_id, technique_id, cast(rank as int) as rank, cast(row_number() over (partition by run, input_id order by t, -coalesce(ts, 0), technique_id) as int) as retrieval_rank from o",
+        "ranking_lengths": f"with {ranks}, {lr}, c as (select run, input_id, count(*) length from lr group by 1, 2) select 'm' as method, run, length, count(*) as inputs from c group by 1, 2, 3",
+        "unknown_candidates": f"with {ranks}, {lr} select technique_id, count(*) as n from lr where technique_id not in (select technique_id from techniques where not coalesce(is_subtechnique, false)) group by 1",
+        "inconsistent_runs": f"with {ranks}, {lr}, x as (select run, input_id, list(technique_id order by t, technique_id) ids, list(struct_pack(a := t, b := technique_id, c := ts) order by t, technique_id) r from lr group by 1, 2) select input_id, count(distinct ids) as candidates, count(distinct r) as retrievals, count(*) as n from x group by 1 having count(distinct ids) > 1 or count(distinct r) > 1 or count(*) < 2",
         "canonical_text": f"select doc_id, trim(regexp_replace(coalesce(text, ''), '{ws}', ' ', 'g')) as canonical from documents",
         "id_normalise": f"select row_id, {nid.format('source_id')} as input_id, {S.base('source_id')} as base_id, try_cast(nullif(regexp_extract({nid.format('source_id')}, '_AUGU?MENTED_(\\d+)$', 1), '') as int) as augmentation from source_rows",
         "evidence_id_lists": f"with {nd} select input_id, node_id, list_transform(list_sort(list_transform(list_distinct(list_concat(ev, ['E11', 'E2'])), lambda e: cast(substr(e, 2) as int))), lambda i: 'E' || i) as ids from nd",
