@@ -76,6 +76,87 @@ def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _problems(j, "input_id", {"dangling source": F.col("_a").isNull(), "dangling target": F.col("_b").isNull(), "layer rule broken": F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~rule, "loop": F.col("src") == F.col("dst"), "score out of range": probability(F.col("structural_score"))})
 
 
+def support_edges(nodes: DataFrame, support: DataFrame) -> DataFrame:
+    """Evidence of a node without a supporting edge, and supporting edges to evidence that the node doesn't name. ``support``: (input_id, node_id, evidence_id)."""
+    named = nodes.select("input_id", "node_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
+    k = ["input_id", "node_id", "evidence_id"]
+    a = named.join(support.select(*k), k, "left_anti").select("input_id", F.lit("evidence without supporting edge").alias("problem"))
+    return a.unionByName(support.select(*k).join(named, k, "left_anti").select("input_id", F.lit("supporting edge to other evidence").alias("problem")))
+
+
+def record_counts(stats: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Records whose stated numbers of nodes or edges are not those of the tables. ``stats``: (input_id, n_nodes, n_edges)."""
+    n = nodes.groupBy("input_id").agg(F.count("*").alias("_n"))
+    e = edges.groupBy("input_id").agg(F.count("*").alias("_e"))
+    j = stats.join(n, "input_id", "left").join(e, "input_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return _problems(j, "input_id", {"node count differs": zero("n_nodes") != zero("_n"), "edge count differs": zero("n_edges") != zero("_e")})
+
+
+def explanations(explained: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Explanation tables: a known status that agrees with the chain, chain nodes and their types in the graph, neighbours linked, evidence that is the nodes', text and hash present."""
+    n = nodes.select("input_id", "node_id", "type", "evidence_ids").dropDuplicates(["input_id", "node_id"])
+    step = explained.select("input_id", F.posexplode("chain").alias("pos", "node_id"), "chain", "chain_types", "status")
+    j = step.join(n.withColumnRenamed("type", "_t"), ["input_id", "node_id"], "left").withColumn("_said", F.get("chain_types", F.col("pos"))).withColumn("_next", F.get("chain", F.col("pos") + 1))
+    link = edges.select("input_id", F.col("src").alias("node_id"), F.col("dst").alias("_next"), F.lit(True).alias("_ok")).distinct()
+    j = j.join(link, ["input_id", "node_id", "_next"], "left")
+    a = _problems(j, "input_id", {"chain node not in graph": F.col("_t").isNull(), "chain type differs": F.col("_t") != F.col("_said"), "missing path edge": F.col("_next").isNotNull() & F.col("_ok").isNull()})
+    types = F.col("chain_types")
+    en, b, i = (F.array_position(types, t) for t in ("Entry", "Behavior", "Impact"))
+    core = (en > 0) & (F.array_position(F.slice(types, en.cast("int") + 1, F.size(types)), "Behavior") > 0) & (b > en) & (i > b)
+    c = _problems(explained, "input_id", {
+        "unknown status": ~F.coalesce(F.col("status").isin("complete", "partial", "empty"), F.lit(False)),
+        "complete without core chain": (F.col("status") == "complete") & ~F.coalesce(core, F.lit(False)),
+        "core chain not complete": (F.col("status") == "partial") & core & (F.element_at(types, 1) == "Entry") & (F.element_at(types, -1) == "Impact"),
+        "empty chain": (F.col("status") != "empty") & (F.coalesce(F.size("chain"), F.lit(0)) <= 0),
+        "no compact text": (F.col("status") != "empty") & (F.trim(F.coalesce("compact_text", F.lit(""))) == ""),
+        "malformed hash": ~F.coalesce(F.col("signature").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+        "minimum not of the evidence": F.size(F.array_except("minimum_evidence", "evidence_ids")) > 0,
+    })
+    held = explained.select("input_id", F.explode(F.concat("chain", F.when(F.col("precondition").isNotNull(), F.array("precondition")).otherwise(F.array().cast("array<string>")))).alias("node_id")).join(n, ["input_id", "node_id"])
+    of = held.select("input_id", F.explode("evidence_ids").alias("e")).groupBy("input_id").agg(F.array_sort(F.collect_set("e")).alias("_e"))
+    d = _problems(explained.join(of, "input_id", "left"), "input_id", {"evidence is not the nodes'": F.array_sort("evidence_ids") != F.coalesce("_e", F.array().cast("array<string>"))})
+    return a.unionByName(c).unionByName(d)
+
+
+def catalogue(techniques: DataFrame) -> DataFrame:
+    """Technique tables: valid and unique ids, name and description, and active sub-techniques whose parent is not there or not active."""
+    t = techniques.withColumn("input_id", F.col("technique_id"))
+    off = F.coalesce("revoked", F.lit(False)) | F.coalesce("deprecated", F.lit(False))
+    up = t.where(~off).select(F.col("technique_id").alias("_p"), F.lit(True).alias("_active")).distinct()
+    j = t.withColumn("_p", F.coalesce("parent_technique_id", F.element_at(F.split("technique_id", r"\."), 1))).join(up, "_p", "left")
+    a = _problems(j, "input_id", {
+        "malformed technique id": ~F.coalesce(F.col("technique_id").rlike(r"^T[0-9]{4}(\.[0-9]{3})?$"), F.lit(False)),
+        "no name": F.trim(F.coalesce("name", F.lit(""))) == "", "no description": F.trim(F.coalesce("description", F.lit(""))) == "",
+        "parent not active": ~off & F.coalesce("is_subtechnique", F.lit(False)) & F.col("_active").isNull(),
+    })
+    return a.unionByName(t.groupBy("input_id").agg(F.count("*").alias("n")).where("n > 1").select("input_id", F.lit("repeated technique id").alias("problem")))
+
+
+def sentence_maps(df: DataFrame) -> DataFrame:
+    """(input_id, sentences, contiguous, problems): maps with upper-case ids and trimmed texts, in natural order; what is malformed, blank or repeated is left out and named."""
+    entries = F.transform(F.map_entries(F.coalesce("sentences", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.upper(F.trim(e.key)).alias("id"), F.trim(F.coalesce(e.value, F.lit(""))).alias("text")))
+    d = df.select(F.trim(F.coalesce("input_id", F.lit(""))).alias("input_id"), entries.alias("e"))
+    good = F.filter("e", lambda x: x.id.rlike(EVIDENCE_ID) & (x.text != ""))
+    order = lambda a, b: number(a.id) - number(b.id)
+    once = F.filter(good, lambda x, i: F.array_position(F.transform(good, lambda y: y.id), x.id) == i + 1)
+    kept = F.array_sort(once, order)
+    say = lambda c, m: F.when(c, F.lit(m))
+    problems = F.array_compact(F.array(
+        say(F.col("input_id") == "", "no id"), say(F.size("e") == 0, "no sentences"), say(F.exists("e", lambda x: ~x.id.rlike(EVIDENCE_ID)), "malformed evidence id"),
+        say(F.exists("e", lambda x: x.id.rlike(EVIDENCE_ID) & (x.text == "")), "blank sentence"), say(F.size(once) < F.size(good), "repeated evidence id"),
+    ))
+    run = F.transform(kept, lambda x, i: number(x.id) == i + 1)
+    return d.select("input_id", F.map_from_entries(kept).alias("sentences"), F.forall(run, lambda x: x).alias("contiguous"), problems.alias("problems"))
+
+
+def signatures(df: DataFrame, column: str) -> DataFrame:
+    """(signature, n), if a table has rows of more than one signature."""
+    per = df.groupBy(F.col(column).alias("signature")).agg(F.count("*").alias("n"))
+    several = per.agg(F.count("*").alias("k")).scalar() > 1
+    return per.where(several)
+
+
 def candidates(ranked: DataFrame, alpha: float, tolerance: float = 5e-10) -> DataFrame:
     """Candidate tables (input_id, technique_id, score_fused, score_text, score_structure, rank): the fusion formula, ranges, ranks 1..n in score order, ids unique."""
     w = Window.partitionBy("input_id").orderBy("rank")

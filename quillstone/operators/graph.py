@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, token_set
@@ -60,6 +60,20 @@ def dedupe_edges(edges: DataFrame, *order) -> DataFrame:
     return edges.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def trace_edges(nodes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(input_id, src, dst, type): the record mentions its nodes, and nodes are supported by their evidence. ``chosen``: (input_id, node_id), only these nodes."""
+    n = nodes if chosen is None else nodes.join(chosen.select("input_id", "node_id"), ["input_id", "node_id"], "left_semi")
+    a = n.select("input_id", F.concat(F.lit("CVE::"), F.col("input_id").cast("string")).alias("src"), F.col("node_id").alias("dst"), F.lit("mentions").alias("type"))
+    b = n.select("input_id", F.col("node_id").alias("src"), F.explode("evidence_ids").alias("e"))
+    return a.unionByName(b.select("input_id", "src", F.concat(F.lit("EVIDENCE::"), "e").alias("dst"), F.lit("supported_by").alias("type")))
+
+
+def edge_score(structural: Column, confidence: Column, score: Column, default: float = 0.5) -> Column:
+    """The first of three that is a number, clamped to [0, 1]."""
+    first = F.coalesce(*[F.nanvl(c, F.lit(None).cast("double")) for c in (structural, confidence, score)], F.lit(default))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), first))
+
+
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which an end is no node of the record."""
     ids = nodes.select("input_id", F.col("node_id").alias("_id")).distinct()

@@ -267,6 +267,12 @@ def queries() -> dict:
         "contract_sentences": lambda s, d: contracts.counts(contracts.sentences(table(s, d, "sentences").dropDuplicates(["input_id"]))),
         "contract_labels": lambda s, d: contracts.counts(contracts.labels(table(s, d, "records").withColumn("input_id", F.col("record_id").cast("string")))),
         "contract_nodes": lambda s, d: contracts.counts(contracts.graph_nodes(nodes(s, d))),
+        "contract_catalogue": lambda s, d: contracts.counts(contracts.catalogue(table(s, d, "techniques"))),
+        "contract_support": lambda s, d: contracts.counts(contracts.support_edges(nodes(s, d), graph.support_map(nodes(s, d).where("type <> 'Impact'")).select("input_id", "evidence_id", F.explode("node_ids").alias("node_id")))),
+        "contract_explanations": lambda s, d: contracts.counts(contracts.explanations(explanation.explanations(nodes(s, d), edges(s, d)), nodes(s, d), edges(s, d).where("type <> 'causes'"))),
+        "contract_counts": lambda s, d: contracts.counts(contracts.record_counts(graph.stats(nodes(s, d)).select("input_id", (F.col("n_nodes") + F.col("n_impact") % 2).alias("n_nodes"), F.lit(0).alias("n_edges")), nodes(s, d), edges(s, d))),
+        "sentence_maps": lambda s, d: contracts.sentence_maps(table(s, d, "sentences").dropDuplicates(["input_id"])).select("input_id", F.size("sentences").alias("n"), "contiguous", "problems"),
+        "trace_edges": lambda s, d: graph.trace_edges(nodes(s, d), nodes(s, d).where("type = 'Impact'")),
         "contract_edges": lambda s, d: contracts.counts(contracts.graph_edges(edges(s, d), nodes(s, d).where("node_id <> 'N3'"))),
         "rerank_topk": lambda s, d: rerank.top_candidates(ranked_candidates(s, d), 3, exact=True),
         "rerank_merge": lambda s, d: rerank_result(s, d),
@@ -457,6 +463,18 @@ def oracle_sql() -> dict[str, str]:
             select base, technique_id, round(c, 6) as capped from z where c is not null and not isnan(c)""",
         "contract_labels": """with x as (select 'no labels' problem, record_id from records where coalesce(len(labels), 0) <= 0 union all select 'invalid label', record_id from records where len(list_filter(labels, lambda x: not regexp_full_match(coalesce(x, ''), 'T[0-9]{4}(\\.[0-9]{3})?'))) > 0
             union all select 'not sorted and distinct', record_id from records where labels is not null and labels <> list_sort(list_distinct(labels))) select problem, count(*) as n, count(distinct record_id) as inputs from x group by 1""",
+        "contract_catalogue": """with off as (select *, coalesce(revoked, false) or coalesce(deprecated, false) x from techniques), pr as (
+            select 'no name' problem, technique_id from off where trim(coalesce(name, '')) = '' union all select 'no description', technique_id from off where trim(coalesce(description, '')) = ''
+            union all select 'malformed technique id', technique_id from off where not coalesce(regexp_full_match(technique_id, 'T[0-9]{4}(\\.[0-9]{3})?'), false)
+            union all select 'parent not active', technique_id from off where not x and coalesce(is_subtechnique, false) and coalesce(parent_technique_id, split_part(technique_id, '.', 1)) not in (select technique_id from off where not x)
+            union all select 'repeated technique id', technique_id from off group by technique_id having count(*) > 1) select problem, count(*) as n, count(distinct technique_id) as inputs from pr group by 1""",
+        "contract_support": f"with {nd} select 'evidence without supporting edge' as problem, cast(sum(len(ev)) as bigint) as n, count(distinct input_id) as inputs from nd where type = 'Impact'",
+        "contract_counts": f"with {nd}, {ed}, a as (select input_id, count(*) filter (where type = 'Impact') % 2 o from nd group by 1), b as (select distinct input_id from ed) select 'node count differs' as problem, count(*) as n, count(distinct input_id) as inputs from a where o = 1 union all select 'edge count differs', count(*), count(*) from b",
+        "trace_edges": f"with {nd} select input_id, 'CVE::' || input_id as src, node_id as dst, 'mentions' as type from nd where type = 'Impact' union all select input_id, node_id, 'EVIDENCE::' || unnest(ev), 'supported_by' from nd where type = 'Impact'",
+        "sentence_maps": """with s0 as (select * from sentences qualify row_number() over (partition by input_id) = 1), e as (select input_id, unnest(map_entries(sentences)) e from s0 where sentences is not null),
+            f as (select input_id, upper(trim(e.key)) id, trim(coalesce(e.value, '')) t from e), g as (select *, regexp_full_match(id, 'E[1-9][0-9]*') ok from f),
+            h as (select input_id, count(*) n, count(*) filter (where not ok) bad, count(*) filter (where ok and t = '') blank, count(*) filter (where ok and t <> '') good, count(distinct id) filter (where ok and t <> '') once, max(cast(substr(id, 2) as int)) filter (where ok and t <> '') top from g group by 1)
+            select s0.input_id, cast(coalesce(once, 0) as int) as n, coalesce(top, 0) = coalesce(once, 0) as contiguous, list_filter([case when n is null then 'no sentences' end, case when bad > 0 then 'malformed evidence id' end, case when blank > 0 then 'blank sentence' end, case when once < good then 'repeated evidence id' end], lambda x: x is not null) as problems from s0 left join h using (input_id)""",
         "contract_edges": f"""with {nd}, {ed}, n2 as (select * from nd where node_id <> 'N3'), x as (select ed.input_id, case when src = 'N3' then 'dangling source' end a, case when dst = 'N3' then 'dangling target' end b from ed), y as (select input_id, a problem from x where a is not null union all select input_id, b from x where b is not null)
             select problem, count(*) as n, count(distinct input_id) as inputs from y group by 1""",
         "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

@@ -15,12 +15,14 @@ def run_available(spark: SparkSession, source: str, schema: str, work: Callable[
     """
 
     def one(batch: DataFrame, _id: int) -> None:
-        out = work(batch)
-        try:
-            out = out.join(spark.read.parquet(sink).select(key).distinct(), key, "left_anti")
+        out = work(batch).dropDuplicates([key])
+        try:  # only the sink's keys are read, and only those of the batch go on
+            done = spark.read.parquet(sink).select(key)
         except Exception as e:  # noqa: BLE001 - the first batch has no sink yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+        else:
+            out = out.join(done, key, "left_anti")
         out.write.mode("append").parquet(sink)
 
     stream = spark.readStream.schema(schema).json(source)

@@ -4,9 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.plans import experiment
+from quillstone.plans import experiment, settings
 from quillstone.session import clear, materialise, shared_dir
-from quillstone.sources import jsonl, scorer, stix, tables
+from quillstone.sources import jsonl, labels, scorer, stix, tables
 from quillstone.streaming import resume
 
 
@@ -136,18 +136,69 @@ def test_clear(spark):
 
 
 def test_experiment(spark, tmp_path):
-    texts = spark.createDataFrame([("c1", "A buffer overflow allows a remote attacker to send a crafted packet. This leads to remote code execution."), ("c2", "Path traversal in the archive lets users read arbitrary files.")], "input_id string, text string")
+    say = ["A buffer overflow allows a remote attacker to send a crafted packet. This leads to remote code execution.", "Path traversal in the archive lets users read arbitrary files."]
+    texts = spark.createDataFrame([(f"c{i}", say[i % 2]) for i in range(10)], "input_id string, text string")
     tech = spark.createDataFrame([("T1000", "Overflow", "buffer overflow code execution"), ("T1001", "Traversal", "path traversal files"), ("T1002", "Other", "nothing")], "technique_id string, name string, text string")
-    gold = spark.createDataFrame([("c1", "T1000"), ("c2", "T1001")], "input_id string, technique_id string")
-    llm = spark.createDataFrame([("c1", "T1002", 1.0)], "input_id string, technique_id string, llm_score double")
+    gold = spark.createDataFrame([(f"c{i}", f"T100{i % 2}") for i in range(10)], "input_id string, technique_id string")
+    llm = spark.createDataFrame([(f"c{i}", "T1002", 1.0, k) for i in range(10) for k in (1, 2)], "input_id string, technique_id string, llm_score double, seed int")
     work = str(tmp_path / "w")
-    make = lambda **c: experiment.Experiment(spark, work, texts, tech, gold, llm, {"retrieve": {"topn": 3}, "rerank": {"topk": 3, **c}})
+    make = lambda scores=llm, **c: experiment.Experiment(spark, work, texts, tech, gold, scores, {"select_retrieval": {"lengths": [2, 3], "alphas": [0.5, 1.0]}, "select_beta": {"betas": [0.0, 1.0]}, "rerank": {"topk": 2, "modes": ["full", "generic"], "seeds": [1, 2], **c}})
     e = make()
-    m = {(r.method, r.metric): r.estimate for r in e.run().collect()}
-    assert m["retrieval", "hit_1"] == 1.0 and m["reranked", "hit_1"] == 0.5
+    m = {(r.method, r.metric): (r.estimate, r.delta) for r in e.run().collect()}
+    assert m["retrieval", "hit_1"] == (1.0, 0.0) and m["full", "hit_1"] == (1.0, 0.0) == m["generic", "hit_1"]  # beta 1 is chosen: the scores are of no use
+    assert e.table("select_beta").first().beta == 1.0 and e.table("select_retrieval").first().topn == 2
+    assert {r["count"] for r in e.table("rerank").groupBy("mode", "seed", "input_id").count().collect()} == {2} and e.table("split").where("split = 'development'").count() == 2
     assert make().run().count() == e.table("evaluate").count()
     with pytest.raises(ValueError, match="another configuration"):
-        make(beta=0.9).run()
+        make(beta=0.0).run()
+    with pytest.raises(ValueError, match="other inputs"):
+        make(llm.where("input_id <> 'c1'")).run()
     with pytest.raises(ValueError, match="alpha"):
         experiment.Experiment(spark, work, texts, tech, gold, llm, {"retrieve": {"alpha": 2}})
-    assert experiment.selected(through="graph") == ("segment", "extract", "graph") and len(e.plan()) == 7
+    assert experiment.selected(through="graph") == ("segment", "extract", "graph") and len(e.plan()) == len(experiment.STAGES)
+
+
+def test_settings(spark):
+    assert settings.shares("0.5, 0,0.5,1") == [0.0, 0.5, 1.0] and settings.counts("5,1, 5") == [1, 5]
+    assert settings.metric("Hit@5") == ("hit", 5) and settings.metric("mrr") == ("mrr", None)
+    for f, bad in ((settings.shares, "1.5"), (settings.shares, " ,"), (settings.counts, "0"), (settings.metric, "hit@0"), (settings.metric, "f1")):
+        with pytest.raises(ValueError):
+            f(bad)
+    assert settings.chosen([], [1, 2]) == [1, 2] and settings.chosen([2, 2], [1, 2]) == [2]
+    with pytest.raises(ValueError):
+        settings.chosen([3], [1, 2])
+    ids = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "input_id string, split string")
+    assert sorted(r.input_id for r in settings.first_ids(ids, "split", 1).collect()) == ["a", "c"] and settings.first_ids(ids, "split", 0).count() == 3
+    some = ids.where("input_id < 'c'")
+    assert settings.exactly(ids, some.select("input_id"), "subset").count() == 2
+    with pytest.raises(ValueError):
+        settings.exactly(ids, some.select("input_id"))
+
+
+def test_label_files(spark):
+    lines = ['{"input_id": " a ", "labels": ["t1000", "T1001.001", "bad", 7]}', '{"cve_id": "b", "gold": "T1000"}', '{"input_id": "a", "labels": "T1002; T1003"}', "", "{oops", '{"input_id": "c", "labels": []}', '{"input_id": "d"}']
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    load = lambda *a, **k: {r.input_id: r.labels for r in labels.load_labels(df, *a, **k).collect()}
+    assert load() == {"a": ["T1000", "T1001.001", "T1002", "T1003"]}
+    assert load("sweep", parent=True) == {"a": ["T1000", "T1001"], "b": ["T1000"], "c": [], "d": []}
+    assert load("audit")["a"] == ["7", "T1001.001", "T1002; T1003", "bad", "t1000"] and load("audit")["c"] == []
+    assert labels.label_report(df).first().texts_repaired == 1
+    found = {tuple(r) for r in labels.label_problems(df, "audit").collect()}
+    assert {("a", "invalid label"), ("a", "label is no text"), ("c", "no labels"), ("d", "no labels"), (None, "malformed line"), (None, "no id")} == found
+    assert labels.run_specs(["m=a", "n=b", "m = c"]) == [("m", "a", 1), ("n", "b", 1), ("m", "c", 2)]
+    with pytest.raises(ValueError):
+        labels.run_specs(["x"])
+
+
+def test_ranking_files(spark, tmp_path):
+    c = lambda t, r, **k: {"technique_id": t, "retrieval_rank": r, **k}
+    put(tmp_path / "a.jsonl", {"input_id": "x", "candidates": [c("T1001.001", 1, rerank_rank=2), c("T1001.002", 2, rerank_rank=1), c("T1000", 3)]}, {"input_id": "y", "candidates": [c("T1000", 2, final_score=0.1), c("T1001", 1, final_score=0.9, llm_score=3.0)]})
+    put(tmp_path / "b.jsonl", {"input_id": "x", "candidates": [c("T1000", 1), c("T1000", 1), c("nope", 1)]}, {"input_id": "z", "candidates": []}, {"input_id": "x", "candidates": [c("T1000", 1)]})
+    df = labels.ranking_lines(spark, [f"m={tmp_path}/a.jsonl", f"m={tmp_path}/b.jsonl"])
+    got = {(r.run, r.input_id, r.technique_id): (r.rank, r.retrieval_rank) for r in labels.load_rankings(df).collect()}
+    assert got[1, "x", "T1001.002"] == (1, 2) and got[1, "x", "T1000"] == (3, 3) and got[1, "y", "T1001"] == (1, 1) and got[1, "y", "T1000"] == (2, 2)
+    up = {(r.run, r.input_id, r.technique_id): r.rank for r in labels.load_rankings(df, parent=True).collect()}
+    assert up[1, "x", "T1001"] == 1 and up[1, "x", "T1000"] == 2
+    found = {(r.run, r.input_id, r.problem) for r in labels.ranking_problems(df, 2).collect()}
+    assert {(1, "x", "ranks not 1..n"), (1, "y", "score out of range"), (2, "x", "repeated id"), (2, "z", "no candidates"), (2, "x", "malformed technique id"), (2, "x", "repeated technique"), (2, "x", "list too short")} == found
+    assert {r.input_id for r in labels.inconsistent_runs(df).collect()} == {"x", "y"}
