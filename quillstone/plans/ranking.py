@@ -166,7 +166,7 @@ def queries() -> dict:
         "per_technique_recall": lambda s, d: rounded(metrics.per_technique(rel(s, d), gold(s, d))),
         "long_tail": lambda s, d: rounded(metrics.long_tail(metrics.per_technique(rel(s, d), gold(s, d)))),
         "candidate_signatures": lambda s, d: metrics.signatures(rankings(s, d)),
-        "unfair_inputs": lambda s, d: metrics.unfair_inputs(metrics.signatures(rankings(s, d))),
+        "unfair_inputs": lambda s, d: metrics.unfair_inputs(metrics.signatures(rankings(s, d).where("score is not null"))),
         "missing_inputs": lambda s, d: metrics.missing_inputs(rankings(s, d), gold(s, d)),
         "parent_rankings": lambda s, d: metrics.keep_first(rankings(s, d).withColumn("technique_id", F.element_at(F.split("technique_id", r"\."), 1))),
         "pairwise_differences": lambda s, d: rounded(significance.differences(pairs(s, d))),
@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "per_technique_recall": tech + " select method, technique_id, support, round(recall, 6) as recall, round(sd_runs, 6) as sd_runs from pt",
         "long_tail": tech + " select method, case when support <= 5 then 'tail' when support >= 21 then 'head' else 'mid' end as bucket, count(*) as techniques, cast(sum(support) as bigint) as support, round(avg(recall), 6) as macro_recall from pt group by 1, 2",
         "candidate_signatures": f"with {ra} select method, run, input_id, sha256(string_agg(technique_id, ',' order by rank)) as order_hash, sha256(string_agg(technique_id, ',' order by technique_id)) as set_hash from rk group by 1, 2, 3",
-        "unfair_inputs": f"with {ra}, sg as (select method, run, input_id, string_agg(technique_id, ',' order by technique_id) x from rk group by 1, 2, 3) select input_id, count(*) as rankings, count(distinct x) as sets from sg group by 1 having count(distinct x) > 1",
+        "unfair_inputs": f"with {ra}, sg as (select method, run, input_id, string_agg(technique_id, ',' order by technique_id) x from rk where score is not null group by 1, 2, 3) select input_id, count(*) as rankings, count(distinct x) as sets from sg group by 1 having count(distinct x) > 1",
         "missing_inputs": f"with {go}, {ra} select distinct input_id, 'no_ranking' as side from gold where input_id not in (select input_id from rk) union all select distinct input_id, 'no_gold' from rk where input_id not in (select input_id from gold)",
         "parent_rankings": f"with {ra}, pk as (select method, run, input_id, split_part(technique_id, '.', 1) technique_id, min(rank) r from rk group by 1, 2, 3, 4) select method, run, input_id, technique_id, cast(row_number() over (partition by method, run, input_id order by r, technique_id) as int) as rank from pk",
         "pairwise_differences": over + pairs.format("mrr", "ov") + " select left_method, right_method, count(*) as n_inputs, round(avg(lv), 6) as left_mean, round(avg(rv), 6) as right_mean, round(avg(lv - rv), 6) as difference, cast(sum(cast(lv - rv > 1e-15 as int)) as bigint) as wins, cast(sum(cast(abs(lv - rv) <= 1e-15 as int)) as bigint) as ties, cast(sum(cast(lv - rv < -1e-15 as int)) as bigint) as losses from pr group by 1, 2",

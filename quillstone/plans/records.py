@@ -208,7 +208,7 @@ def queries() -> dict:
         "merge_sources": lambda s, d: dataset.merge_sources(based(s, d, "records")),
         "split_targets": lambda s, d: gold(s, d).groupBy("technique_id").agg(F.count("*").alias("support")).select("technique_id", "support", split_target(F.col("support"), 1, 5).alias("target")),
         "split_overlap": lambda s, d: dataset.overlap(rows(s, d).where(N.split_name(F.col("split")) == "train"), rows(s, d).where(N.split_name(F.col("split")) == "test"), "base"),
-        "id_alignment": lambda s, d: dataset.id_alignment(based(s, d, "records"), based(s, d, "rerank"), "base"),
+        "id_alignment": lambda s, d: dataset.id_alignment(rows(s, d), based(s, d, "rerank"), "base"),
         "duplicate_keys": lambda s, d: dataset.duplicate_keys(based(s, d, "records"), "base", "source_name"),
         "remaining_ids": lambda s, d: dataset.remaining(rows(s, d), based(s, d, "records"), "base").select("row_id", "base"),
         "label_resolution": lambda s, d: dataset.resolve_labels(table(s, d, "records").select(F.explode("labels").alias("label")).unionByName(table(s, d, "techniques").select(F.lower("name").alias("label"))), table(s, d, "techniques")),
@@ -393,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
         "labels_evaluation": f"with {ln}, e as (select i, unnest(case when k = 0 then labels else regexp_split_to_array(j, '[,;\\s]+') end) l from ln where k <> 1 and i is not null) select i as input_id, list_sort(list(distinct upper(trim(l, ' ')))) as labels from e where regexp_full_match(upper(trim(l, ' ')), '{tid[1:-1]}') group by 1",
         "labels_sweep": f"with {ln}, e as (select i, unnest(coalesce(case when k = 2 then [j] else labels end, [])) l from ln where i is not null), v as (select i, split_part(upper(trim(l, ' ')), '.', 1) t from e) select ids.i as input_id, list_sort(coalesce(list(distinct t) filter (where regexp_full_match(t, 'T[0-9]{{4}}')), [])) as labels from (select distinct i from ln where i is not null) ids left join v on v.i = ids.i group by 1",
         "labels_audit": f"with {ln}, e as (select i, unnest(coalesce(case when k = 2 then [j] else labels end, [])) l from ln where i is not null and k <> 1) select ids.i as input_id, list_sort(coalesce(list(distinct trim(l, ' ')) filter (where trim(l, ' ') <> ''), [])) as labels from (select distinct i from ln where i is not null and k <> 1) ids left join e on e.i = ids.i group by 1",
-        "label_report": f"with {ln}, e as (select *, case when k = 2 then [j] else coalesce(labels, []) end v from ln), b as (select *, len(list_filter(v, lambda x: not coalesce(regexp_full_match(upper(trim(x, ' ')), '{tid[1:-1]}'), false))) bad from e) select count(*) as rows, count(distinct i) as ids, count(*) - count(distinct i) as duplicate_rows, cast(count(*) filter (where k = 2 and j is not null) as bigint) as texts_repaired, cast(sum(bad) as bigint) as labels_dropped, cast(count(*) filter (where bad = len(v)) as bigint) as rows_without_label from b",
+        "label_report": f"with {ln}, e as (select *, case when k <> 2 then coalesce(labels, []) when j is null then [] else [j] end v from ln), b as (select *, len(list_filter(v, lambda x: not coalesce(regexp_full_match(upper(trim(x, ' ')), '{tid[1:-1]}'), false))) bad from e) select count(*) as rows, count(distinct i) as ids, count(*) - count(distinct i) as duplicate_rows, cast(count(*) filter (where k = 2 and j is not null) as bigint) as texts_repaired, cast(sum(bad) as bigint) as labels_dropped, cast(count(*) filter (where bad = len(v)) as bigint) as rows_without_label from b",
         "ranking_runs": f"with {ranks}, {lr}, o as (select *, row_number() over (partition by run, input_id order by case when length(input_id) % 2 = 1 then rr end, final desc, coalesce(l, 0) desc, case when length(input_id) % 2 = 0 then coalesce(ts, 0) end desc, p) rank from lr) select 'm' as method, run, input_id, technique_id, cast(rank as int) as rank, cast(row_number() over (partition by run, input_id order by t, -coalesce(ts, 0), technique_id) as int) as retrieval_rank from o",
         "ranking_lengths": f"with {ranks}, {lr}, c as (select run, input_id, count(*) length from lr group by 1, 2) select 'm' as method, run, length, count(*) as inputs from c group by 1, 2, 3",
         "unknown_candidates": f"with {ranks}, {lr} select technique_id, count(*) as n from lr where technique_id not in (select technique_id from techniques where not coalesce(is_subtechnique, false)) group by 1",
@@ -409,7 +409,7 @@ def oracle_sql() -> dict[str, str]:
             select base, list_sort(list(distinct source_name)) as source_membership, any_value(tx.raw_text) as raw_text, any_value(tx.record_sha256) as record_sha256, coalesce(any_value(lb.labels), []) as labels from rc left join tx using (base) left join {lab.format('rc')} lb using (base) group by 1""",
         "split_targets": f"with {go} select technique_id, count(*) as support, case when count(*) >= 2 then cast(greatest(1, least(count(*) - 1, round_even(count(*)::double / 5, 0))) as int) else 0 end as target from gold group by 1",
         "split_overlap": f"with {srw} select distinct base from sq where lower(trim(split)) in ('train', 'training') and base in (select base from sq where lower(trim(split)) = 'test')",
-        "id_alignment": f"with {rec}, rr as (select distinct {S.base('input_id')} base from rerank) select distinct base, 'left' as side from rc where base not in (select base from rr) union all select base, 'right' from rr where base not in (select base from rc)",
+        "id_alignment": f"with {srw}, rr as (select distinct {S.base('input_id')} base from rerank) select distinct base, 'left' as side from sq where base not in (select base from rr) union all select base, 'right' from rr where base not in (select base from sq)",
         "split_union": f"with {rec}, h as (select base, count(distinct source_position % 3) filter (where source_position % 3 < 2) n from rc group by 1) select base, case when n = 0 then 'in no part' else 'in several parts' end as problem from h where n <> 1",
         "duplicate_keys": f"with {rec} select base, source_name, count(*) as n from rc group by 1, 2 having count(*) > 1",
         "remaining_ids": f"with {srw}, {rec} select row_id, base from sq where base not in (select base from rc)",
