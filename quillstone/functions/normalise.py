@@ -22,8 +22,12 @@ def squeeze(c: Column) -> Column:
 
 
 def usable(c: Column) -> Column:
-    """False for null, blank and stand-in texts; never null."""
-    return F.coalesce(~F.lower(squeeze(c)).isin(*STAND_INS), F.lit(False))
+    """False for null, blank and stand-in texts; never null.
+
+    A text of more words than any stand-in has is told by its beginning, without squeezing all of it.
+    """
+    longer = c.rlike(r"(?U)^\s*(?:\S+\s+){%d}\S" % max(len(s.split()) for s in STAND_INS))
+    return F.coalesce(longer | ~F.lower(squeeze(c)).isin(*STAND_INS), F.lit(False))
 
 
 def usable_list(c: Column) -> Column:

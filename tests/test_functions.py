@@ -57,3 +57,11 @@ def test_scores(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "k string, v double")
     assert sorted(r.x for r in df.select(scores.min_max(F.col("v"), "k").alias("x")).collect()) == [0.0, 0.0, 0.0, 1.0]
     assert pytest.approx(1.0) == column(spark, ["1"], scores.confidence)[0]
+
+
+def test_usable(spark):
+    """Stand-ins in any spelling are not usable, and texts of any number of words are, however they begin."""
+    texts = [(None, False), ("", False), ("\u00a0 \n", False), ("x", True), ("n/a n/a", True), ("not available not available not available", True), ("  a b c d e f g h", True), ("word " * 5000, True)]
+    texts += [(f" {s.upper()}  ".replace(" ", "  \u3000"), False) for s in N.STAND_INS] + [(f"{s} and more words than any stand in", True) for s in N.STAND_INS]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string").select("i", N.usable(F.col("t")).alias("u"))
+    assert {r.i: r.u for r in df.collect()} == {i: u for i, (_, u) in enumerate(texts)}
