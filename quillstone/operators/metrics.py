@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import hit_bucket, support_bucket
@@ -41,15 +41,25 @@ def per_input(rel: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     return g.select(*out)
 
 
-def per_input_sweep(rel: DataFrame, ks: tuple[int, ...] = (5,)) -> DataFrame:
-    """The variant of the retrieval sweep: precision over the list's length and average precision over the gold's size."""
-    aggs = [F.max("n_gold").alias("n_gold")]
-    for k in ks:
-        at = F.col("rank") <= k
-        aggs += [F.sum(F.when(at, F.col("rel")).otherwise(0)).alias(f"h{k}"), F.sum(at.cast("int")).alias(f"n{k}"), F.sum(F.when(at & (F.col("rel") == 1), F.col("seen") / F.col("rank")).otherwise(0.0)).alias(f"a{k}"), F.coalesce(1 / F.min(F.when(at & (F.col("rel") == 1), F.col("rank"))), F.lit(0.0)).alias(f"m{k}")]
-    g = rel.groupBy(*RUN, "input_id").agg(*aggs)
-    cols = [c for k in ks for c in ((F.col(f"h{k}") > 0).cast("double").alias(f"coverage_{k}"), (F.col(f"h{k}") / F.col("n_gold")).alias(f"macro_recall_{k}"), (F.col(f"h{k}") / F.col(f"n{k}")).alias(f"precision_{k}"), (F.col(f"a{k}") / F.col("n_gold")).alias(f"map_{k}"), F.col(f"m{k}").alias(f"mrr_{k}"))]
-    return g.select(*RUN, "input_id", *cols)
+def per_input_sweep(rankings: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5,)) -> DataFrame:
+    """The variant of the retrieval sweep at every k: precision over the list's length and average precision over the gold's size.
+
+    A ranking is reduced to its length and the ranks of its hits where its rows stand, so long lists cost no shuffle; ranks are 1..n.
+    """
+    g = gold.select("input_id", "technique_id").distinct()
+    size = g.groupBy("input_id").agg(F.count("*").alias("n_gold"))
+    j = rankings.join(g.withColumn("_g", F.lit(True)), ["input_id", "technique_id"], "left")
+    lists = j.groupBy(*RUN, "input_id").agg(F.max("rank").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_g"), F.col("rank")))).alias("hits"))  # at most the gold of one input
+    r = lists.join(size, "input_id")
+
+    def at(k: int) -> list[Column]:
+        hits = F.filter("hits", lambda x: x <= k)
+        h = F.size(hits)
+        gained = F.aggregate(F.transform(hits, lambda x, i: (i + 1) / x), F.lit(0.0), lambda a, x: a + x)
+        values = {"coverage": (h > 0).cast("double"), "macro_recall": h / F.col("n_gold"), "precision": h / F.least("n", F.lit(k)), "map": gained / F.col("n_gold"), "mrr": F.coalesce(1 / F.try_element_at(hits, F.lit(1)), F.lit(0.0))}
+        return [c.alias(f"{name}_{k}") for name, c in values.items()]
+
+    return r.select(*RUN, "input_id", *[c for k in ks for c in at(k)])
 
 
 def over_runs(samples: DataFrame, *metrics: str) -> DataFrame:

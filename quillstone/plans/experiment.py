@@ -155,7 +155,7 @@ class Experiment:
         lengths = tuple(sorted(cfg["lengths"]))
         g = self._lists(self._part(self._views(), "development"), cfg["alphas"], lengths[-1])
         g = g.select(F.col("alpha").cast("string").alias("method"), F.lit(0).alias("run"), "input_id", "technique_id", "rank")
-        per = metrics.per_input_sweep(metrics.relevance(g, self.inputs["gold"]), lengths).groupBy("method")
+        per = metrics.per_input_sweep(g, self.inputs["gold"], lengths).groupBy("method")
         names = ("coverage", "mrr", "macro_recall")
         wide = per.agg(*[F.avg(f"{m}_{k}").alias(f"{m}_{k}") for k in lengths for m in names])
         long = wide.select(F.col("method").cast("double").alias("alpha"), F.inline(F.array(*[F.struct(F.lit(k).alias("topn"), *[F.col(f"{m}_{k}").alias(m) for m in names]) for k in lengths])))

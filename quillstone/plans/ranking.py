@@ -13,7 +13,7 @@ from ..functions import normalise as N
 from ..functions.scores import min_max, within
 from ..functions.text import technique_id, tokens
 from ..operators import audit, dataset, metrics, reports, retrieval, significance
-from ..session import table
+from ..session import materialise, table
 from . import sqltext as S
 
 METHODS = ("edge", "llm", "path", "text")
@@ -84,7 +84,7 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
     g = retrieval.retrieve_grid(views(s, d), catalogue(s, d), ALPHAS, LENGTHS[-1], digits=DIGITS).withColumnRenamed("query_id", "input_id")
     g = g.select(F.col("alpha").cast("string").alias("method"), F.lit(0).alias("run"), "input_id", "technique_id", "rank")
     names = ("coverage", "macro_recall", "precision", "map", "mrr")
-    rel = metrics.per_input_sweep(metrics.relevance(g, gold(s, d)), LENGTHS)
+    rel = metrics.per_input_sweep(g, materialise(gold(s, d), "gold"), LENGTHS)  # its size in files decides how it is joined
     per = rel.groupBy("method").agg(F.count("*").alias("n"), *[F.round(F.avg(f"{m}_{k}"), 6).alias(f"{m}_{k}") for k in LENGTHS for m in names])
     return per.select("method", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("run"), *[F.col(f"{m}_{k}").alias(m) for m in names]) for k in LENGTHS])))
 

@@ -101,3 +101,36 @@ def test_matrix_and_join_agree(spark):
         (lambda n: retrieval.retrieve_scaled(q, t, digits=6, dense_cells=n), ("query_id", "technique_id", "score", "scaled")),
     ):
         assert key(f(10**7), *cols) == key(f(0), *cols)
+
+
+def test_no_swap_improves_the_split():
+    """When the search ends by itself, no exchange of two records brings the labels nearer to their targets."""
+    import random
+
+    from quillstone.operators import dataset
+
+    rng = random.Random(5)
+    recs = [(f"r{i}", sorted(set(rng.choices("ABCDEFGH", weights=[30, 20, 10, 5, 3, 2, 1, 1], k=rng.randrange(1, 4))))) for i in range(80)]
+    small = dataset.stratified_split(recs, 20, 7, passes=200)
+    assert len(small) == 20 and small == dataset.stratified_split(recs[::-1], 20, 7, passes=200)
+    labels = dict(recs)
+    support = {x: sum(x in ls for ls in labels.values()) for x in "ABCDEFGH"}
+    support = {k: n for k, n in support.items() if n}
+    goal = dataset.split_targets(support, 20 / 80, 2)
+
+    def cost(side):
+        c = {k: sum(k in labels[i] for i in side) for k in support}
+        return sum((c[k] - goal[k]) ** 2 / n + 1e6 * (n >= 2 and c[k] in (0, n)) for k, n in support.items())
+
+    now = cost(small)
+    assert all(cost(small - {a} | {b}) >= now - 1e-9 for a in small for b in labels if b not in small)
+
+
+def test_partition_check(spark):
+    from quillstone.operators import dataset
+
+    a, b, c = (spark.createDataFrame([(x,) for x in v], "k string") for v in ("abc", "ab", "bd"))
+    assert rows(dataset.not_partitioned(a, [b, c], "k")) == [("b", "in several parts"), ("c", "in no part"), ("d", "not in the whole")]
+    assert dataset.not_partitioned(a, [b, a.where("k = 'c'")], "k").count() == 0
+    d = spark.createDataFrame([("x", ["A", "B"], "s"), ("y", ["A"], "l"), ("z", ["A"], "l")], "base string, labels array<string>, split string")
+    assert rows(dataset.label_balance(d, 0.34, "s")) == [("A", 3, 1, 2, 1, 0), ("B", 1, 1, 0, 0, 1)]
