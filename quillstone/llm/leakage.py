@@ -48,7 +48,7 @@ NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 
 def words_text(c: Column) -> Column:
     """The words of a text in lower case, joined by blanks: full-width forms narrowed, invisible characters removed, punctuation dropped."""
-    s = F.translate(c, WIDE, NARROW)
+    s = F.when(c.rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]"), F.translate(c, WIDE, NARROW)).otherwise(c)
     s = F.regexp_replace(s, r"[\p{Cf}\x{034F}\x{180B}-\x{180D}\x{FE00}-\x{FE0F}]", "")
     return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{M}\p{N}_]+", " "))
 
