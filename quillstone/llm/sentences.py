@@ -89,6 +89,17 @@ CHINESE_GOES_ON = {"的", "等", "和", "与", "及", "是", "的话", "等等"}
 CASELESS_GOES_ON = {"और", "तथा", "एवं", "लेकिन", "किंतु", "परंतु", "पर", "कि", "को", "ने", "के", "का", "की", "से", "में", "कहा", "لكن", "حسب", "وفق", "كما", "بحسب"}
 
 
+class Words:
+    """The dictionary of a script, and which of its words open, close or carry on a sentence."""
+
+    def __init__(self, known: set[str], opens: set[str], closes: set[str], goes_on: set[str]):
+        self.known, self.opens, self.closes, self.goes_on = known | opens | closes | goes_on, opens, closes, goes_on
+        self.longest = max(map(len, self.known))
+
+    def with_openers(self, found: set[str]) -> Words:
+        return Words(self.known, self.opens | (found - self.goes_on - self.closes), self.closes, self.goes_on)
+
+
 def lattice_words(run: str, words: set[str], longest: int) -> list[str]:
     """The cheapest cut of a run of letters: a dictionary word costs 1, a character outside of any word 1.5."""
     n = len(run)
@@ -107,10 +118,8 @@ def lattice_words(run: str, words: set[str], longest: int) -> list[str]:
     return out[::-1]
 
 
-_LEX = {"thai": (set(THAI) | THAI_OPENS | THAI_GOES_ON | THAI_CLOSES | STILL_GOES_ON), "lao": (set(LAO) | LAO_OPENS | LAO_GOES_ON | LAO_CLOSES | STILL_GOES_ON), "ja": set(JAPANESE), "zh": set(CHINESE)}
-_OPENS = {"thai": THAI_OPENS, "lao": LAO_OPENS}
-_CLOSES = {"thai": THAI_CLOSES, "lao": LAO_CLOSES}
-_GOES_ON = {"thai": THAI_GOES_ON, "lao": LAO_GOES_ON}
+LEXICA = {"thai": Words(set(THAI) | STILL_GOES_ON, THAI_OPENS, THAI_CLOSES, THAI_GOES_ON), "lao": Words(set(LAO) | STILL_GOES_ON, LAO_OPENS, LAO_CLOSES, LAO_GOES_ON)}
+_LEX = {"ja": set(JAPANESE), "zh": set(CHINESE)}
 _LONGEST = {k: max(map(len, v)) for k, v in _LEX.items()}
 THAI_RUN = re.compile(r"[฀-໿]+")
 KANA = re.compile(r"[぀-ヿ]")
@@ -270,14 +279,13 @@ def _script(run: str) -> str:
     return "lao" if run[0] >= "\u0e80" else "thai"
 
 
-def _run_words(run: str) -> tuple[str, str]:
+def _run_words(run: str, lex: Words) -> tuple[str, str]:
     """The first and the last word of a whole run of letters."""
-    lex = _script(run)
-    words = lattice_words(run, _LEX[lex], _LONGEST[lex])
+    words = lattice_words(run, lex.known, lex.longest)
     return words[0], words[-1]
 
 
-def _thai_gap(t: str, e: int, k: int, before: str | None, after: str | None, words: dict[str, tuple[str, str]]) -> bool:
+def _thai_gap(t: str, e: int, k: int, before: str | None, after: str | None, words: dict[str, tuple[str, str]], lexica: dict[str, Words]) -> bool:
     """A gap that ends at ``k`` in text of a script without spaces and periods, between two whole runs of letters.
 
     It is a boundary if the word before it is a particle that closes and the one after it does not carry the sentence on,
@@ -287,34 +295,81 @@ def _thai_gap(t: str, e: int, k: int, before: str | None, after: str | None, wor
         return False
     for run in (before, after):
         if run and run not in words:
-            words[run] = _run_words(run)
-    lex, last = _script(before), words[before][1]
-    if last in _GOES_ON[lex]:
+            words[run] = _run_words(run, lexica[_script(run)])
+    lex, last = lexica[_script(before)], words[before][1]
+    if last in lex.goes_on:
         return False
     if after is None:  # another script: only after a word that closes, and if a sentence can open there
         nxt = TOKEN.match(t, k, e)
-        return bool(nxt) and (bool(SPACELESS.match(nxt[0])) or (last in _LEX[lex] and t[k].isalpha() and t[k].isupper() and last not in _OPENS[lex]) or (t[k].isalpha() and not t[k].isupper() and not t[k].islower()) or t[k] in "¿¡«„“")
-    first, to = words[after][0], _script(after)
-    return first in _OPENS[to] or (last in _CLOSES[lex] and first not in _GOES_ON[to] and first not in _CLOSES[to] and first not in STILL_GOES_ON)
+        opens = last in lex.known and t[k].isalpha() and t[k].isupper() and last not in lex.opens
+        return bool(nxt) and (bool(SPACELESS.match(nxt[0])) or opens or (t[k].isalpha() and not t[k].isupper() and not t[k].islower()) or t[k] in "¿¡«„“")
+    first, to = words[after][0], lexica[_script(after)]
+    return first in to.opens or (last in lex.closes and first not in to.goes_on and first not in to.closes and first not in STILL_GOES_ON)
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence of a text, in code points, end exclusive."""
-    if text is None:
-        return []
-    t, out, at = text, [], 0
-    blocks = []
-    for m in BLANK_LINE.finditer(t):
-        blocks.append((at, m.start()))
-        at = m.end()
-    blocks.append((at, len(t)))
-    for b, e in blocks:
+#: The least number of texts or blocks that a string must begin to be learnt, and the least part of all of them: so at most 10,000 strings of one length are learnt.
+LEAST_STARTS, LEAST_SHARE = 20, 1e-4
+
+
+def _blocks(t: str) -> list[tuple[int, int]]:
+    """The parts of a text between blank lines, without white space around them."""
+    found, at = [], 0
+    for m in [*BLANK_LINE.finditer(t), None]:
+        b, e = at, m.start() if m else len(t)
+        at = m.end() if m else e
         while b < e and t[b].isspace():
             b += 1
         while e > b and t[e - 1].isspace():
             e -= 1
-        if b == e:
-            continue
+        if b < e:
+            found.append((b, e))
+    return found
+
+
+def learn(df: DataFrame, text: str = "raw_text") -> dict[str, set[str]]:
+    """Opening words of Thai and Lao in a corpus: {script: words}.
+
+    Counted are the beginnings, up to forty code points, of runs that begin a block and of runs that follow a gap. A beginning is a word (or a phrase that
+    always stands together) if the run ends after it at least every other time, or if it goes on in three ways or more, none of which makes up four
+    fifths of it. It opens sentences if it begins blocks often (see LEAST_STARTS), and its part of the runs after gaps is at most twice
+    its part of the blocks' beginnings.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[tuple[str, str, bool]] = Counter()
+            for t in batch.column(text).to_pylist():
+                for b, e in _blocks(t):
+                    for m in THAI_RUN.finditer(t, b, e):
+                        if m.start() == b or t[m.start() - 1].isspace():
+                            run = m[0][:41]
+                            for n in range(2, min(40, len(run)) + 1):
+                                seen[run[:n], run[n : n + 1], m.start() == b] += 1
+            keys = list(seen)
+            cols = [[k[0] for k in keys], [k[1] for k in keys], [seen[k] if k[2] else 0 for k in keys], [0 if k[2] else seen[k] for k in keys]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["w", "next", "starts", "gaps"])
+
+    rows = df.select(text).where(F.col(text).rlike("[\u0e00-\u0eff]")).distinct().mapInArrow(count, "w string, next string, starts long, gaps long")
+    lao = F.col("w") >= "\u0e80"
+    ways = rows.groupBy("w", "next").agg(F.sum("starts").alias("starts"), F.sum("gaps").alias("gaps"))
+    both = F.col("starts") + F.col("gaps")
+    per = ways.groupBy("w").agg(F.sum("starts").alias("starts"), F.sum("gaps").alias("gaps"), F.count("*").alias("ways"), F.max(F.when(F.col("next") != "", both)).alias("main"), F.max(F.when(F.col("next") == "", both)).alias("ended"), F.first(lao).alias("lao"))
+    two = per.where(F.length("w") == 2).groupBy("lao").agg(F.sum("starts").alias("all_starts"), F.sum("gaps").alias("all_gaps"))  # every run counts once
+    enough = (F.col("starts") >= LEAST_STARTS) & (F.col("starts") >= F.col("all_starts") * LEAST_SHARE)
+    word = (F.coalesce("ended", F.lit(0)) * 2 >= both) | ((F.col("ways") >= 3) & (F.coalesce("main", F.lit(0)) < both * 0.8))
+    opens = F.col("gaps") * F.col("all_starts") <= 2 * F.col("starts") * F.col("all_gaps")
+    found = {"thai": set(), "lao": set()}
+    for r in per.join(two, "lao").where(enough & word & opens).select("w", "lao").collect():  # at most 10,000 of each length and script
+        found["lao" if r["lao"] else "thai"].add(r["w"])
+    return found
+
+
+def sentence_spans(text: str | None, lexica: dict[str, Words] = LEXICA) -> list[tuple[int, int]]:
+    """(start, end) of every sentence of a text, in code points, end exclusive."""
+    if text is None:
+        return []
+    t, out = text, []
+    for b, e in _blocks(t):
         pairs = _pairs(t, b, e)
         opens = np.array([p[0] for p in pairs], int)
         cuts: list[tuple[int, int]] = []
@@ -361,7 +416,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             words: dict[str, tuple[str, str]] = {}
             for m in re.compile(r"\s+").finditer(t, b, e):
                 g, k = m.span()
-                if g not in marks and holder(g) < 0 and _thai_gap(t, e, k, closed.get(g), opened.get(k), words):
+                if g not in marks and holder(g) < 0 and _thai_gap(t, e, k, closed.get(g), opened.get(k), words, lexica):
                     marks.add(g)
             cuts = [(g, 0) for g in sorted(marks)]
         s = b
@@ -380,12 +435,13 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 def segment(df: DataFrame, key: str = "input_id", text: str = "raw_text") -> DataFrame:
     """(key, unit_no, unit_id, sent_start, sent_end, unit_text) of every sentence of each different (key, text)."""
     kind = df.schema[key].dataType.simpleString()
+    lexica = {k: LEXICA[k].with_openers(v) for k, v in learn(df, text).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(key)
             texts = b.column(text).to_pylist()
-            spans = [sentence_spans(t) for t in texts]
+            spans = [sentence_spans(t, lexica) for t in texts]
             n = np.array([len(s) for s in spans], np.int64)
             flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
             no = np.concatenate([np.arange(1, k + 1) for k in n]) if len(n) else np.zeros(0, int)

@@ -206,15 +206,31 @@ def test_everyday_sentences_and_inches():
     assert cut("Siehe z.           B. das Handbuch. Gut.") == ["Siehe z.           B. das Handbuch.", "Gut."]
 
 
-def test_lattice_sees_whole_runs(monkeypatch):
+def test_lattice_sees_whole_runs():
     """A run of 41 letters whose last 40 are cut into other words."""
-    monkeypatch.setitem(sentences._LEX, "thai", {"กข", "ขก", "ขค", "กขค"})
-    sentences.THAI_GOES_ON.add("ขค"), sentences.THAI_OPENS.add("กข")
-    try:
-        text = "กข" * 20 + "ค" + " " + "กข"
-        assert sentences.sentence_spans(text) == [(0, 41), (42, 44)]
-    finally:
-        sentences.THAI_GOES_ON.discard("ขค"), sentences.THAI_OPENS.discard("กข")
+    lex = {"thai": sentences.Words({"กข", "ขก", "ขค", "กขค"}, {"กข"}, set(), {"ขค"}), "lao": sentences.LEXICA["lao"]}
+    text = "กข" * 20 + "ค" + " " + "กข"
+    assert sentences.sentence_spans(text, lex) == [(0, 41), (42, 44)]
+
+
+def test_learnt_openers(spark):
+    """Words of an invented language in Thai letters: what begins texts is learnt, also from whole phrases, and what only follows gaps is not."""
+    rng = random.Random(4)
+    letters = "กขคงจฉชซญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    openers, inner, rest = [word(4) for _ in range(6)], [word(4) for _ in range(6)], [word(3) for _ in range(40)]
+    say = lambda: rng.choice(openers) + "".join(rng.choices(rest, k=3)) + " " + rng.choice(inner) + "".join(rng.choices(rest, k=2))
+    texts = [[say() for _ in range(rng.randrange(1, 5))] for _ in range(600)]
+    df = spark.createDataFrame([(f"t{i}", " ".join(t)) for i, t in enumerate(texts)] + [("n", None), ("e", "")], "input_id string, raw_text string")
+    found = sentences.learn(df)
+    assert set(openers) <= found["thai"] and all(w.startswith(tuple(openers)) for w in found["thai"]) and not found["lao"]
+    got = {}
+    for r in sentences.segment(df).collect():
+        got.setdefault(r.input_id, []).append((r.unit_no, r.unit_text))
+    right = sum([u for _, u in sorted(got[f"t{i}"])] == t for i, t in enumerate(texts))
+    assert right >= 0.98 * len(texts)
+    fixed = spark.createDataFrame([(f"{i}", "กขคงจฉชซญฎ " + "ฏฐฑฒ") for i in range(30)], "input_id string, raw_text string")
+    assert sentences.learn(fixed.limit(5)) == {"thai": set(), "lao": set()} == sentences.learn(fixed.limit(0))
 
 
 def test_spans(spark):
