@@ -55,15 +55,15 @@ def test_records_without_a_shared_token(spark, sf):
     """Every record is scored with every technique, those without a catalogue word too."""
     made, n = entry.queries(), ranking.catalogue(spark, sf).count()
     ids = {r.query_id for r in ranking.merged(spark, sf).select("query_id").collect()}
-    top = made["retrieve_fused_whole"](spark, sf).groupBy("query_id").count().collect()
-    assert {r.query_id for r in top} == ids and all(r["count"] == min(5, n) for r in top)
-    per = made["score_minmax_whole"](spark, sf).groupBy("query_id").count().collect()
+    top = made["retrieve_fused"](spark, sf).groupBy("query_id").count().collect()
+    assert {r.query_id for r in top} == ids and all(r["count"] == min(20, n) for r in top)
+    per = made["score_minmax"](spark, sf).groupBy("query_id").count().collect()
     assert {r.query_id for r in per} == ids and all(r["count"] == n for r in per)
 
 
 def test_whole_grids(spark, sf):
     """The grids of the reference: 7 alphas by 6 lengths, 11 betas."""
     made = entry.queries()
-    got = {(float(r.method), r.run) for r in made["alpha_topn_sweep_whole"](spark, sf).collect()}
+    got = {(float(r.method), r.run) for r in made["alpha_topn_sweep"](spark, sf).collect()}
     assert got == {(a, n) for a in (0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0) for n in (5, 10, 15, 20, 30, 50)}
-    assert sorted(float(r.method) for r in made["beta_sweep_whole"](spark, sf).collect()) == [x / 10 for x in range(11)]
+    assert sorted(float(r.method) for r in made["beta_sweep"](spark, sf).collect()) == [x / 10 for x in range(11)]
