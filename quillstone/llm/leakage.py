@@ -2,17 +2,19 @@
 
 Two texts overlap if at least four words in five of the longer one occur in the other in the same order.
 
-Method: hashes of word n-grams of the evaluation side are partitioned, the training side is scanned for hits, and the
-containment of every evaluation text in every training text it hits is computed. The n-grams hashed are those that make
-the scan lossless, and their number is linear in the text's length. If the longer text has L words, an overlapping pair
-shares m >= 0.8 L words in order. Words are rare or frequent (more than ``FREQUENT`` occurrences in all texts).
-
-* n = 1: put the words of a text in one global order, rarest first. The rarest word that a pair shares lies among the first
-  floor(L / 5) + 1 of either text. The rare ones of these are hashed (with their number of occurrence).
-* n = 2: if that word is frequent, so are all m shared words. Neighbouring words of the common sequence are parted
-  by at most (words of both texts) - 2 m gaps, so at least 3 m - (words of both) - 1 >= 0.4 L - 1 pairs of neighbours, both of them frequent, stand in
-  both texts. Of the pairs of neighbouring frequent words of a text, b in number, the rarest b - ceil(0.4 L - 1) + 1 are hashed; a text
-  with more than L / 5 rare words needs none.
+Method: hashes of the evaluation side's words and of small sets of them are partitioned, the training side is scanned for hits, and the
+containment of every evaluation text in every training text it hits is computed. What is hashed makes the scan lossless, and its
+number is linear in the text's length. If the longer text has L words, an overlapping pair shares m >= 0.8 L words, and a text of p words lacks
+at most k = p - m of them. Words (with their number of occurrence) are put in one global order, rarest first; words are rare or frequent
+(more than ``FREQUENT`` occurrences in all texts).
+
+* The rarest word that a pair shares lies among the first k + 1 of either text. The rare ones of these are hashed alone.
+* If that word is frequent, so are all shared words, and the G + 1 rarest of them lie among the first k + G + 1 of either text. Frequent
+  words are dealt into G groups by their hash, so two of these are in one group: all pairs of frequent words of a group are hashed. A text with more than k
+  rare words among its first k + 1 needs none. G is a fixed part of L up to a power of two, so the pairs are linear in L; a text that can be
+  part of pairs on either side of a power of two has those of both.
+* A pair of words that more than ``FREQUENT_PAIR`` times ``FREQUENT`` texts hash is hashed with a third word instead: the rarest shared word that is not of the pair lies
+  among the first k + 3 of either text.
 
 Any total order is right; the one used takes counts of word and pair hashes in 2^20 cells each, a byte a cell, so that what every worker
 holds has a fixed size (2 MB), whatever the corpus. A pair of texts that hits must also agree in length and in a 256-bit sketch of its
@@ -27,7 +29,7 @@ themselves; ids occur once, as the problem states.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,11 @@ from ..functions import normalise as N
 from ..session import materialise
 
 CELLS = 1 << 20
-#: Words whose cell holds more occurrences than this are hashed with their neighbour. Where it lies decides the work, not the result.
-FREQUENT = 1 << 14
+#: Words whose cell holds more occurrences than this are hashed in pairs, pairs above four times as many with a third word. Where these lie decides the work, not the result.
+FREQUENT = 1 << 10
+FREQUENT_PAIR = 4
+#: Words of the longer text to a group.
+GROUP = 24
 BLOCK = 1 << 12
 #: Full-width forms U+FF01 to U+FF5E and the ideographic blank, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -92,25 +97,17 @@ def _grade(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(8 * np.log2(n + 1.0)), 255).astype(np.uint8)
 
 
-def _neighbours(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first word, hash) of all pairs of neighbouring words of a text."""
-    at = np.flatnonzero(doc[1:] == doc[:-1])
-    return at, _mix(h[at] * np.uint64(3) + h[at + 1])
-
-
 def _cell(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(44)).astype(np.int64)
 
 
-def grades(classes: DataFrame) -> np.ndarray:
-    """How often the words and the pairs of neighbours of all class texts fall into each of ``CELLS`` cells, as grades: two rows of fixed size."""
+def _cell_grades(lists: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How often the hashes that ``items`` makes of a batch fall into each of ``CELLS`` cells, as grades."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2 * CELLS, np.int64)
+        n = np.zeros(CELLS, np.int64)
         for b in batches:
-            h, per = _flat(b, "h")
-            _, pairs = _neighbours(h, np.repeat(np.arange(len(per)), per))
-            n += np.r_[np.bincount(_cell(_mix(h)), minlength=CELLS), np.bincount(_cell(pairs), minlength=CELLS)]
+            n += np.bincount(_cell(items(b)), minlength=CELLS)
         at = np.flatnonzero(n)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)].astype(np.int32)), pa.array(n[at[i : i + (1 << 16)]])], names=["cell", "n"])
@@ -124,20 +121,89 @@ def grades(classes: DataFrame) -> np.ndarray:
             out[row, flat.field("cell").to_numpy() % BLOCK] = _grade(flat.field("n").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([r.tobytes() for r in out], pa.binary())], names=["block", "grades"])
 
-    per = _hashed(classes).select("h").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("long").alias("n"))
+    per = lists.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("long").alias("n"))
     blocks = per.groupBy((F.col("cell") / BLOCK).cast("int").alias("block")).agg(F.collect_list(F.struct("cell", "n")).alias("x"))  # BLOCK entries at most
-    out = np.zeros(2 * CELLS, np.uint8)
-    for r in blocks.mapInArrow(pack, "block int, grades binary").collect():  # 512 rows at most
+    out = np.zeros(CELLS, np.uint8)
+    for r in blocks.mapInArrow(pack, "block int, grades binary").collect():  # 256 rows at most
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["grades"], np.uint8)
-    return out.reshape(2, CELLS)
+    return out
 
 
-def _prefix(items: np.ndarray, grade: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Places of the ``keep[text]`` rarest items of every text. Ties go by hash, so the order is total and the same everywhere."""
-    order = np.lexsort((items, grade, doc))
-    d = doc[order]
-    start = np.maximum.accumulate(np.where(np.r_[True, d[1:] != d[:-1]], np.arange(len(d)), 0)) if len(d) else d
-    return order[np.arange(len(d)) - start < keep[d]]
+def grades(classes: DataFrame) -> np.ndarray:
+    """Grades of the words of all class texts, and of the pairs of frequent words that these hash: two rows of fixed size."""
+    h, limit = _hashed(classes).select("h"), int(_grade(np.array([FREQUENT]))[0])
+    words = _cell_grades(h, lambda b: _mix(_flat(b, "h")[0]))
+    shared = classes.sparkSession.sparkContext.broadcast(words)  # 1 MB, a constant
+
+    def pairs(b: pa.RecordBatch) -> np.ndarray:
+        t = Ranked(*_flat(b, "h"), shared.value, limit)
+        first, second = t.pairs()
+        return _mix(t.x[first] + t.x[second])
+
+    return np.stack([words, _cell_grades(h, pairs)])
+
+
+def _once(sig: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the different signatures of every text."""
+    order = np.lexsort((sig, doc))
+    s, d = sig[order], doc[order]
+    return order[np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])]] if len(order) else order
+
+
+class Ranked:
+    """The words of a batch of texts, rarest first. Ties go by hash, so the order is total and the same everywhere."""
+
+    def __init__(self, h: np.ndarray, size: np.ndarray, words: np.ndarray, limit: int) -> None:
+        doc = np.repeat(np.arange(len(size)), size)
+        x, grade = _occurrences(h, doc), words[_cell(_mix(h))]
+        order = np.lexsort((x, grade, doc))
+        #: hash, text, place among the words of the text
+        self.x, self.doc, self.size = x[order], doc[order], size
+        self.first = np.cumsum(size) - size
+        self.rank = np.arange(len(doc)) - self.first[self.doc]
+        self.often = grade[order] > limit
+        self.able = size >= 4  # four words can be all but one of five
+        self.lacks = size // 5
+        self.rare = np.bincount(self.doc[~self.often & (self.rank <= self.lacks[self.doc])], minlength=len(size))
+
+    def singles(self) -> np.ndarray:
+        return np.flatnonzero(~self.often & self.able[self.doc] & (self.rank <= self.lacks[self.doc]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the two words of every pair of frequent words of a group, each pair once."""
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        low = 1 << (np.frexp(np.maximum(self.size, 1))[1].astype(np.int64) - 1)
+        for longest in (low, 2 * low):  # the power of two at or below the longer text's length
+            lacks = self.size - -(-np.maximum(longest, self.size) * 4 // 5)
+            groups = np.maximum(longest // GROUP, 1)
+            able = self.able & (self.size + self.size // 4 >= longest) & (self.rare <= lacks)
+            at = np.flatnonzero(self.often & able[self.doc] & (self.rank <= (lacks + groups)[self.doc]))
+            group = (self.x[at] % groups[self.doc[at]].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((self.rank[at], group, self.doc[at]))
+            at, group = at[order], group[order]
+            i = np.arange(len(at))
+            step = 1
+            while len(i := i[i + step < len(at)]):
+                i = i[(group[i] == group[i + step]) & (self.doc[at[i]] == self.doc[at[i + step]])]
+                first.append(at[i])
+                second.append(at[i + step])
+                step += 1
+        a, b = np.concatenate(first), np.concatenate(second)
+        once = _once(_mix(self.x[a] + self.x[b]), self.doc[a])
+        return a[once], b[once]
+
+    def thirds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, text) of the given pairs of frequent words with each further frequent one that may be the rarest shared beside them."""
+        doc = self.doc[a]
+        start, end = self.rare[doc], np.minimum(self.lacks[doc] + 3, self.size[doc])
+        n = np.maximum(end - start, 0)
+        of = np.repeat(np.arange(len(a)), n)
+        c = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + (self.first[doc] + start)[of]
+        keep = (c != a[of]) & (c != b[of])
+        of, c = of[keep], c[keep]
+        sig, doc = _mix(self.x[a[of]] + self.x[b[of]] + self.x[c]), doc[of]
+        once = _once(sig, doc)
+        return sig[once], doc[once]
 
 
 SIGNATURES = "sig long, cls long, len int, s0 long, s1 long, s2 long, s3 long, has_train boolean, has_eval boolean"
@@ -146,10 +212,10 @@ SIGNATURES = "sig long, cls long, len int, s0 long, s1 long, s2 long, s3 long, h
 def signatures(classes: DataFrame, counted: np.ndarray) -> DataFrame:
     """The hashes by which texts can hit each other: see the module's text. Texts of under four words have none."""
     shared = classes.sparkSession.sparkContext.broadcast(counted)  # 2 MB, a constant
-    limit = int(_grade(np.array([FREQUENT]))[0])
+    limit, limit_pair = (int(x) for x in _grade(np.array([FREQUENT, FREQUENT_PAIR * FREQUENT])))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, neighbours = shared.value
+        words, pairs = shared.value
         for b in batches:
             h, size = _flat(b, "h")
             if not len(h):
@@ -159,20 +225,12 @@ def signatures(classes: DataFrame, counted: np.ndarray) -> DataFrame:
             sketch = np.zeros((len(size), 256), bool)
             sketch[doc, (_mix(h) & np.uint64(255)).astype(np.int64)] = True
             packed = np.packbits(sketch, axis=1, bitorder="little").view(np.int64).reshape(len(size), 4)
-            able = size >= 4  # four words can be all but one of five
-            grade = words[_cell(_mix(h))]
-            often = grade > limit
-            x = _occurrences(h, doc)
-            one = _prefix(x, grade, doc, np.where(able, size // 5 + 1, 0))
-            one = one[~often[one]]
-            at, pair = _neighbours(h, doc)
-            able &= np.bincount(doc, often, len(size)) * 5 >= size * 4
-            both = often[at] & often[at + 1] & able[doc[at]]
-            at, pair = at[both], pair[both]
-            own = doc[at]
-            y = _occurrences(pair, own)
-            two = _prefix(y, neighbours[_cell(pair)], own, np.bincount(own, minlength=len(size)) - (2 * size - 1) // 5 + 1)
-            s, w = np.r_[x[one], _mix(y[two] ^ np.uint64(0x5851F42D4C957F2D))], np.r_[doc[one], own[two]]
+            t = Ranked(h, size, words, limit)
+            one, (first, second) = t.singles(), t.pairs()
+            two = _mix(t.x[first] + t.x[second])
+            hot = pairs[_cell(two)] > limit_pair
+            three, of = t.thirds(first[hot], second[hot])
+            s, w = np.r_[t.x[one], two[~hot], three], np.r_[t.doc[one], t.doc[first[~hot]], of]
             take = pa.array(w)
             cols = [pa.array(s.view(np.int64)), b.column("cls").take(take), pa.array(size[w].astype(np.int32)), *(pa.array(packed[w, k]) for k in range(4))]
             yield pa.RecordBatch.from_arrays([*cols, b.column("has_train").take(take), b.column("has_eval").take(take)], names=["sig", "cls", "len", "s0", "s1", "s2", "s3", "has_train", "has_eval"])
@@ -228,8 +286,8 @@ def class_overlaps(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spare = lambda s: F.col(f"len_{s}") - F.ceil(longest * 4 / F.lit(5))
     only = lambda s, o: sum(F.bit_count(F.col(f"s{k}_{s}").bitwiseAND(F.bitwise_not(F.col(f"s{k}_{o}")))) for k in range(4))
     hits = j.where((F.least("len_e", "len_t") * 5 >= longest * 4) & (only("e", "t") <= spare("e")) & (only("t", "e") <= spare("t"))).select("cls_e", "cls_t").distinct()
-    text = classes.select("cls", "words")
-    pairs = hits.join(text.select(F.col("cls").alias("cls_e"), F.col("words").alias("words_e")), "cls_e").join(text.select(F.col("cls").alias("cls_t"), F.col("words").alias("words_t")), "cls_t")
+    text = lambda s, flag: classes.where(flag).select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"words_{s}"))
+    pairs = hits.join(text("e", "has_eval"), "cls_e").join(text("t", "has_train"), "cls_t")
     return members, classes, verify(pairs)
 
 
