@@ -19,11 +19,12 @@ def nodes(s: SparkSession, d: str) -> DataFrame:
     """Order lines as typed nodes of their order."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    w = Window.partitionBy("input_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     kinds = F.array(*map(F.lit, ("Precondition", "Entry", "VulnType", "Behavior", "Impact")))
     ev = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("E"), F.col("l_suppkey") % 12 + 1), F.concat(F.lit("E"), F.col("l_partkey") % 12 + 1))))
-    return table(s, d, "lineitem").select(
-        F.col("l_orderkey").alias("input_id"), F.concat(F.lit("N"), F.row_number().over(w)).alias("node_id"), F.element_at(kinds, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("type"),
+    numbered = table(s, d, "lineitem").withColumnRenamed("l_orderkey", "input_id").withColumn("_k", F.row_number().over(w))  # lines are shuffled as they are, and by the id that later steps group by
+    return numbered.select(
+        "input_id", F.concat(F.lit("N"), "_k").alias("node_id"), F.element_at(kinds, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("type"),
         F.concat_ws(" ", F.lit("flag"), "l_returnflag", "l_linestatus", F.concat(F.lit("part"), F.col("l_partkey") % 7)).alias("text"), ev.alias("evidence_ids"), F.round(F.col("l_discount") * 10, 6).alias("confidence"),
     )
 
@@ -277,7 +278,7 @@ def queries() -> dict:
         "rerank_topk": lambda s, d: rerank.top_candidates(ranked_candidates(s, d), 3, exact=True),
         "rerank_merge": lambda s, d: rerank_result(s, d),
         "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0, F.col("retrieval_rank") % 3 > 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
-        "explanations": lambda s, d: explanation.explanations(nodes(s, d), edges(s, d)).select("input_id", "status", "chain", "chain_types", "evidence_ids", "minimum_evidence", "compact_text"),
+        "explanations": lambda s, d: explanation.layered_explanations(nodes(s, d)).select("input_id", "status", "chain", "chain_types", "evidence_ids", "minimum_evidence", "compact_text"),
         "explanation_queries": lambda s, d: explanation.query_text(explanation.explanations(nodes(s, d), edges(s, d)), edges(s, d)),
         "rerank_prompts": lambda s, d: rerank.prompts(rerank.top_candidates(ranked_candidates(s, d), 5), segment.segment(based(s, d, "records").groupBy("base").agg(F.max("raw_text").alias("t")).withColumnRenamed("base", "input_id"), "input_id", "t"), table(s, d, "techniques")),
         "event_windows": lambda s, d: windowed_counts(table(s, d, "events"), "ts", "event_type").select("window_start", "event_type", "n", F.round("total", 4).alias("total")),

@@ -2,11 +2,13 @@ import inspect
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import session
 from quillstone.operators import audit, contracts, dataset, explanation, extract, graph, metrics, rerank, retrieval, segment, significance
-from quillstone.plans import ranking
+from quillstone.plans import ranking, records
 
 
 def rows(df, *order):
@@ -162,6 +164,47 @@ def test_best_paths_by_brute_force(spark):
     assert any(x.precondition for x in before.values()) and all(x.precondition not in x.chain for x in before.values() if x.precondition)
 
 
+def test_layered_explanations(spark):
+    """Explanations with layer edges made in the row equal those with joined edges, and these a choice of the precondition one by one."""
+    rng = random.Random(11)
+    kinds, nodes = ("Precondition", "Precondition", "Entry", "VulnType", "Behavior", "Impact", None), []
+    for r in range(150):
+        many = 90 if r % 50 == 0 else 7
+        for i in range(40 if many == 90 else rng.randrange(1, 9)):
+            ids = [f"E{k}" for k in rng.sample(range(1, many), rng.randrange(0 if rng.random() < 0.1 else 1, 4))]
+            text = rng.choice(["Flag A part1", "flag b part1 x", "", None, "flag part2 part1"])
+            nodes.append((None if r == 1 else f"r{r}", f"N{i}", rng.choice(kinds), text, ids, rng.choice([0.05, 0.15, 0.5, None])))
+    nd = spark.createDataFrame(nodes, "input_id string, node_id string, type string, text string, evidence_ids array<string>, confidence double")
+    ed = graph.layer_edges(nd)
+    for limit in (20, 2):
+        apart, row = explanation.explanations(nd, ed, 4, limit), explanation.layered_explanations(nd, 4, limit)
+        want = {str(x.input_id): x for x in apart.collect()}
+        assert want == {str(x.input_id): x for x in row.collect()} and len(want) > 100 and len({len(x.minimum_evidence) for x in want.values()}) > 2
+        assert sorted(explanation.query_text(apart.where("input_id is not null"), ed).collect()) == sorted(explanation.layered_query_text(row.where("input_id is not null")).collect())
+        links = [tuple(x) for x in ed.select("input_id", "src", "dst", "structural_score").collect()]
+        for r, x in want.items():
+            own = {i[1]: i for i in nodes if str(i[0]) == r and i[4]}
+            cover = lambda *ids: graph.minimum_cover([own[i][4] for i in ids], limit)  # noqa: B023, E731
+            options = []
+            for a, src, dst, score in links:
+                if str(a) == r and src in own and own[src][2] == "Precondition" and dst in x.chain and src not in x.chain:
+                    sure = 0.5 if own[src][5] is None else own[src][5]
+                    options.append((-len({*own[src][4]} & {*own[dst][4]}), -score, -sure, len(cover(src, *x.chain)), src))
+            first = min(options)[-1] if options else None
+            assert x.precondition == first and x.minimum_evidence == cover(*[first] * bool(first), *x.chain)
+    ties = [0.0000005, 0.1234565, 0.1234575, -0.0000015, 0.55 / 3, 2.5e-7, 1.0000005, 0.2 * 0.15 + 0.25 * 0.5]
+    x = spark.createDataFrame([(i, v) for i, v in enumerate(ties)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("v")).collect()
+    assert [r.v for r in x] == graph._half_up(np.array(ties), 6).tolist()
+
+
+@pytest.mark.parametrize("name", ["explanations"])
+def test_explanations_in_one_shuffle(spark, sf, name):
+    """Neither edges nor paths are shuffled or written, which took 39 times the input."""
+    session.clear()
+    plan = records.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and not session._MADE
+
+
 def test_segmentation(spark):
     f = segment.evidence_units
     one = "Many affected systems. Remote attackers can read arbitrary files in this product."
