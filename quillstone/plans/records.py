@@ -279,7 +279,7 @@ def queries() -> dict:
         "rerank_merge": lambda s, d: rerank_result(s, d),
         "citation_caps": lambda s, d: based(s, d, "rerank").select("base", "technique_id", F.round(rerank.capped(F.col("score_text") / 20, F.col("mode"), F.col("retrieval_rank") % 2 == 0, F.col("retrieval_rank") % 4 == 0, F.col("retrieval_rank") % 3 > 0), 6).alias("capped")).where("capped is not null and not isnan(capped)"),
         "explanations": lambda s, d: explanation.layered_explanations(nodes(s, d)).select("input_id", "status", "chain", "chain_types", "evidence_ids", "minimum_evidence", "compact_text"),
-        "explanation_queries": lambda s, d: explanation.query_text(explanation.explanations(nodes(s, d), edges(s, d)), edges(s, d)),
+        "explanation_queries": lambda s, d: explanation.layered_query_text(explanation.layered_explanations(nodes(s, d))),
         "rerank_prompts": lambda s, d: rerank.prompts(rerank.top_candidates(ranked_candidates(s, d), 5), segment.segment(based(s, d, "records").groupBy("base").agg(F.max("raw_text").alias("t")).withColumnRenamed("base", "input_id"), "input_id", "t"), table(s, d, "techniques")),
         "event_windows": lambda s, d: windowed_counts(table(s, d, "events"), "ts", "event_type").select("window_start", "event_type", "n", F.round("total", 4).alias("total")),
         "event_props": lambda s, d: table(s, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys")),

@@ -197,7 +197,7 @@ def test_layered_explanations(spark):
     assert [r.v for r in x] == graph._half_up(np.array(ties), 6).tolist()
 
 
-@pytest.mark.parametrize("name", ["explanations"])
+@pytest.mark.parametrize("name", ["explanations", "explanation_queries"])
 def test_explanations_in_one_shuffle(spark, sf, name):
     """Neither edges nor paths are shuffled or written, which took 39 times the input."""
     session.clear()
